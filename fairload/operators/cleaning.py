@@ -16,20 +16,23 @@ from fairload.functions.timegrid import snap
 from fairload.settings import AgroSettings, GridSettings
 
 
-def keep_first(df: DataFrame, keys: list[str], order: list[str], payload: list[str]) -> DataFrame:
-    """One row for each key: the payload of the first row in ``order``, and the number of copies."""
-    first = F.min(F.struct(*order, *payload)).alias("_first")
-    grouped = df.groupBy(*keys).agg(first, F.count(F.lit(1)).alias("copies"))
-    return grouped.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in payload], "copies")
+def keep_first(df: DataFrame, keys: list[str], arrival: str, payload: list[str]) -> DataFrame:
+    """One row for each key: the payload of the row that arrived first, and the number of copies.
+
+    ``arrival`` is a unique whole number. With one primitive order column and primitive payloads
+    this is a hash aggregate; ordering by a struct would make Spark sort every input row.
+    """
+    firsts = [F.min_by(c, arrival).alias(c) for c in payload]
+    return df.groupBy(*keys).agg(*firsts, F.count(F.lit(1)).alias("copies"))
 
 
 # ---------------------------------------------------------------- meter readings
 
 
 def reading_slots(readings: DataFrame, p: GridSettings) -> DataFrame:
-    """Snap to the grid and drop re-transmissions (first by raw time, then by reading id)."""
+    """Snap to the grid and drop re-transmissions (the reading that arrived first stays)."""
     snapped = readings.withColumn("slot", snap(F.col("ts"), p.grain_s))
-    slots = keep_first(snapped, ["meter_id", "slot"], ["ts", "reading_id"], ["kwh", "voltage"])
+    slots = keep_first(snapped, ["meter_id", "slot"], "reading_id", ["kwh", "voltage"])
     return slots.withColumnRenamed("slot", "ts")
 
 
@@ -99,9 +102,9 @@ def grid_ledger(readings: DataFrame, meters: DataFrame, p: GridSettings) -> Data
 
 
 def pass_days(ndvi: DataFrame) -> DataFrame:
-    """One pass for each plot and day, first by pass time, then by pass number."""
+    """One pass for each plot and day: the one that arrived first."""
     daily = ndvi.withColumn("date", F.date_trunc("day", "pass_ts"))
-    return keep_first(daily, ["plot_id", "date"], ["pass_ts", "pass_no"], ["ndvi", "cloud_flag"])
+    return keep_first(daily, ["plot_id", "date"], "pass_no", ["ndvi", "cloud_flag"])
 
 
 def repaired_ndvi(ndvi: Column, p: AgroSettings) -> Column:
@@ -146,27 +149,30 @@ def interpolated(passes: DataFrame) -> DataFrame:
     return bracketed.select("plot_id", "date", filled.alias("ndvi"))
 
 
-def gap_filled(passes: DataFrame) -> DataFrame:
-    """Interpolate; a plot with no good pass at all takes the median of everything filled.
+def with_smooth(lines: DataFrame) -> DataFrame:
+    """Centred three-pass mean beside the filled value."""
+    near = Window.partitionBy("plot_id").orderBy("date").rowsBetween(-1, 1)
+    return lines.withColumn("ndvi_smooth", F.avg("ndvi").over(near))
+
 
-    The fleet median is looked up only if such a plot exists.
+def fill_silent_plots(lines: DataFrame) -> DataFrame:
+    """A plot with no good pass at all takes the median of everything that was filled.
+
+    Only such plots still have missing values after interpolation.
     """
-    lines = interpolated(passes)
-    ever_good = F.max(F.col("ndvi").isNotNull()).over(Window.partitionBy("plot_id"))
-    fleet = exact_median(lines, "ndvi", bounds=(0.0, 1.0)).scalar()
-    return lines.withColumn("_ok", ever_good).select(
-        "plot_id", "date", F.when(F.col("_ok"), F.col("ndvi")).otherwise(fleet).alias("ndvi")
-    )
+    fleet = exact_median(lines.select("ndvi"), "ndvi", bounds=(0.0, 1.0)).scalar()
+    filled = lines.withColumn("_fleet", fleet)
+    values = [c for c in ("ndvi", "ndvi_smooth") if c in lines.columns]
+    return filled.withColumns({c: F.coalesce(c, "_fleet") for c in values}).drop("_fleet")
 
 
-def smoothed(filled: DataFrame) -> DataFrame:
-    """Centred three-pass mean beside the filled value."""
-    near = Window.partitionBy("plot_id").orderBy("date").rowsBetween(-1, 1)
-    return filled.withColumn("ndvi_smooth", F.avg("ndvi").over(near))
+def gap_filled(passes: DataFrame) -> DataFrame:
+    return fill_silent_plots(interpolated(passes))
 
 
 def clean_passes(ndvi: DataFrame, plots: DataFrame, p: AgroSettings) -> DataFrame:
-    return smoothed(gap_filled(masked_passes(ndvi, plots, p)))
+    """plot_id, date, ndvi, ndvi_smooth. Filling and smoothing share one shuffle and sort by plot."""
+    return fill_silent_plots(with_smooth(interpolated(masked_passes(ndvi, plots, p))))
 
 
 def agro_ledger(ndvi: DataFrame, plots: DataFrame, p: AgroSettings) -> DataFrame:

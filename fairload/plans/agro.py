@@ -22,7 +22,11 @@ class AgroPlan:
     # ---- passes
     @cached_property
     def clean(self) -> DataFrame:
-        return self.stage(cleaning.clean_passes(self.tables["ndvi"], self.tables["plots"], self.p), "ndvi_clean")
+        masked = cleaning.masked_passes(self.tables["ndvi"], self.tables["plots"], self.p)
+        lines = self.stage(cleaning.with_smooth(cleaning.interpolated(masked)), "ndvi_lines")
+        if self.stage is not as_is and lines.where("ndvi is null").isEmpty():
+            return lines  # written and complete: the fleet median is not needed
+        return cleaning.fill_silent_plots(lines)
 
     @cached_property
     def ledger(self) -> DataFrame:
@@ -47,11 +51,8 @@ class AgroPlan:
 
     @cached_property
     def village_features(self) -> DataFrame:
-        return self.stage(
-            features.village_features(
-                self.plot_season, self.village_date, self.block_weather, self.tables["villages"], self.p
-            ),
-            "village_features",
+        return features.village_features(
+            self.plot_season, self.village_date, self.block_weather, self.tables["villages"], self.p
         )
 
     @cached_property
@@ -65,7 +66,10 @@ class AgroPlan:
 
     @cached_property
     def with_normal(self) -> DataFrame:
-        return scoring.normal_yield(self.village_scores, self.tables["yield_history"])
+        villages = self.stage(scoring.with_mean_yield(self.village_scores, self.tables["yield_history"]), "villages")
+        if self.stage is not as_is and villages.where("normal_yield is null").isEmpty():
+            return villages
+        return scoring.fill_normal_yield(villages)
 
     @cached_property
     def scored(self) -> DataFrame:

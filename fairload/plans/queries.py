@@ -666,7 +666,7 @@ def _(spark, d):
     folder = fresh_dir(spark, "cards")
     published.write_grid_results(scored_grid(spark, d), folder)
     cards = published.read_results(spark, folder, "feeders")
-    text = lambda c: F.array_join(F.transform(c, lambda v: F.coalesce(F.format_string("%.3f", v), F.lit("-"))), " ").alias(c)
+    text = lambda c: F.array_join(F.transform(c, lambda v: F.when(v.isNull(), "-").otherwise(F.format_string("%.3f", v))), " ").alias(c)
     return cards.select("*", "components.*").select(
         *[c for c in cards.columns if c not in ("reason_codes", "recent_mw", "forecast_mw")],
         "forecast_stress", "tx_risk", "utilization", "volatility", joined(), text("recent_mw"), text("forecast_mw"),

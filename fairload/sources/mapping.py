@@ -7,6 +7,7 @@ engine receives their names. Only the series of days is written differently.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from fairload.session import prepare
 
@@ -61,9 +62,9 @@ TEXTS = {
           on l_suppkey = t.transformer_id""",
     "ndvi": """
         select l_partkey as plot_id, cast(l_shipdate as timestamp) as pass_ts, l_orderkey * 8 + l_linenumber as pass_no,
-               case when l_suppkey % 29 = 3 then cast(round(cast(l_quantity / 55.0e0 as decimal(12, 8)), 4) as double) * 10000
+               case when l_suppkey % 29 = 3 then floor(l_quantity / 55.0e0 * 10000.0e0 + 0.5e0) * 1.0e0
                     when l_orderkey % 41 = 0 then 1.2e0
-                    else cast(round(cast(l_quantity / 55.0e0 as decimal(12, 8)), 4) as double) end as ndvi,
+                    else floor(l_quantity / 55.0e0 * 10000.0e0 + 0.5e0) / 10000.0e0 end as ndvi,
                case when l_linenumber = 7 then 1 else 0 end as cloud_flag
         from {lineitem}""",
     "plots": f"""
@@ -77,7 +78,7 @@ TEXTS = {
         select s_suppkey as village_id, cast(s_nationkey as bigint) as block_id, cast(n_regionkey as bigint) as district_id,
                s_name as name,
                case s_suppkey % 3 when 0 then 'head' when 1 then 'mid' else 'tail' end as canal_reach,
-               cast(round(cast(least(greatest((s_acctbal + 1000) / 11000.0e0, 0.0e0), 1.0e0) as decimal(12, 8)), 3) as double) as past_support_index,
+               floor(least(greatest((s_acctbal + 1000) / 11000.0e0, 0.0e0), 1.0e0) * 1000.0e0 + 0.5e0) / 1000.0e0 as past_support_index,
                cast(s_suppkey % 90 as double) as lat, cast(s_suppkey % 180 as double) as lon
         from {supplier} join {nation} on s_nationkey = n_nationkey""",
     "blocks": "select cast(n_nationkey as bigint) as block_id, cast(n_regionkey as bigint) as district_id from {nation}",
@@ -97,15 +98,25 @@ TEXTS = {
                yield_t_ha, avg(yield_t_ha) over (partition by village_id) as normal_yield,
                case when yield_t_ha < 0.8e0 * avg(yield_t_ha) over (partition by village_id) then 1 else 0 end as loss_event
         from (select o_custkey % {SUPPLIERS} as village_id, cast(year(o_orderdate) as int) as season,
-                     cast(round(cast(avg(o_totalprice) / 100000 as decimal(18, 8)), 6) as double) as yield_t_ha
+                     floor(avg(o_totalprice) * 10.0e0 + 0.5e0) / 1000000.0e0 as yield_t_ha
               from {{orders}} group by 1, 2) y""",
 }
 
 SPARK_DAYS = "explode(sequence(0, 119))"
 
 
-def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in SOURCE_TABLES}
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def source_schema(spark: SparkSession, path: str) -> StructType:
+    """Schema of a file, remembered so that later queries open no footers to plan."""
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return _SCHEMAS[path]
+
+
+def _source(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(source_schema(spark, path)).parquet(path)
 
 
 class _Lazy(dict):
@@ -118,7 +129,7 @@ class _Lazy(dict):
     def __missing__(self, name: str) -> DataFrame:
         text = TEXTS[name].replace("{days}", SPARK_DAYS)
         used = [t for t in SOURCE_TABLES if f"{{{t}}}" in text]
-        sources = {t: self._spark.read.parquet(f"{self._dir}/{t}.parquet") for t in used}
+        sources = {t: _source(self._spark, f"{self._dir}/{t}.parquet") for t in used}
         self[name] = self._spark.sql(text, **sources)
         return self[name]
 

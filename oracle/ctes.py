@@ -130,6 +130,19 @@ BLOCKS: dict[str, str] = {
           from bf_clean join transformers using (transformer_id) group by 1, 2, 3, 4""",
     "bf_daily": """select feeder_id, cast(ts as date) as d, max(kw) as peak_kw, avg(kw) as mean_kw,
             sum(case when loading > 1 then 15 else 0 end) as overload_minutes, sum(sags) as sags from bf_tx group by 1, 2""",
+    # ------------------------------------------------------------ streams: closed intervals only
+    "closing": "select max(slot) - interval 45 minutes as upto from slots_of",
+    "st_slots": """select meter_id, slot as ts, voltage, case when kwh > 100 then kwh / 1000.0e0 when kwh >= 0 then kwh else 0.0e0 end as kwh
+          from slots_of, closing where slot + interval 15 minutes <= upto""",
+    "st_rows": """select feeder_id, transformer_id, capacity_kva, ts, coalesce(kwh, 0.0e0) * 4 as kw, case when voltage < 207 then 1 else 0 end as sag
+          from st_slots join meters using (meter_id) join transformers using (transformer_id)""",
+    "st_tx": "select transformer_id, feeder_id, capacity_kva, ts, sum(kw) as kw, sum(sag) as sags, count(*) as n_meters, sum(kw) / (capacity_kva * 0.9e0) as loading from st_rows group by 1, 2, 3, 4",
+    "st_stress": """select transformer_id, feeder_id, avg(loading) as loading_mean, max(loading) as loading_max,
+            sum(case when loading > 1 then 15.0e0 else 0.0e0 end) as overload_minutes, sum(sags) as sag_count,
+            sum(power(greatest(loading - 0.8e0, 0.0e0), 2)) as thermal_stress, arg_max(kw, ts) as kw_now
+          from st_tx where ts > (select max(ts) from st_tx) - interval 24 hours group by 1, 2""",
+    "st_scores": f"""select *, {_logit(list(TX_PUSH.values()), -0.6)} as p_fail_72h from (
+            select s.*, t.age_years, t.capacity_kva from st_stress s left join transformers t using (transformer_id)) x""",
     # ------------------------------------------------------------ load grid and forecast
     "span": "select min(ts) as first_ts, max(ts) as last_ts, cast(date_diff('second', min(ts), max(ts)) / <grain> as bigint) as last_slot from fd_int",
     "load_grid": """select c.feeder_id, c.slot, c.ts, f.kw from (

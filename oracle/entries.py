@@ -247,6 +247,13 @@ ORACLE: dict[str, str] = {
            from ({_scenarios(WATER_ASKED, 'asked_ml')}) s,
             (select count(*) as n, count(*) filter (water_need_ml > 1e-3 and yield_saveable_t > 1e-3) as eligible_villages from v_scored) c""",
     ),
+    # ------------------------------------------------------------ streams
+    "stream_dedupe": sql("meter_id:i ts:t", "select distinct meter_id, slot as ts from slots_of"),
+    "stream_feeder_load": sql("feeder_id:i ts:t kw:d sags:i", "select feeder_id, ts, sum(kw) as kw, sum(sag) as sags from st_rows group by 1, 2"),
+    "stream_tx_load": sql("transformer_id:i feeder_id:i capacity_kva:i ts:t kw:d sags:i n_meters:i loading:d", "select * from st_tx"),
+    "stream_sliding_stress": sql(
+        "transformer_id:i feeder_id:i loading_mean:d loading_max:d overload_minutes:d sag_count:i thermal_stress:d kw_now:d p_fail_72h:d", "select * from st_scores"
+    ),
     # ------------------------------------------------------------ what users ask
     "top_feeders": sql("rank:i feeder_id:i name:s fci:d reason_codes:s", "select * from ranked order by rank limit 8", GRAIN),
     "feeder_lookup": sql(
@@ -320,3 +327,5 @@ ORACLE: dict[str, str] = {
            union all select 'feeders', count(*), count(*), sum(feeder_id), sum(lat) from feeders""",
     ),
 }
+
+ORACLE["stream_quality_ledger"] = ORACLE["grid_quality_ledger"]
