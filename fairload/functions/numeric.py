@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def rounded(c: Column, places: int = 6) -> Column:
@@ -30,3 +31,10 @@ def unit_uniform(plan: Column, unit: Column, seed: int) -> Column:
     modulus = 2147483647
     mixed = F.pmod(plan * 7919 + unit * 104729 + F.lit(seed).cast("bigint") * 15485863 + 11, F.lit(modulus))
     return F.pmod(mixed * mixed + plan * 31 + unit * 17, F.lit(modulus)) / F.lit(float(modulus))
+
+
+def whole_number(df: DataFrame, id_column: str) -> Column:
+    """A whole number for an id: the id itself, or a digest below 2^31 if it is text."""
+    if isinstance(df.schema[id_column].dataType, StringType):
+        return F.pmod(F.xxhash64(id_column), F.lit(2147483647))
+    return F.col(id_column).cast("bigint")

@@ -18,7 +18,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairload.functions.numeric import at_least, rounded
+from fairload.functions.numeric import at_least, rounded, whole_number
 from fairload.functions.ordering import auc
 from fairload.functions.timegrid import slot_time
 from fairload.operators.features import calendar
@@ -87,7 +87,7 @@ def train_risk(history: DataFrame, p: Boosting = RISK):
 
 
 def history_key() -> Column:
-    return F.col("village_id") * 10007 + F.col("season")
+    return F.pmod(F.xxhash64("village_id", "season"), F.lit(1_000_003))
 
 
 def train_loss(history: DataFrame, p: Boosting = LOSS):
@@ -184,7 +184,7 @@ def train_load(load_features: DataFrame, p: GridSettings, boosting: Boosting = L
     rows = (
         load_features.where((F.col("slot") >= p.slots_per_day) & F.col("kw").isNotNull())
         .withColumns(_gapless(lags))
-        .withColumn("feeder_code", F.col("feeder_id").cast("double"))
+        .withColumn("feeder_code", whole_number(load_features, "feeder_id").cast("double"))
     )
     return _booster(GBTRegressor, boosting, "kw").fit(with_vector(rows, LOAD_INPUTS))
 
@@ -206,7 +206,7 @@ def recursive_forecast(model, grid: DataFrame, future_temp: DataFrame, p: GridSe
     level = F.coalesce("_level", F.lit(0.0))
     state = last_day.withColumn("_temps", temps).select(
         "feeder_id",
-        F.col("feeder_id").cast("double").alias("feeder_code"),
+        whole_number(grid, "feeder_id").cast("double").alias("feeder_code"),
         F.col("_end.ts").alias("_newest"),
         "_temps",
         F.transform("_points", lambda e: F.coalesce(e["kw"], level)).alias("_tail"),

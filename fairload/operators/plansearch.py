@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fairload.functions.folding import ordered_accept
-from fairload.functions.numeric import rounded, unit_uniform
+from fairload.functions.numeric import rounded, unit_uniform, whole_number
 from fairload.functions.ordering import running_total
 
 MODULUS = 2147483647
@@ -76,7 +76,7 @@ def _coins(plans: np.ndarray, units: np.ndarray, seed: int) -> np.ndarray:
 def plan_totals(units: DataFrame, measures: list[str], search: Search) -> DataFrame:
     """scenario_id, plan_id, n_members and the sum of each measure, for all sampled plans.
 
-    ``units`` has scenario_id, unit_no, thresholds (one inclusion probability for each intensity)
+    ``units`` has scenario_id, unit_id, unit_no, thresholds (one inclusion probability for each intensity)
     and the measures.
     """
     per, seed = search.per_intensity, search.seed
@@ -86,7 +86,7 @@ def plan_totals(units: DataFrame, measures: list[str], search: Search) -> DataFr
         return units.sparkSession.createDataFrame([], f"{per_schema}, {empty}")
     tiles = F.greatest(F.lit(1), F.ceil(units.agg(F.count(F.lit(1)).alias("n")).scalar() / TILE_UNITS))
     tiled = (
-        units.withColumn("tile", F.pmod(F.xxhash64("unit_no"), tiles))
+        units.withColumn("tile", F.pmod(F.xxhash64("unit_id"), tiles))
         .groupBy("scenario_id", "tile")
         .agg(
             F.first("thresholds").alias("thresholds"),
@@ -146,7 +146,7 @@ def plan_members(units: DataFrame, plans: DataFrame, greedy: DataFrame, search:
 def distinct_plans(members: DataFrame) -> DataFrame:
     """Plans with different member sets: of equal sets the one that came first. Sets are compared
     by size and three independent order-free digests, not by gathering members."""
-    a, b = F.xxhash64("unit_no"), F.xxhash64("unit_no", F.lit("b"))
+    a, b = F.xxhash64("unit_id"), F.xxhash64("unit_id", F.lit("b"))
     wide = lambda c: c.cast("decimal(38,0)")
     digests = members.groupBy("scenario_id", "plan_id", "place").agg(
         F.count(F.lit(1)).alias("n"), F.sum(wide(a)).alias("a"), F.sum(wide(b)).alias("b"), F.bit_xor(a).alias("x")
@@ -179,7 +179,8 @@ def shed_units(state: DataFrame, scenarios: list[Scenario], search: Search) -> D
             "scenario_id",
             "target_mw",
             "thresholds",
-            F.col("feeder_id").alias("unit_no"),
+            F.col("feeder_id").alias("unit_id"),
+            whole_number(eligible, "feeder_id").alias("unit_no"),
             "name",
             "rank",
             F.col("sheddable_mw").alias("mw"),
@@ -193,7 +194,7 @@ def shed_units(state: DataFrame, scenarios: list[Scenario], search: Search) -> D
 def shed_greedy(units: DataFrame, search: Search) -> DataFrame:
     """Cheapest pain for each MW first, until the target is met."""
     cost = rounded((F.col("pain") + search.fairness_w * F.col("fair")) / F.greatest("mw", F.lit(1e-3)), 9)
-    placed = running_total(units.withColumn("cost", cost), F.col("mw"), F.col("cost"), ["unit_no"], ["scenario_id"])
+    placed = running_total(units.withColumn("cost", cost), F.col("mw"), F.col("cost"), ["unit_id"], ["scenario_id"])
     return placed.where(rounded(F.col("before"), 6) < F.col("target_mw")).drop("before", "cost")
 
 
@@ -244,7 +245,7 @@ def shed_refined_members(units: DataFrame, best: DataFrame, search: Search) -> D
         return (False, relief - mw) if change < -1e-6 else (True, relief)
 
     walked = ordered_accept(
-        joined, ["scenario_id", "plan_id"], ["rank", "unit_no"], ["mw", "pain", "fair", "target_mw", "relief"], start, step
+        joined, ["scenario_id", "plan_id"], ["rank", "unit_id"], ["mw", "pain", "fair", "target_mw", "relief"], start, step
     )
     return walked.where("accepted").drop("accepted", "relief")
 
@@ -309,7 +310,8 @@ def water_units(state: DataFrame, scenarios: list[Scenario], search: Search) ->
             "scenario_id",
             "budget_ml",
             "thresholds",
-            F.col("village_id").alias("unit_no"),
+            F.col("village_id").alias("unit_id"),
+            whole_number(eligible, "village_id").alias("unit_no"),
             "name",
             "canal_reach",
             F.col("yield_saveable_t").alias("benefit"),
@@ -328,7 +330,7 @@ def water_greedy(units: DataFrame, search: Search) -> DataFrame:
     """
     density = rounded((F.col("benefit") + search.fairness_w * F.col("fair")) / F.greatest("water", F.lit(1e-3)), 9)
     dense = units.withColumn("density", density)
-    placed = running_total(dense, F.col("water"), F.col("density"), ["unit_no"], ["scenario_id"], descending=True)
+    placed = running_total(dense, F.col("water"), F.col("density"), ["unit_id"], ["scenario_id"], descending=True)
     fits = rounded(F.col("before") + F.col("water"), 6) <= F.col("budget_ml")
     bulk = placed.where(fits).drop("before")
     used = bulk.groupBy("scenario_id").agg(F.sum("water").alias("used"))
@@ -348,7 +350,7 @@ def water_greedy(units: DataFrame, search: Search) -> DataFrame:
         return fits_now, (used + water if fits_now else used)
 
     walked = ordered_accept(
-        rest, ["scenario_id"], [F.col("density").desc(), F.col("unit_no")], ["water", "budget_ml", "used"], start, step
+        rest, ["scenario_id"], [F.col("density").desc(), F.col("unit_id")], ["water", "budget_ml", "used"], start, step
     )
     extra = walked.where("accepted").drop("accepted", "used")
     return bulk.unionByName(extra).drop("density")
@@ -385,7 +387,7 @@ def water_refined_members(units: DataFrame, best: DataFrame, search: Search, pas
     outside = (
         units.join(F.broadcast(label), "scenario_id")
         .where(rounded(F.col("used") + F.col("water"), 6) <= F.col("budget_ml"))
-        .join(members.select("scenario_id", "plan_id", "unit_no"), ["scenario_id", "plan_id", "unit_no"], "left_anti")
+        .join(members.select("scenario_id", "plan_id", "unit_id"), ["scenario_id", "plan_id", "unit_id"], "left_anti")
     )
 
     def start(water, budget, used):
@@ -399,7 +401,7 @@ def water_refined_members(units: DataFrame, best: DataFrame, search: Search, pas
     walked = ordered_accept(
         outside,
         ["scenario_id", "plan_id"],
-        [F.col("benefit").desc(), F.col("unit_no")],
+        [F.col("benefit").desc(), F.col("unit_id")],
         ["water", "budget_ml", "used"],
         start,
         step,

@@ -497,13 +497,13 @@ def shed_best(units):
 
 @query("shed_eligible", "scenario_id target_mw feeder_id name rank mw pain shed_hours_30d fair")
 def _(spark, d):
-    return shed_inputs(spark, d)[1].withColumnRenamed("unit_no", "feeder_id")
+    return shed_inputs(spark, d)[1].withColumnRenamed("unit_id", "feeder_id")
 
 
 @query("shed_greedy_plan", "scenario_id target_mw feeder_id mw pain fair")
 def _(spark, d):
     units = shed_inputs(spark, d)[1]
-    return plansearch.shed_greedy(units, SHED).withColumnRenamed("unit_no", "feeder_id")
+    return plansearch.shed_greedy(units, SHED).withColumnRenamed("unit_id", "feeder_id")
 
 
 @query("shed_candidates_topk", "scenario_id place plan_id n_members relief_mw pain_total fairness_penalty score")
@@ -520,13 +520,13 @@ def _(spark, d):
     units = shed_inputs(spark, d)[1]
     best = shed_best(units)
     members = plansearch.plan_members(units, best, plansearch.shed_greedy(units, SHED), SHED)
-    return members.join(best.select("scenario_id", "plan_id", "place"), ["scenario_id", "plan_id"]).withColumnRenamed("unit_no", "feeder_id")
+    return members.join(best.select("scenario_id", "plan_id", "place"), ["scenario_id", "plan_id"]).withColumnRenamed("unit_id", "feeder_id")
 
 
 @query("shed_refined_plans", "scenario_id plan_id place feeder_id mw pain fair")
 def _(spark, d):
     units = shed_inputs(spark, d)[1]
-    return plansearch.shed_refined_members(units, shed_best(units), SHED).withColumnRenamed("unit_no", "feeder_id")
+    return plansearch.shed_refined_members(units, shed_best(units), SHED).withColumnRenamed("unit_id", "feeder_id")
 
 
 @query("shed_plan_report", "scenario_id place plan_id target_mw n_feeders relief_mw pain_total fairness_penalty feasible score")
@@ -556,12 +556,12 @@ def water_best(units):
 
 @query("irrigation_eligible", "scenario_id budget_ml village_id benefit water fair")
 def _(spark, d):
-    return water_inputs(spark, d)[1].withColumnRenamed("unit_no", "village_id")
+    return water_inputs(spark, d)[1].withColumnRenamed("unit_id", "village_id")
 
 
 @query("irrigation_greedy_plan", "scenario_id budget_ml village_id benefit water fair")
 def _(spark, d):
-    return plansearch.water_greedy(water_inputs(spark, d)[1], WATER).withColumnRenamed("unit_no", "village_id")
+    return plansearch.water_greedy(water_inputs(spark, d)[1], WATER).withColumnRenamed("unit_id", "village_id")
 
 
 @query("irrigation_candidates_topk", "scenario_id place plan_id n_members benefit water fair score")
@@ -572,7 +572,7 @@ def _(spark, d):
 @query("irrigation_refined_plans", "scenario_id plan_id place village_id benefit water fair")
 def _(spark, d):
     units = water_inputs(spark, d)[1]
-    return plansearch.water_refined_members(units, water_best(units), WATER).withColumnRenamed("unit_no", "village_id")
+    return plansearch.water_refined_members(units, water_best(units), WATER).withColumnRenamed("unit_id", "village_id")
 
 
 @query("irrigation_plan_report", "scenario_id place plan_id budget_ml n_villages yield_saved_t water_used_ml tail_share fairness_bonus within_budget score")

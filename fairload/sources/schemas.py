@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, StructType
+from pyspark.sql.types import DoubleType, FloatType, StringType, StructType
 
 DDL = {
     # grid
@@ -32,13 +32,41 @@ AGRO_TABLES = ("ndvi", "plots", "villages", "blocks", "districts", "block_weathe
 FACT_TABLES = ("readings", "ndvi")
 
 
-def schema_of(name: str) -> StructType:
-    return StructType.fromDDL(DDL[name])
+# counters that the engine adds itself when a table comes without them
+ARRIVAL = {"readings": "reading_id", "ndvi": "pass_no"}
+
+
+def schema_of(name: str, text_ids: bool = False) -> StructType:
+    """Declared schema; ``text_ids`` for deployments whose ids are text and not numbers."""
+    ddl = DDL[name]
+    if text_ids:
+        counters = set(ARRIVAL.values()) | {"row_key"}
+        ddl = ", ".join(
+            c.replace(" bigint", " string") if c.endswith("_id bigint") and c.split()[0] not in counters else c
+            for c in ddl.split(", ")
+        )
+    return StructType.fromDDL(ddl)
+
+
+def with_keys(df: DataFrame, name: str) -> DataFrame:
+    """Bring a table of the landing layout to ours: arrival numbers by file order, a row key for
+    history rows, and the pass time under its name here."""
+    if name == "ndvi" and "pass_ts" not in df.columns and "date" in df.columns:
+        df = df.withColumnRenamed("date", "pass_ts")
+    arrival = ARRIVAL.get(name)
+    if arrival and arrival not in df.columns:
+        df = df.withColumn(arrival, F.monotonically_increasing_id())
+    if name == "tx_history" and "row_key" not in df.columns:
+        df = df.withColumn("row_key", F.pmod(F.xxhash64(*df.columns), F.lit(2147483647)))
+    return df
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Check and cast a table that brings its own schema; NaN becomes a missing value."""
-    declared = schema_of(name)
+    """Check and cast a table that brings its own schema; NaN becomes a missing value and text ids
+    stay text."""
+    df = with_keys(df, name)
+    texts = {f.name for f in df.schema if isinstance(f.dataType, StringType)}
+    declared = schema_of(name, text_ids=any(c.endswith("_id") for c in texts))
     absent = [f.name for f in declared if f.name not in df.columns]
     if absent:
         raise ValueError(f"table {name} lacks {', '.join(absent)}")

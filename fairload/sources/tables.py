@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, TimestampType
 
-from fairload.sources.schemas import AGRO_TABLES, FACT_TABLES, GRID_TABLES, conform, schema_of
+from fairload.sources.schemas import AGRO_TABLES, FACT_TABLES, GRID_TABLES, conform, schema_of, with_keys
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
@@ -14,8 +16,21 @@ def _missing(error: AnalysisException) -> bool:
     return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
-def read_table(spark: SparkSession, folder: str, name: str, pattern: str | None = None) -> DataFrame:
-    """``<folder>/<name>.parquet`` or, failing that, ``<folder>/<name>.csv``.
+def _typed(rows: DataFrame, declared: StructType) -> DataFrame:
+    """Text columns of a CSV file to their declared types; columns that are not declared go."""
+    columns = []
+    for f in declared:
+        if f.name in rows.columns:
+            c = F.col(f.name)
+            timed = isinstance(f.dataType, TimestampType)
+            columns.append((F.to_timestamp(c, TIMESTAMP_FORMAT) if timed else c.cast(f.dataType)).alias(f.name))
+    return rows.select(*columns)
+
+
+def read_table(
+    spark: SparkSession, folder: str, name: str, pattern: str | None = None, text_ids: bool = False
+) -> DataFrame:
+    """``<folder>/<name>.parquet`` or, failing that, ``<folder>/<name>.csv`` (columns by header).
 
     ``pattern`` (for example ``readings_*``) reads all part files of a fact table as one table.
     Any file system that Spark can open will do.
@@ -27,29 +42,26 @@ def read_table(spark: SparkSession, folder: str, name: str, pattern: str | None
         if not _missing(error):
             raise
     try:
-        rows = spark.read.schema(schema_of(name)).csv(
-            f"{stem}.csv", header=True, timestampFormat=TIMESTAMP_FORMAT
-        )
-        return conform(rows, name)
+        rows = with_keys(spark.read.csv(f"{stem}.csv", header=True), name)
+        return conform(_typed(rows, schema_of(name, text_ids)), name)
     except AnalysisException as error:
         if _missing(error):
             raise FileNotFoundError(f"neither {stem}.parquet nor {stem}.csv exists") from error
         raise
 
 
-def read_bundle(spark: SparkSession, folder: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
-    return {
-        name: read_table(spark, folder, name, f"{name}_*" if name in FACT_TABLES else None)
-        for name in names
-    }
+def read_bundle(spark: SparkSession, folder: str, names: tuple[str, ...], text_ids: bool = False) -> dict[str, DataFrame]:
+    patterns = {**{n: f"{n}_*" for n in FACT_TABLES}, "block_weather": "weather" if "ndvi" in names else None}
+    return {name: read_table(spark, folder, name, patterns.get(name), text_ids) for name in names}
 
 
-def grid_bundle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return read_bundle(spark, folder, GRID_TABLES)
+def grid_bundle(spark: SparkSession, folder: str, text_ids: bool = False) -> dict[str, DataFrame]:
+    """One fact table in parts and its dimensions, from a landing folder."""
+    return read_bundle(spark, folder, GRID_TABLES, text_ids)
 
 
-def agro_bundle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return read_bundle(spark, folder, AGRO_TABLES)
+def agro_bundle(spark: SparkSession, folder: str, text_ids: bool = False) -> dict[str, DataFrame]:
+    return read_bundle(spark, folder, AGRO_TABLES, text_ids)
 
 
 def save_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> str:
