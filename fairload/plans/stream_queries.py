@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairload.plans.queries import query
+from fairload.session import fresh_dir
 from fairload.settings import GridSettings
 from fairload.sources.mapping import TEXTS, logical_tables, source_schema
 from fairload.streaming import telemetry
@@ -37,7 +38,8 @@ def _(spark, d):
 def _intervals(spark, d):
     t = logical_tables(spark, d)
     load = telemetry.transformer_load(readings_stream(spark, d), t["meters"], t["transformers"], SETTINGS)
-    return t, telemetry.run_to_table(load, "stream_tx_load")
+    folder = fresh_dir(spark, "stream_tx_load")
+    return t, telemetry.run_to_table(load, "stream_tx_load", folder), f"{folder}/table"
 
 
 @query("stream_tx_load", "transformer_id feeder_id capacity_kva ts kw sags n_meters loading")
@@ -47,8 +49,7 @@ def _(spark, d):
 
 @query("stream_sliding_stress", "transformer_id feeder_id loading_mean loading_max overload_minutes sag_count thermal_stress kw_now p_fail_72h")
 def _(spark, d):
-    t, table = _intervals(spark, d)
-    path = table.inputFiles()[0].rsplit("/", 1)[0]
+    t, table, path = _intervals(spark, d)
     closed = spark.readStream.schema(table.schema).parquet(path)
     return telemetry.rescored(closed, lambda: table, t["transformers"])
 

@@ -72,6 +72,15 @@ def write_agro_results(plan: AgroPlan, out: str) -> None:
     plan.summary.write.mode("overwrite").json(f"{out}/system.json", ignoreNullFields=False)
 
 
+def write_plans(report: DataFrame, members: DataFrame, out: str) -> None:
+    """The best plans, and their members as rows: a plan may have very many."""
+    report.write.mode("overwrite").json(f"{out}/plans.json", ignoreNullFields=False)
+    chosen = members.drop("place", "thresholds").join(
+        report.select("scenario_id", "plan_id", "place"), ["scenario_id", "plan_id"]
+    )
+    chosen.write.mode("overwrite").json(f"{out}/plan_members.json", ignoreNullFields=False)
+
+
 def read_results(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A published result set with its declared schema."""
     return spark.read.schema(RESULT_DDL[name]).json(f"{folder}/{name}.json")

@@ -49,10 +49,8 @@ def first_readings(readings: DataFrame, p: GridSettings, late: str = LATE) -> Da
     )
 
 
-def transformer_load(
-    readings: DataFrame, meters: DataFrame, transformers: DataFrame, p: GridSettings, late: str = LATE
-) -> DataFrame:
-    """Closed intervals of transformer load. Missing or impossible readings add nothing: a median
+def usable_readings(readings: DataFrame, meters: DataFrame, p: GridSettings, late: str = LATE) -> DataFrame:
+    """Closed slots of known meters as power. Missing or impossible readings add nothing: a median
     over the meter's history is not known within a micro-batch."""
     usable = first_readings(readings, p, late).select(
         F.window_time("slot_window").alias("at"),
@@ -60,9 +58,14 @@ def transformer_load(
         (F.coalesce(cleaning.plausible_kwh(F.col("kwh"), p), F.lit(0.0)) * p.kw_per_kwh).alias("kw"),
         cleaning.sag_flag(F.col("voltage"), p).alias("is_sag"),
     )
-    placed = usable.join(meters.select("meter_id", "transformer_id"), "meter_id").join(
-        transformers.select(*TX_KEYS), "transformer_id"
-    )
+    return usable.join(meters.select("meter_id", "transformer_id"), "meter_id")
+
+
+def transformer_load(
+    readings: DataFrame, meters: DataFrame, transformers: DataFrame, p: GridSettings, late: str = LATE
+) -> DataFrame:
+    """Closed intervals of transformer load, the topology joined as static tables."""
+    placed = usable_readings(readings, meters, p, late).join(transformers.select(*TX_KEYS), "transformer_id")
     window = F.window("at", f"{p.grain_s} seconds").alias("w")
     summed = placed.groupBy(window, *TX_KEYS).agg(
         F.sum("kw").alias("kw"), F.sum("is_sag").alias("sags"), F.count(F.lit(1)).alias("n_meters")
@@ -80,14 +83,7 @@ def transformer_load(
 def feeder_load(
     readings: DataFrame, meters: DataFrame, transformers: DataFrame, p: GridSettings, late: str = LATE
 ) -> DataFrame:
-    """Closed intervals of feeder load, the topology joined as static tables."""
-    usable = first_readings(readings, p, late).select(
-        F.window_time("slot_window").alias("at"),
-        "meter_id",
-        (F.coalesce(cleaning.plausible_kwh(F.col("kwh"), p), F.lit(0.0)) * p.kw_per_kwh).alias("kw"),
-        cleaning.sag_flag(F.col("voltage"), p).alias("is_sag"),
-    )
-    placed = usable.join(meters.select("meter_id", "transformer_id"), "meter_id").join(
+    placed = usable_readings(readings, meters, p, late).join(
         transformers.select("transformer_id", "feeder_id"), "transformer_id"
     )
     summed = placed.groupBy(F.window("at", f"{p.grain_s} seconds").alias("w"), "feeder_id").agg(
