@@ -96,7 +96,10 @@ def plan_totals(units: DataFrame, measures: list[str], search: Search) -> DataFr
     )
     runs = F.sequence(F.lit(0), F.lit((3 * per - 1) // RUN_PLANS))
     blocks = tiled.select("scenario_id", "thresholds", "members", F.explode(runs).alias("run"), "tile")
-    blocks = blocks.repartition("scenario_id", "tile", "run")
+    # a stated number of partitions: blocks are few bytes but much work, and sizing by bytes would
+    # put them all into one task
+    parallel = 2 * units.sparkSession.sparkContext.defaultParallelism
+    blocks = blocks.repartition(parallel, "scenario_id", "tile", "run")
     schema = "scenario_id bigint, plan_id bigint, n_members bigint, " + ", ".join(f"{m} double" for m in measures)
 
     def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
