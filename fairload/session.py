@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +25,26 @@ def get_or_create(app: str = "fairload", **conf: str) -> SparkSession:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin what results depend on; leave sizing to the cluster's own settings."""
+    """Pin what results depend on and ship this package; leave sizing to the cluster's own settings."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that Python workers can import it wherever they start."""
+    context = spark.sparkContext
+    if getattr(context, "_has_fairload", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="fairload-")) / "fairload-package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))  # the driver serves it to the executors
+    context._has_fairload = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the session.
 
