@@ -7,13 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairload.llm import secrets_dfa, simhash, warc
+from fairload.llm import (
+    decontaminate,
+    licenses,
+    line_dedup,
+    lz_fingerprint,
+    mixing,
+    quality_gam,
+    secrets_dfa,
+    simhash,
+    toxicity,
+    warc,
+)
 from fairload.llm.common import table
 from fairload.session import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Target shares of expected tokens by text domain.
+TARGETS = {"en": 0.45, "de": 0.18, "fr": 0.18, "es": 0.17, "junk": 0.02}
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op2_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = mixing.text_domains(docs, table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, labelled, TARGETS, keep=["doc_id", "source", "lang"])
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
@@ -31,12 +60,40 @@ def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_dfa.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op4_simhash_near_dedup, op5_warc_archive, op9_secret_scan)
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_mix_to_targets,
+        op3_line_dedup,
+        op4_simhash_near_dedup,
+        op5_warc_archive,
+        op6_decontaminate,
+        op7_lz_fingerprint,
+        op8_quality_gam,
+        op9_secret_scan,
+        op10_toxicity,
+    )
 }
 
 ORACLE: dict[str, str] = {

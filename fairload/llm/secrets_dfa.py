@@ -13,7 +13,6 @@ Offsets are code points, the end is exclusive.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -330,29 +329,24 @@ def to_code_points(data: bytes, spans: list[tuple[str, int, int]]) -> list[tuple
     return [(kind, at[a], at[b]) for kind, a, b in spans]
 
 
-FINDINGS = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+FINDINGS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per input row: counts of the base kinds, digest of the base spans, and all spans."""
-    scanner = docs.sparkSession.sparkContext.broadcast(Scanner(rules))  # a few hundred states: under 1 MB
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = scanner.value
-        for frame in frames:
-            rows = []
-            for text in frame["text"]:
-                data = text.encode("utf-8")
-                spans = to_code_points(data, find.spans(data))
-                base = [s for s in spans if s[0] in BASE_KINDS]
-                kinds = [s[0] for s in base]
-                digest = hashlib.sha256(",".join("%s:%d:%d" % s for s in base).encode()).hexdigest()
-                rows.append(
-                    (kinds.count("assign"), kinds.count("access"), kinds.count("hex"), digest)
-                    + (",".join("%s:%d:%d" % s for s in spans),)
-                )
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-            out.insert(0, "doc_id", frame["doc_id"].astype("Int64").array)
-            yield out
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(scan, FINDINGS)
+    scanner = docs.sparkSession.sparkContext.broadcast(Scanner(rules))  # transition arrays of about 1 MB
+
+    def scan(texts: pd.Series) -> pd.DataFrame:
+        find, rows = scanner.value, []
+        for text in texts:
+            data = text.encode("utf-8")
+            spans = to_code_points(data, find.spans(data))
+            base = [s for s in spans if s[0] in BASE_KINDS]
+            kinds = [s[0] for s in base]
+            digest = hashlib.sha256(",".join("%s:%d:%d" % s for s in base).encode()).hexdigest()
+            counts = (kinds.count("assign"), kinds.count("access"), kinds.count("hex"))
+            rows.append((*counts, digest, ",".join("%s:%d:%d" % s for s in spans)))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in FINDINGS.split(", ")])
+
+    found = F.pandas_udf(scan, FINDINGS)(F.coalesce("text", F.lit("")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found")).select("doc_id", "found.*")

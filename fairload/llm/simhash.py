@@ -15,8 +15,6 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -44,16 +42,13 @@ def fingerprint(text: str, shingle: int) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and its fingerprint as a signed long."""
+def fingerprint_of(shingle: int) -> Column:
+    """Fingerprint of the column ``text`` as a signed long."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            values = np.array([fingerprint(t, shingle) for t in frame["text"]], dtype=np.int64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": values})
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(run, "doc_id long, fp long")
+    return F.pandas_udf(run, "long")(F.coalesce("text", F.lit("")))
 
 
 def _segment(fp: Column, k: int) -> Column:
@@ -78,16 +73,40 @@ def links(distinct: DataFrame, max_bits: int) -> DataFrame:
     return found.where(near & once).select("src", "dst").distinct()
 
 
+def _groups(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root): the group of each distinct fingerprint."""
+    roots = components(links(distinct, max_bits), "simhash-components").withColumnRenamed("node", "fp")
+    return distinct.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links."""
-    printed = written(fingerprints(docs, shingle), "simhash")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_of(shingle).alias("fp"))
+    printed = written(ids, "simhash")
     distinct = written(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = components(links(distinct, max_bits), "simhash-components")
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
+    named = distinct.join(_groups(distinct, max_bits), "fp")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id")
     return printed.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """One document of each group: the smallest doc_id, then the least hash of the text; columns as before.
+
+    Rows that repeat both doc_id and text are one document.
+    """
+    key = [
+        F.col("doc_id").isNull().alias("k_none"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k_id"),
+        F.xxhash64("text").alias("k_text"),
+    ]
+    printed = written(docs.select(*key, fingerprint_of(shingle).alias("fp")), "simhash")
+    first = F.min(F.struct("k_none", "k_id", "k_text")).alias("first")
+    distinct = written(printed.groupBy("fp").agg(first), "simhash-distinct")
+    kept = distinct.join(_groups(distinct, max_bits), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select("first.*")
+    rows = docs.select(F.struct("*").alias("d"), *key)
+    names = ["k_none", "k_id", "k_text"]
+    return rows.join(kept, names).dropDuplicates(names).select(*(F.col(f"d.`{c}`").alias(c) for c in docs.columns))
