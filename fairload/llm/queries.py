@@ -97,6 +97,44 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_line_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                   unnest(range(len(string_split(text, chr(10))))) AS line_no
+            FROM documents
+        ), lines AS (
+            SELECT doc_id, line_no, line, list_filter(string_split_regex(line, '[\t-\r ]+'), lambda w: w <> '') AS words
+            FROM split
+        ), firsts AS (
+            SELECT array_to_string(words, ' ') AS line_key, any_value(words) AS words, min((doc_id, line_no)) AS spot
+            FROM lines WHERE len(words) >= 5 GROUP BY 1
+        ), long AS (SELECT * FROM firsts WHERE len(words) >= 10
+        ), variants AS (
+            SELECT line_key, spot, place, array_to_string(list_concat(words[:place], words[place + 2:]), ' ') AS variant
+            FROM (SELECT *, unnest(range(len(words))) AS place FROM long)
+        ), near AS (
+            SELECT v.line_key FROM variants v
+            JOIN (SELECT variant, place, min(spot) AS least FROM variants GROUP BY 1, 2) USING (variant, place)
+            WHERE v.spot > least
+            UNION
+            SELECT l.line_key FROM long l JOIN (SELECT variant, min(spot) AS least FROM variants GROUP BY 1) v
+              ON v.variant = l.line_key WHERE l.spot > least
+            UNION
+            SELECT v.line_key FROM variants v JOIN long l ON v.variant = l.line_key WHERE v.spot > l.spot
+        ), judged AS (
+            SELECT l.doc_id, l.line_no, l.line, n.line_key IS NOT NULL AS is_near,
+                   n.line_key IS NULL AND len(l.words) >= 5 AND f.spot <> (l.doc_id, l.line_no) AS is_copy
+            FROM lines l LEFT JOIN firsts f ON f.line_key = array_to_string(l.words, ' ')
+            LEFT JOIN near n ON n.line_key = f.line_key
+        )
+        SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_copies, 0) AS n_copies, coalesce(n_near, 0) AS n_near,
+               CASE WHEN text IS NOT NULL THEN sha256(coalesce(rest, '')) END AS rest_sha256
+        FROM documents LEFT JOIN (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (is_copy) AS n_copies, count(*) FILTER (is_near) AS n_near,
+                   string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT is_near AND NOT coalesce(is_copy, false)) AS rest
+            FROM judged GROUP BY 1
+        ) USING (doc_id)
+    """,
     "op5_warc_archive": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
