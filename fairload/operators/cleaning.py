@@ -83,7 +83,11 @@ def clean_readings(readings: DataFrame, meters: DataFrame, p: GridSettings) -> D
 
 def grid_ledger(readings: DataFrame, meters: DataFrame, p: GridSettings) -> DataFrame:
     """Counts of every fix, each taken on what the fixes before it left over."""
-    slots = reading_slots(readings, p)
+    return ledger_of_slots(reading_slots(readings, p), meters, p)
+
+
+def ledger_of_slots(slots: DataFrame, meters: DataFrame, p: GridSettings) -> DataFrame:
+    """As ``grid_ledger``, from one row for each meter and slot and its ``copies``."""
     marked = slots.join(meters.select("meter_id", F.lit(True).alias("_known")), "meter_id", "left")
     known = F.coalesce("_known", F.lit(False))
     fixed = repaired_kwh(F.col("kwh"), p)

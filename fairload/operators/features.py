@@ -72,15 +72,31 @@ def customer_mix(meters: DataFrame, transformers: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- regular load grid
 
 
-def load_grid(fd_int: DataFrame, p: GridSettings) -> DataFrame:
+def _span(fd_int: DataFrame) -> Column:
+    return fd_int.agg(F.struct(F.min("ts").alias("first"), F.max("ts").alias("last")).alias("span")).scalar()
+
+
+def slot_list(fd_int: DataFrame, p: GridSettings) -> DataFrame:
+    """slot, ts: every slot from the fleet's first to its last interval, from one sequence."""
+    ends = fd_int.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).where(F.col("first").isNotNull())
+    slots = F.sequence(F.lit(0).cast("bigint"), slot_number(F.col("last"), F.col("first"), p.grain_s))
+    numbered = ends.select("first", F.explode(slots).alias("slot"))
+    return numbered.select("slot", slot_time(F.col("first"), F.col("slot"), p.grain_s).alias("ts"))
+
+
+def load_grid(fd_int: DataFrame, p: GridSettings, last: int | None = None) -> DataFrame:
     """One row for each feeder and slot from the fleet's first to its last interval.
 
     Every feeder row is expanded with its own run of slot numbers and then meets its readings on
-    the key; there is no product of two tables. Cells without a reading hold a missing kw.
+    the key; there is no product of two tables. Cells without a reading hold a missing kw. ``last`` keeps
+    only so many slots, and the intervals are filtered by time before anything is expanded; slot numbers
+    stay those of the whole span.
     """
-    span = fd_int.agg(F.struct(F.min("ts").alias("first"), F.max("ts").alias("last")).alias("span")).scalar()
+    span, keep = _span(fd_int), last
     first, last = F.col("_span.first"), F.col("_span.last")
-    slots = F.sequence(F.lit(0).cast("bigint"), slot_number(last, first, p.grain_s))
+    end = slot_number(last, first, p.grain_s)
+    begin = F.lit(0).cast("bigint") if keep is None else F.greatest(F.lit(0).cast("bigint"), end - (keep - 1))
+    slots = F.sequence(begin, end)
     cells = (
         fd_int.select("feeder_id")
         .distinct()
@@ -88,7 +104,11 @@ def load_grid(fd_int: DataFrame, p: GridSettings) -> DataFrame:
         .select("feeder_id", first.alias("_first"), F.explode(slots).alias("slot"))
         .select("feeder_id", "slot", slot_time(F.col("_first"), F.col("slot"), p.grain_s).alias("ts"))
     )
-    return cells.join(fd_int.select("feeder_id", "ts", "kw"), ["feeder_id", "ts"], "left")
+    known = fd_int.select("feeder_id", "ts", "kw")
+    if keep is not None:
+        newest = fd_int.agg(F.max("ts")).scalar()
+        known = known.where(F.col("ts") > newest - F.make_dt_interval(secs=F.lit(float(keep * p.grain_s))))
+    return cells.join(known, ["feeder_id", "ts"], "left")
 
 
 def load_lags(grid: DataFrame, p: GridSettings) -> DataFrame:

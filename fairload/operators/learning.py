@@ -6,25 +6,37 @@ rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+from pyspark.sql.window import Window
 
+from fairload.functions.codes import factor_labels, top_factors
 from fairload.functions.numeric import at_least, rounded, whole_number
 from fairload.functions.ordering import auc
 from fairload.functions.timegrid import slot_time
+from fairload.operators import scoring
 from fairload.operators.features import calendar
 from fairload.operators.scoring import held_out
 from fairload.session import fresh_dir
-from fairload.settings import CROP_FEATURES, TX_FEATURES, GridSettings, LogitCard
+from fairload.settings import (
+    CROP_FEATURES,
+    CROP_LABELS,
+    TX_FEATURES,
+    TX_LABELS,
+    YIELD_FLOOR,
+    AgroSettings,
+    GridSettings,
+    LogitCard,
+)
 
 
 @dataclass(frozen=True)
@@ -33,22 +45,58 @@ class Boosting:
     depth: int = 6
     rate: float = 0.08
     subsample: float = 0.9
+    columns: float = 0.9  # share of the inputs that a tree node may choose from
     seed: int = 7
 
+    def shortened(self, rounds: int | None) -> Boosting:
+        """The same with at most ``rounds`` rounds; unchanged without a number."""
+        return self if rounds is None else replace(self, rounds=min(rounds, self.rounds))
+
 
 RISK = Boosting()
-RISK_FAST = Boosting(rounds=120)
 LOSS = Boosting(rounds=350, depth=5, rate=0.09)
-LOSS_FAST = Boosting(rounds=120, depth=5, rate=0.09)
 YIELD = Boosting(rounds=400, depth=5, rate=0.09)
-YIELD_FAST = Boosting(rounds=150, depth=5, rate=0.09)
 LOAD = Boosting(rounds=500, depth=7)
-LOAD_FAST = Boosting(rounds=150, depth=7)
 
 
-def with_vector(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    """Adds ``inputs``; rows with a missing feature are left out."""
-    return VectorAssembler(inputCols=list(features), outputCol="inputs", handleInvalid="skip").transform(df)
+def training_means(rows: DataFrame, features: tuple[str, ...]) -> dict[str, float]:
+    means = rows.agg(*[F.avg(f) for f in features]).first()
+    return {f: float(m) if m is not None else 0.0 for f, m in zip(features, means)}
+
+
+def with_vector(df: DataFrame, features: tuple[str, ...], means: dict[str, float]) -> DataFrame:
+    """Adds ``inputs``. A missing input counts as the mean of the training rows: every row stays."""
+    filled = {f"_in_{f}": F.coalesce(F.col(f).cast("double"), F.lit(means[f])) for f in features}
+    assembler = VectorAssembler(inputCols=list(filled), outputCol="inputs")
+    return assembler.transform(df.withColumns(filled)).drop(*filled)
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """A boosted-tree model with its inputs and what a missing input stands for."""
+
+    model: object
+    features: tuple[str, ...]
+    means: dict[str, float]
+
+    def _scored(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(with_vector(df, self.features, self.means))
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """Adds ``prediction``."""
+        return self._scored(df).drop("inputs")
+
+    def probability(self, df: DataFrame, name: str) -> DataFrame:
+        """Adds the probability of class 1 as ``name``."""
+        kept = df.columns
+        return self._scored(df).select(*kept, vector_to_array("probability")[1].alias(name))
+
+
+def _fit(kind: type, p: Boosting, rows: DataFrame, features: tuple[str, ...], label: str) -> Fitted:
+    """Fit on the rows that have a label."""
+    labelled = rows.where(F.col(label).isNotNull())
+    means = training_means(labelled, features)
+    return Fitted(_booster(kind, p, label).fit(with_vector(labelled, features, means)), features, means)
 
 
 def _split(df: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
@@ -64,68 +112,100 @@ def _booster(kind: type, p: Boosting, label: str):
         maxDepth=p.depth,
         stepSize=p.rate,
         subsamplingRate=p.subsample,
+        featureSubsetStrategy=str(p.columns),
         seed=p.seed,
     )
 
 
-def _probability(model, df: DataFrame, features: tuple[str, ...], name: str) -> DataFrame:
-    scored = model.transform(with_vector(df, features))
-    kept = [c for c in scored.columns if c not in ("inputs", "rawPrediction", "probability", "prediction")]
-    return scored.select(*kept, vector_to_array("probability")[1].alias(name))
-
-
-def holdout_auc(model, history: DataFrame, features: tuple[str, ...], key: Column, label: str) -> DataFrame:
+def holdout_auc(fitted: Fitted, history: DataFrame, key: Column, label: str) -> DataFrame:
     _, held = _split(history, key)
-    scored = _probability(model, held, features, "p").withColumn("p", rounded(F.col("p"), 9))
+    scored = fitted.probability(held, "p").withColumn("p", rounded(F.col("p"), 9))
     return auc(scored, label, "p", bounds=(0.0, 1.0))
 
 
-def train_risk(history: DataFrame, p: Boosting = RISK):
+def train_risk(history: DataFrame, p: Boosting = RISK) -> Fitted:
     """Boosted-tree classifier of failures in the next 72 h."""
-    train, _ = _split(with_vector(history, TX_FEATURES), F.col("row_key"))
-    return _booster(GBTClassifier, p, "failed_next72h").fit(train)
+    return _fit(GBTClassifier, p, _split(history, F.col("row_key"))[0], TX_FEATURES, "failed_next72h")
 
 
-def history_key() -> Column:
-    return F.pmod(F.xxhash64("village_id", "season"), F.lit(1_000_003))
+def history_key(history: DataFrame) -> Column:
+    return whole_number(history, "village_id") * 10_007 + F.col("season")
 
 
-def train_loss(history: DataFrame, p: Boosting = LOSS):
-    train, _ = _split(with_vector(history, CROP_FEATURES), history_key())
-    return _booster(GBTClassifier, p, "loss_event").fit(train)
+def train_loss(history: DataFrame, p: Boosting = LOSS) -> Fitted:
+    return _fit(GBTClassifier, p, _split(history, history_key(history))[0], CROP_FEATURES, "loss_event")
 
 
-def train_yield(history: DataFrame, p: Boosting = YIELD):
-    train, _ = _split(with_vector(history, CROP_FEATURES), history_key())
-    return _booster(GBTRegressor, p, "yield_t_ha").fit(train)
+def train_yield(history: DataFrame, p: Boosting = YIELD) -> Fitted:
+    return _fit(GBTRegressor, p, _split(history, history_key(history))[0], CROP_FEATURES, "yield_t_ha")
 
 
-def with_probability(model, df: DataFrame, features: tuple[str, ...], name: str) -> DataFrame:
-    return _probability(model, df, features, name)
+def with_yield(fitted: Fitted, df: DataFrame, floor: float) -> DataFrame:
+    return fitted.predict(df).withColumn("yield_pred", at_least(F.col("prediction"), floor)).drop("prediction")
 
 
-def with_yield(model, df: DataFrame, features: tuple[str, ...], floor: float) -> DataFrame:
-    scored = model.transform(with_vector(df, features))
-    return scored.drop("inputs").withColumn("yield_pred", at_least(F.col("prediction"), floor)).drop("prediction")
+def score_transformers(fitted: Fitted, stress: DataFrame, transformers: DataFrame) -> DataFrame:
+    """As ``scoring.score_transformers``, by the fitted trees and what they say about each row."""
+    live = fitted.probability(scoring.transformer_inputs(stress, transformers), "p_fail_72h")
+    return _with_reasons(live, fitted, TX_LABELS, "reason_codes")
+
+
+def score_villages(loss: Fitted, yields: Fitted, features: DataFrame, p: AgroSettings) -> DataFrame:
+    """As ``scoring.score_villages``, by fitted trees."""
+    added = {name: c for name, c in scoring.crop_inputs(p).items() if name not in features.columns}
+    live = loss.probability(features.withColumns(added), "p_loss")
+    scored = _with_reasons(with_yield(yields, live, YIELD_FLOOR), loss, CROP_LABELS, "model_codes")
+    return scored.drop(*added)
 
 
 # ---------------------------------------------------------------- linear models
 
 
-def fit_logit(history: DataFrame, features: tuple[str, ...], label: str, key: Column, labels: dict[str, str]) -> LogitCard:
-    """Logistic regression as a card, so that scoring and contributions are plain columns."""
-    train, _ = _split(history, key)
-    model = LogisticRegression(featuresCol="inputs", labelCol=label, maxIter=100).fit(with_vector(train, features))
-    stats = train.agg(*[F.avg(f) for f in features], *[F.stddev_pop(f) for f in features]).first()
+def _standardised(rows: DataFrame, features: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, list[Column]]:
+    """Mean and deviation of the inputs, and the columns 1, z1 .. zn."""
+    moments = rows.agg(*[F.avg(f) for f in features], *[F.stddev_pop(f) for f in features]).first()
     n = len(features)
-    mean, scale = stats[:n], [max(s or 0.0, 1e-9) for s in stats[n:]]
-    slopes = model.coefficients.toArray()
+    mean, scale = np.array(moments[:n]), np.array(moments[n:]) + 1e-9
+    z = [(F.col(f) - float(m)) / float(s) for f, m, s in zip(features, mean, scale)]
+    return mean, scale, [F.lit(1.0), *z]
+
+
+def _symmetric(upper: list[float], n: int) -> np.ndarray:
+    out = np.zeros((n, n))
+    out[np.triu_indices(n)] = upper
+    return out + np.triu(out, 1).T
+
+
+NEWTON_STEPS = 8
+
+
+def fit_logit(history: DataFrame, features: tuple[str, ...], label: str, key: Column, labels: dict[str, str]) -> LogitCard:
+    """Logistic regression as a card, so that scoring and contributions are plain columns.
+
+    ``NEWTON_STEPS`` Newton steps from zero on the standardised inputs. A step is one aggregate of sums of
+    products over all rows; only those few numbers are solved on the driver.
+    """
+    train, _ = _split(history.where(F.col(label).isNotNull()), key)
+    train = train.fillna(training_means(train, features))  # a missing input counts as the mean
+    mean, scale, z = _standardised(train, features)
+    n = len(z)
+    w = np.zeros(n)
+    for _ in range(NEWTON_STEPS):
+        odds = sum((c * float(v) for c, v in zip(z[1:], w[1:])), F.lit(float(w[0])))
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
+        rows = train.select(*[c.alias(f"z{i}") for i, c in enumerate(z)], p.alias("p"), F.col(label).alias("y"))
+        at = [F.col(f"z{i}") for i in range(n)]
+        spread = F.col("p") * (1.0 - F.col("p"))
+        products = [F.sum(spread * at[i] * at[j]) for i in range(n) for j in range(i, n)]
+        sums = rows.agg(*products, *[F.sum(c * (F.col("y") - F.col("p"))) for c in at]).first()
+        curve = _symmetric(sums[: len(products)], n) + 1e-6 * np.eye(n)
+        w = w + np.linalg.solve(curve, np.array(sums[len(products) :]))
     return LogitCard(
         features=features,
-        mean=tuple(float(m) for m in mean),
-        scale=tuple(float(s) for s in scale),
-        weight=tuple(float(w * s) for w, s in zip(slopes, scale)),
-        bias=float(model.intercept + sum(w * m for w, m in zip(slopes, mean))),
+        mean=tuple(map(float, mean)),
+        scale=tuple(map(float, scale)),
+        weight=tuple(map(float, w[1:])),
+        bias=float(w[0]),
         labels=labels,
     )
 
@@ -136,16 +216,13 @@ def fit_ridge(df: DataFrame, features: tuple[str, ...], target: str, penalty: fl
     The inputs are standardised by population mean and deviation and the intercept goes without
     penalty. Two aggregate passes give the sums of products; only those few numbers are solved.
     """
-    rows = df.dropna(subset=[*features, target])
-    moments = rows.agg(*[F.avg(f) for f in features], *[F.stddev_pop(f) for f in features]).first()
+    rows = df.where(F.col(target).isNotNull())
+    rows = rows.fillna(training_means(rows, features))  # a missing input counts as the mean
+    mean, scale, z = _standardised(rows, features)
     n = len(features)
-    mean, scale = np.array(moments[:n]), np.array(moments[n:]) + 1e-9
-    z = [F.lit(1.0)] + [(F.col(f) - float(m)) / float(s) for f, m, s in zip(features, mean, scale)]
     products = [F.sum(z[i] * z[j]) for i in range(n + 1) for j in range(i, n + 1)]
     sums = rows.agg(*products, *[F.sum(c * F.col(target)) for c in z]).first()
-    gram = np.zeros((n + 1, n + 1))
-    gram[np.triu_indices(n + 1)] = sums[: len(products)]
-    gram = gram + np.triu(gram, 1).T + penalty * np.diag([0.0] + [1.0] * n)
+    gram = _symmetric(sums[: len(products)], n + 1) + penalty * np.diag([0.0] + [1.0] * n)
     w = np.linalg.solve(gram, np.array(sums[len(products) :]))
     slopes = w[1:] / scale
     return (float(w[0] - slopes @ mean), *map(float, slopes))
@@ -179,17 +256,32 @@ def _gapless(names: tuple[str, ...]) -> dict[str, Column]:
     return {n: F.coalesce(n, "recent_mean", F.lit(0.0)) for n in names}
 
 
-def train_load(load_features: DataFrame, p: GridSettings, boosting: Boosting = LOAD):
+def feeder_codes(load: DataFrame) -> DataFrame:
+    """A small number for each feeder: its own id, or its place in order if ids are text."""
+    feeders = load.select("feeder_id").distinct()
+    if not isinstance(load.schema["feeder_id"].dataType, StringType):
+        return feeders.withColumn("feeder_code", F.col("feeder_id").cast("double"))
+    place = F.row_number().over(Window.orderBy("feeder_id"))  # a row a feeder
+    return feeders.withColumn("feeder_code", place.cast("double"))
+
+
+def train_load(load_features: DataFrame, p: GridSettings, boosting: Boosting = LOAD) -> Fitted | None:
+    """Boosted trees on lags, temperature and time of day; None if there is too little to learn from.
+
+    With at most a day of history the lag of a day is unknown everywhere and counts as the recent mean, so
+    that the four latest slots carry the forecast.
+    """
     lags = ("lag_1", "lag_2", "lag_3", "lag_4", "lag_day", "recent_mean")
-    rows = (
-        load_features.where((F.col("slot") >= p.slots_per_day) & F.col("kw").isNotNull())
-        .withColumns(_gapless(lags))
-        .withColumn("feeder_code", whole_number(load_features, "feeder_id").cast("double"))
-    )
-    return _booster(GBTRegressor, boosting, "kw").fit(with_vector(rows, LOAD_INPUTS))
+    known = load_features.where(F.col("kw").isNotNull())
+    newest = known.agg(F.max("slot")).first()[0]
+    if newest is None or newest < 4:
+        return None
+    warm = p.slots_per_day if newest > p.slots_per_day + p.steps_ahead else 4
+    rows = known.where(F.col("slot") >= warm).withColumns(_gapless(lags)).join(feeder_codes(load_features), "feeder_id")
+    return _fit(GBTRegressor, boosting, rows, LOAD_INPUTS, "kw")
 
 
-def recursive_forecast(model, grid: DataFrame, future_temp: DataFrame, p: GridSettings) -> DataFrame:
+def recursive_forecast(fitted: Fitted, grid: DataFrame, future_temp: DataFrame, p: GridSettings) -> DataFrame:
     """Step by step, each prediction feeding the lags of the next.
 
     A feeder is one row that carries its last day as an array (at most one day of slots), so every
@@ -204,22 +296,23 @@ def recursive_forecast(model, grid: DataFrame, future_temp: DataFrame, p: GridSe
     )
     temps = future_temp.agg(F.array_sort(F.collect_list(F.struct("step", "temp_c"))).alias("t")).scalar()
     level = F.coalesce("_level", F.lit(0.0))
-    state = last_day.withColumn("_temps", temps).select(
+    state = last_day.join(feeder_codes(grid), "feeder_id").withColumn("_temps", temps).select(
         "feeder_id",
-        whole_number(grid, "feeder_id").cast("double").alias("feeder_code"),
+        "feeder_code",
         F.col("_end.ts").alias("_newest"),
         "_temps",
         F.transform("_points", lambda e: F.coalesce(e["kw"], level)).alias("_tail"),
     )
     for step in range(1, steps + 1):
-        back = lambda n: F.element_at("_tail", -n)
+        # a history shorter than a day has no such lag: the recent mean stands in
+        back = lambda n: F.coalesce(F.try_element_at("_tail", F.lit(-n)), F.lit(0.0))
         inputs = {f"lag_{n}": back(n) for n in (1, 2, 3, 4)}
-        inputs["lag_day"] = back(season)
         inputs["recent_mean"] = (back(1) + back(2) + back(3) + back(4)) / 4.0
+        inputs["lag_day"] = F.coalesce(F.try_element_at("_tail", F.lit(-season)), inputs["recent_mean"])
         inputs["temp_c"] = F.coalesce(F.try_element_at("_temps", F.lit(step)).getField("temp_c"), F.lit(0.0))
         at = slot_time(F.col("_newest"), F.lit(step), p.grain_s)
         inputs["hod_sin"], inputs["hod_cos"] = calendar(at)
-        predicted = model.transform(with_vector(state.withColumns(inputs), LOAD_INPUTS))
+        predicted = fitted.predict(state.withColumns(inputs))
         value = F.greatest("prediction", F.lit(0.0))
         state = predicted.select(
             "feeder_id", "feeder_code", "_newest", "_temps", F.concat("_tail", F.array(value)).alias("_tail")
@@ -271,32 +364,48 @@ def ensemble_nodes(model) -> list[TreeNodes]:
     return out
 
 
-def tree_contributions(model, df: DataFrame, features: tuple[str, ...], id_column: str) -> DataFrame:
-    """How far each feature moves the ensemble's score on its way down the trees.
+def contribution_column(fitted: Fitted) -> Column:
+    """How far each input moves the score on its way down the trees: one array a row, the base last.
 
-    Long form: id, feature, contribution. The contributions of a row and its ``(base)`` entry add
-    up to the score. Trees travel with the task; rows stream through in Arrow batches.
+    The entries add up to the ensemble's raw score. Trees travel with the task; rows stream through in
+    Arrow batches. A missing input takes the way of its training mean, as in scoring.
     """
-    trees, names = ensemble_nodes(model), list(features)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = batch[names].to_numpy(dtype=float)
-            moved, base, every = np.zeros(x.shape), 0.0, np.arange(len(x))
-            for t in trees:
-                at = np.zeros(len(x), dtype=int)
-                base += t.weight * t.value[0]
-                while (t.left[at] >= 0).any():
-                    inner = every[t.left[at] >= 0]
-                    node = at[inner]
-                    goes_left = x[inner, t.feature[node]] <= t.threshold[node]
-                    child = np.where(goes_left, t.left[node], t.right[node])
-                    moved[inner, t.feature[node]] += t.weight * (t.value[child] - t.value[node])
-                    at[inner] = child
-            for i, name in enumerate([*names, "(base)"]):
-                part = moved[:, i] if i < len(names) else np.full(len(x), base)
-                yield pd.DataFrame({id_column: batch[id_column], "feature": name, "contribution": part})
-
-    kind = dict(df.dtypes)[id_column]
-    rows = df.dropna(subset=names).select(id_column, *[F.col(f).cast("double").alias(f) for f in names])
-    return rows.mapInPandas(walk, f"{id_column} {kind}, feature string, contribution double")
+    trees, width = ensemble_nodes(fitted.model), len(fitted.features)
+
+    def walk(*inputs: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(dtype=float) for c in inputs])
+        moved, every = np.zeros((len(x), width + 1)), np.arange(len(x))
+        for t in trees:
+            at = np.zeros(len(x), dtype=int)
+            moved[:, width] += t.weight * t.value[0]
+            while (t.left[at] >= 0).any():
+                inner = every[t.left[at] >= 0]
+                node = at[inner]
+                goes_left = x[inner, t.feature[node]] <= t.threshold[node]
+                child = np.where(goes_left, t.left[node], t.right[node])
+                moved[inner, t.feature[node]] += t.weight * (t.value[child] - t.value[node])
+                at[inner] = child
+        return pd.Series(list(moved))
+
+    known = [F.coalesce(F.col(f).cast("double"), F.lit(fitted.means[f])) for f in fitted.features]
+    return F.pandas_udf(walk, "array<double>")(*known)
+
+
+def tree_contributions(fitted: Fitted, df: DataFrame, id_column: str) -> DataFrame:
+    """Long form: id, feature, contribution. Those of a row and its ``(base)`` add up to the raw score."""
+    names = F.array(*[F.lit(f) for f in (*fitted.features, "(base)")])
+    pairs = F.arrays_zip(names.alias("feature"), F.col("_moved").alias("contribution"))
+    rows = df.select(id_column, contribution_column(fitted).alias("_moved"))
+    return rows.select(id_column, F.inline(pairs)).toDF(id_column, "feature", "contribution")
+
+
+def _with_reasons(df: DataFrame, fitted: Fitted, labels: dict[str, str], name: str) -> DataFrame:
+    """Adds ``factors``, the inputs that push the log-odds up most, and their labels as ``name``."""
+    moved = df.withColumn("_moved", contribution_column(fitted))
+    parts = [F.get("_moved", F.lit(i)) * 2.0 for i in range(len(fitted.features))]  # log-odds: twice the raw score
+    values = [F.col(f).cast("double") for f in fitted.features]
+    return (
+        moved.withColumn("factors", top_factors(fitted.features, parts, values))
+        .withColumn(name, factor_labels(F.col("factors"), labels))
+        .drop("_moved")
+    )

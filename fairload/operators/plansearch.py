@@ -23,12 +23,15 @@ from pyspark.sql.window import Window
 from fairload.functions.folding import ordered_accept
 from fairload.functions.numeric import rounded, unit_uniform, whole_number
 from fairload.functions.ordering import running_total
+from fairload.session import staged
 
 MODULUS = 2147483647
 INTENSITIES = (0.8, 1.0, 1.3)
-MAX_CANDIDATES = 500_000
 TILE_UNITS = 512
-RUN_PLANS = 2048
+RUN_PLANS = 2048  # plans of one dense product
+RANGE_PLANS = 1 << 18  # plans whose sums a task holds at once
+HELD_RANGES = 16
+WALK_ROWS = 10_000  # rows of all requests that one task may walk in order
 
 
 @dataclass(frozen=True)
@@ -38,10 +41,11 @@ class Search:
     seed: int = 0
     fairness_w: float = 0.30
     overshoot_w: float = 0.15
+    top_up: int = 3  # villages that refining may add to an irrigation plan
 
     @property
     def per_intensity(self) -> int:
-        return min(self.n_candidates, MAX_CANDIDATES) // 3
+        return self.n_candidates // 3
 
     @property
     def evaluated(self) -> int:
@@ -68,16 +72,36 @@ def plan_number(per: int) -> Column:
     return F.floor((F.col("plan_id") - 1) / F.lit(per)).cast("int")
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo 2**31 - 1 for 0 <= x < 2**62, by shifts: a Mersenne prime needs no division."""
+    x = (x & MODULUS) + (x >> 31)
+    x = (x & MODULUS) + (x >> 31)
+    return np.where(x >= MODULUS, x - MODULUS, x)
+
+
 def _coins(plans: np.ndarray, units: np.ndarray, seed: int) -> np.ndarray:
-    mixed = (plans[:, None] * 7919 + units[None, :] * 104729 + (seed * 15485863 + 11)) % MODULUS
-    return ((mixed * mixed + plans[:, None] * 31 + units[None, :] * 17) % MODULUS) / float(MODULUS)
+    """Whole numbers below ``MODULUS`` fixed by (plan, unit, seed), as ``unit_uniform`` tosses them."""
+    plan_a, plan_b = plans * 7919 % MODULUS, plans * 31 % MODULUS
+    unit_a, unit_b = (units * 104729 + (seed * 15485863 + 11)) % MODULUS, units * 17 % MODULUS
+    mixed = _reduced(plan_a[:, None] + unit_a[None, :])
+    mixed *= mixed
+    return _reduced(_reduced(mixed) + plan_b[:, None] + unit_b[None, :])
+
+
+def _limits(thresholds: np.ndarray) -> np.ndarray:
+    """For each threshold the number of coins below it: ``coin / MODULUS < threshold`` on whole numbers."""
+    count = np.floor(thresholds * MODULUS).astype(np.int64) + 2
+    for _ in range(4):  # the division is rounded, so step down to the exact place
+        count = np.where((count - 1) / float(MODULUS) >= thresholds, count - 1, count)
+    return count
 
 
 def plan_totals(units: DataFrame, measures: list[str], search: Search) -> DataFrame:
     """scenario_id, plan_id, n_members and the sum of each measure, for all sampled plans.
 
     ``units`` has scenario_id, unit_id, unit_no, thresholds (one inclusion probability for each intensity)
-    and the measures.
+    and the measures. A tile of units travels once for each range of plans, and a task adds up the
+    tiles it sees before it gives out a row: what is shuffled afterwards is plans x tasks, not plans x tiles.
     """
     per, seed = search.per_intensity, search.seed
     if per == 0:
@@ -85,37 +109,58 @@ def plan_totals(units: DataFrame, measures: list[str], search: Search) -> DataFr
         empty = ", ".join(f"{m} double" for m in measures)
         return units.sparkSession.createDataFrame([], f"{per_schema}, {empty}")
     tiles = F.greatest(F.lit(1), F.ceil(units.agg(F.count(F.lit(1)).alias("n")).scalar() / TILE_UNITS))
+    as_double = [F.collect_list(F.col(m).cast("double")).alias(m) for m in measures]
+    parallel = 2 * units.sparkSession.sparkContext.defaultParallelism
     tiled = (
-        units.withColumn("tile", F.pmod(F.xxhash64("unit_id"), tiles))
-        .groupBy("scenario_id", "tile")
-        .agg(
-            F.first("thresholds").alias("thresholds"),
-            # about TILE_UNITS entries each, as the number of tiles grows with the unit table
-            F.collect_list(F.struct("unit_no", *[F.col(m).cast("double").alias(m) for m in measures])).alias("members"),
-        )
+        units.fillna(0.0, subset=measures)  # lists leave missing values out and would come apart
+        .withColumn("n_tiles", tiles)
+        .withColumn("tile", F.pmod(F.xxhash64("unit_id"), F.col("n_tiles")))
+        .groupBy("scenario_id", "tile", "n_tiles")
+        # about TILE_UNITS entries each, as the number of tiles grows with the unit table
+        .agg(F.first("thresholds").alias("thresholds"), F.collect_list("unit_no").alias("unit_no"), *as_double)
+    )
+    # as many ranges as keep all tasks busy when tiles are few, and none larger than RANGE_PLANS
+    least = -(-3 * per // RANGE_PLANS)
+    ranges = F.greatest(F.lit(least).cast("bigint"), F.ceil(F.lit(parallel) / F.col("n_tiles")))
+    ranges = F.least(ranges, F.lit(-(-3 * per // RUN_PLANS)).cast("bigint"))
+    blocks = tiled.withColumn("ranges", ranges).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ranges") - 1)).alias("range")
     )
-    runs = F.sequence(F.lit(0), F.lit((3 * per - 1) // RUN_PLANS))
-    blocks = tiled.select("scenario_id", "thresholds", "members", F.explode(runs).alias("run"), "tile")
     # a stated number of partitions: blocks are few bytes but much work, and sizing by bytes would
     # put them all into one task
-    parallel = 2 * units.sparkSession.sparkContext.defaultParallelism
-    blocks = blocks.repartition(parallel, "scenario_id", "tile", "run")
+    blocks = blocks.repartition(parallel, "scenario_id", "tile", "range")
     schema = "scenario_id bigint, plan_id bigint, n_members bigint, " + ", ".join(f"{m} double" for m in measures)
 
     def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for scenario, thresholds, members, run in zip(
-                batch["scenario_id"], batch["thresholds"], batch["members"], batch["run"]
-            ):
-                first = 1 + int(run) * RUN_PLANS
-                plans = np.arange(first, min(first + RUN_PLANS, 3 * per + 1), dtype=np.int64)
-                numbers = np.array([m["unit_no"] for m in members], dtype=np.int64)
-                values = np.array([[1.0, *(m[c] for c in measures)] for m in members])
-                limit = np.asarray(thresholds, dtype=float)[(plans - 1) // per]
-                sums = (_coins(plans, numbers, seed) < limit[:, None]).astype(float) @ values
-                out = {"scenario_id": np.int64(scenario), "plan_id": plans, "n_members": sums[:, 0].astype(np.int64)}
+        held: dict[tuple[int, int, int], np.ndarray] = {}
+
+        def flushed() -> Iterator[pd.DataFrame]:
+            for (scenario, first, _), sums in held.items():
+                out = {"scenario_id": np.int64(scenario), "plan_id": first + np.arange(len(sums), dtype=np.int64)}
+                out["n_members"] = sums[:, 0].astype(np.int64)
                 out.update({m: sums[:, i + 1] for i, m in enumerate(measures)})
                 yield pd.DataFrame(out)
+            held.clear()
+
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                share = -(-3 * per // row["ranges"])
+                first = 1 + row["range"] * share
+                end = min(first + share, 3 * per + 1)
+                if first >= end:
+                    continue
+                numbers = np.asarray(row["unit_no"], dtype=np.int64)
+                values = np.column_stack([np.ones(len(numbers)), *(row[m] for m in measures)])
+                limits = _limits(np.asarray(row["thresholds"], dtype=float))
+                key = (row["scenario_id"], first, end)
+                if key not in held and len(held) >= HELD_RANGES:
+                    yield from flushed()
+                sums = held.setdefault(key, np.zeros((end - first, values.shape[1])))
+                for at in range(first, end, RUN_PLANS):
+                    plans = np.arange(at, min(at + RUN_PLANS, end), dtype=np.int64)
+                    chosen = _coins(plans, numbers, seed) < limits[(plans - 1) // per][:, None]
+                    sums[at - first : at - first + len(plans)] += chosen.astype(float) @ values
+        yield from flushed()
 
     partial = blocks.mapInPandas(dense, schema)
     return partial.groupBy("scenario_id", "plan_id").agg(
@@ -328,22 +373,22 @@ def water_units(state: DataFrame, scenarios: list[Scenario], search: Search) ->
 def water_greedy(units: DataFrame, search: Search) -> DataFrame:
     """Best value for each megalitre first; a village that no longer fits is passed over.
 
-    Up to the first village that does not fit this is a running total. Only the villages after it
-    that are small enough for what is left are then walked in order, one state for each scenario.
+    Up to the first village that does not fit this is a running total; the villages after it that are small
+    enough for what is left get another round. Once at most ``WALK_ROWS`` are left they are walked in order.
     """
     density = rounded((F.col("benefit") + search.fairness_w * F.col("fair")) / F.greatest("water", F.lit(1e-3)), 9)
     dense = units.withColumn("density", density)
     placed = running_total(dense, F.col("water"), F.col("density"), ["unit_id"], ["scenario_id"], descending=True)
     fits = rounded(F.col("before") + F.col("water"), 6) <= F.col("budget_ml")
     bulk = placed.where(fits).drop("before")
-    used = bulk.groupBy("scenario_id").agg(F.sum("water").alias("used"))
-    rest = (
-        placed.where(~fits)
-        .drop("before")
-        .join(used, "scenario_id", "left")
-        .withColumn("used", F.coalesce("used", F.lit(0.0)))
-        .where(rounded(F.col("used") + F.col("water"), 6) <= F.col("budget_ml"))
-    )
+    bulk, rest = _still_fitting(bulk, placed.where(~fits).drop("before"))
+    while not rest.limit(WALK_ROWS + 1).offset(WALK_ROWS).isEmpty():
+        # another round of the running total: what fits in a row is taken, what no longer fits is left out
+        asked = staged(rest, "water-rest")
+        placed = running_total(asked, F.col("water"), F.col("density"), ["unit_id"], ["scenario_id"], descending=True)
+        fits = rounded(F.col("used") + F.col("before") + F.col("water"), 6) <= F.col("budget_ml")
+        bulk = staged(bulk.unionByName(placed.where(fits).select(bulk.columns)), "water-bulk")
+        bulk, rest = _still_fitting(bulk, placed.where(~fits).select(bulk.columns))
 
     def start(water, budget, used):
         return used
@@ -359,6 +404,13 @@ def water_greedy(units: DataFrame, search: Search) -> DataFrame:
     return bulk.unionByName(extra).drop("density")
 
 
+def _still_fitting(bulk: DataFrame, rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows taken, and those of the others that what they leave can still afford, with ``used``."""
+    used = bulk.groupBy("scenario_id").agg(F.sum("water").alias("used"))
+    open_rows = rest.join(used, "scenario_id", "left").withColumn("used", F.coalesce("used", F.lit(0.0)))
+    return bulk, open_rows.where(rounded(F.col("used") + F.col("water"), 6) <= F.col("budget_ml"))
+
+
 def water_score(totals: DataFrame, search: Search) -> DataFrame:
     t = totals.withColumns({m: rounded(F.col(m), 6) for m in ("water", "benefit", "fair")})
     over = F.greatest(F.col("water") - F.col("budget_ml"), F.lit(0.0))
@@ -377,13 +429,13 @@ def water_plans(units: DataFrame, search: Search) -> DataFrame:
     return water_score(_with_targets(every, units, "budget_ml"), search)
 
 
-def water_refined_members(units: DataFrame, best: DataFrame, search: Search, passes: int = 3) -> DataFrame:
-    """Add to each plan the most beneficial villages it can still afford, at most ``passes``.
+def water_refined_members(units: DataFrame, best: DataFrame, search: Search) -> DataFrame:
+    """Add to each plan the most beneficial villages it can still afford, at most ``search.top_up``.
 
     Water left only shrinks, so a village that did not fit once never fits later: one walk in order
     of benefit adds the same villages as starting over after each.
     """
-    greedy = water_greedy(units, search)
+    greedy, most = water_greedy(units, search), search.top_up
     members = plan_members(units, best, greedy, search)
     label = best.select("scenario_id", "plan_id", "place", F.col("water").alias("used"))
     inside = members.join(F.broadcast(label), ["scenario_id", "plan_id"])
@@ -398,7 +450,7 @@ def water_refined_members(units: DataFrame, best: DataFrame, search: Search, pas
 
     def step(state, water, budget, _):
         used, added = state
-        take = added < passes and used + water <= budget + 1e-9
+        take = added < most and used + water <= budget + 1e-9
         return take, ((used + water, added + 1) if take else state)
 
     walked = ordered_accept(
@@ -414,7 +466,7 @@ def water_refined_members(units: DataFrame, best: DataFrame, search: Search, pas
 
 
 def water_report(members: DataFrame, search: Search) -> DataFrame:
-    """Plans within the budget, most yield saved first, ``top_k`` for each scenario."""
+    """Plans within the budget first, then most yield saved, ``top_k`` for each scenario."""
     keep = distinct_plans(members)
     totals = members.join(keep, ["scenario_id", "plan_id"]).groupBy("scenario_id", "plan_id", "budget_ml").agg(
         F.count(F.lit(1)).alias("n_members"),
@@ -423,8 +475,8 @@ def water_report(members: DataFrame, search: Search) -> DataFrame:
         F.sum("fair").alias("fair"),
         F.avg("tail").alias("tail_share"),
     )
-    scored = water_score(totals, search).where("water <= budget_ml + 1e-6")
-    order = Window.partitionBy("scenario_id").orderBy(F.col("benefit").desc(), "plan_id")
+    scored = water_score(totals, search).withColumn("within_budget", F.col("water") <= F.col("budget_ml") + 1e-6)
+    order = Window.partitionBy("scenario_id").orderBy(F.col("within_budget").desc(), F.col("benefit").desc(), "plan_id")
     best = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= search.top_k)
     return best.select(
         "scenario_id",
@@ -436,7 +488,7 @@ def water_report(members: DataFrame, search: Search) -> DataFrame:
         F.col("water").alias("water_used_ml"),
         rounded(F.col("tail_share"), 2).alias("tail_share"),
         F.col("fair").alias("fairness_bonus"),
-        F.lit(True).alias("within_budget"),
+        "within_budget",
         "score",
     )
 

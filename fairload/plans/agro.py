@@ -3,21 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairload.functions.numeric import rounded
-from fairload.functions.ordering import ranked
-from fairload.operators import cleaning, enrich, features, plansearch, rollup, scoring
+from fairload.functions.ordering import auc, ranked
+from fairload.operators import cleaning, enrich, features, learning, plansearch, rollup, scoring
 from fairload.plans.grid import Stage, as_is
 from fairload.settings import AgroSettings
 
 
+@dataclass(frozen=True)
+class AgroModels:
+    """How the models of the job are boosted."""
+
+    loss: learning.Boosting = learning.LOSS
+    yields: learning.Boosting = learning.YIELD
+
+
 class AgroPlan:
-    def __init__(self, tables: Mapping[str, DataFrame], settings: AgroSettings = AgroSettings(), stage: Stage = as_is):
-        self.tables, self.p, self.stage = tables, settings, stage
+    """``models`` None: closed-form stand-ins for loss and yield, which SQL can check."""
+
+    def __init__(
+        self,
+        tables: Mapping[str, DataFrame],
+        settings: AgroSettings = AgroSettings(),
+        stage: Stage = as_is,
+        models: AgroModels | None = None,
+    ):
+        self.tables, self.p, self.stage, self.models = tables, settings, stage, models
 
     # ---- passes
     @cached_property
@@ -60,8 +77,24 @@ class AgroPlan:
         return features.water_stress(self.tables["plots"], self.tables["villages"], self.block_weather)
 
     # ---- scores
+    @cached_property
+    def loss_model(self) -> learning.Fitted:
+        return learning.train_loss(self.tables["yield_history"], self.models.loss)
+
+    @cached_property
+    def loss_auc(self) -> DataFrame:
+        """One row: positives, negatives and auc of the held-out history."""
+        history, key = self.tables["yield_history"], learning.history_key(self.tables["yield_history"])
+        if self.models:
+            return learning.holdout_auc(self.loss_model, history, key, "loss_event")
+        held = scoring.crop_history_scores(history).where(scoring.held_out(key))
+        return auc(held, "loss_event", "p", bounds=(0.0, 1.0))
+
     @cached_property
     def village_scores(self) -> DataFrame:
+        if self.models:
+            yields = learning.train_yield(self.tables["yield_history"], self.models.yields)
+            return learning.score_villages(self.loss_model, yields, self.village_features, self.p)
         return scoring.score_villages(self.village_features, self.p)
 
     @cached_property
@@ -151,7 +184,7 @@ class AgroPlan:
             detail,
         )
 
-    def triggers(self, top: int = 300) -> DataFrame:
-        """Triggered villages in priority order."""
+    def triggers(self, top: int | None = None) -> DataFrame:
+        """Triggered villages: all, or the first ``top`` in priority order."""
         hit = self.village_cards.where("insurance_trigger = 1")
-        return hit.orderBy("rank").limit(top)
+        return hit if top is None else hit.orderBy("rank").limit(top)

@@ -7,14 +7,15 @@ stages read: nothing (one big lazy plan), or ``session.staged`` (written once to
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairload.functions.numeric import rounded
-from fairload.functions.ordering import ranked
-from fairload.operators import cleaning, enrich, features, forecast, plansearch, rollup, scoring
+from fairload.functions.ordering import auc, ranked
+from fairload.operators import cleaning, enrich, features, forecast, learning, plansearch, rollup, scoring
 from fairload.settings import GridSettings
 
 Stage = Callable[[DataFrame, str], DataFrame]
@@ -24,9 +25,25 @@ def as_is(df: DataFrame, label: str) -> DataFrame:
     return df
 
 
+@dataclass(frozen=True)
+class GridModels:
+    """How the models of the job are boosted."""
+
+    risk: learning.Boosting = learning.RISK
+    load: learning.Boosting = learning.LOAD
+
+
 class GridPlan:
-    def __init__(self, tables: Mapping[str, DataFrame], settings: GridSettings = GridSettings(), stage: Stage = as_is):
-        self.tables, self.p, self.stage = tables, settings, stage
+    """``models`` None: closed-form stand-ins for risk and a seasonal forecast, which SQL can check."""
+
+    def __init__(
+        self,
+        tables: Mapping[str, DataFrame],
+        settings: GridSettings = GridSettings(),
+        stage: Stage = as_is,
+        models: GridModels | None = None,
+    ):
+        self.tables, self.p, self.stage, self.models = tables, settings, stage, models
 
     # ---- telemetry
     @cached_property
@@ -71,7 +88,7 @@ class GridPlan:
     @cached_property
     def temperature(self) -> DataFrame:
         """slot, ts, temp_c on the regular grid of the load."""
-        slots = self.load_grid.select("slot", "ts").distinct()
+        slots = features.slot_list(self.fd_int, self.p)
         return slots.join(enrich.weather_at(slots, self.tables["weather"]), "ts")
 
     @cached_property
@@ -81,15 +98,40 @@ class GridPlan:
     # ---- forecast
     @cached_property
     def forecast(self) -> DataFrame:
-        return forecast.seasonal_naive(self.load_grid, self.p)
+        fitted = self.models and learning.train_load(self.load_features, self.p, self.models.load)
+        if fitted:
+            ahead = learning.recursive_forecast(fitted, self.recent_grid, self.future_temperature, self.p)
+            return self.stage(ahead, "forecast")
+        return forecast.seasonal_naive(self.recent_grid, self.p)
+
+    @cached_property
+    def recent_grid(self) -> DataFrame:
+        """The load grid of the last day and a window before it, all that a forecast looks at."""
+        return features.load_grid(self.fd_int, self.p, last=self.p.slots_per_day + 8)
 
     @cached_property
     def future_temperature(self) -> DataFrame:
         return forecast.future_temperature(self.temperature, self.p)
 
     # ---- scores
+    @cached_property
+    def risk_model(self) -> learning.Fitted:
+        return learning.train_risk(self.tables["tx_history"], self.models.risk)
+
+    @cached_property
+    def risk_auc(self) -> DataFrame:
+        """One row: positives, negatives and auc of the held-out history."""
+        history, key = self.tables["tx_history"], F.col("row_key")
+        if self.models:
+            return learning.holdout_auc(self.risk_model, history, key, "failed_next72h")
+        held = scoring.history_scores(history).where(scoring.held_out(key))
+        return auc(held, "failed_next72h", "p", bounds=(0.0, 1.0))
+
     @cached_property
     def tx_scores(self) -> DataFrame:
+        if self.models:
+            fitted = learning.score_transformers(self.risk_model, self.tx_stress, self.tables["transformers"])
+            return self.stage(fitted, "tx_scores")
         return scoring.score_transformers(self.tx_stress, self.tables["transformers"])
 
     @cached_property
@@ -196,8 +238,8 @@ class GridPlan:
             )
         )
 
-    def watchlist(self, top: int = 250) -> DataFrame:
-        """The transformers most likely to fail."""
+    def watchlist(self, top: int | None = None) -> DataFrame:
+        """Transformers, the most likely to fail first if ``top`` asks for so many; all without it."""
         detail = F.transform(
             "factors",
             lambda e: F.struct(
@@ -206,9 +248,9 @@ class GridPlan:
                 rounded(e["value"], 2).alias("value"),
             ),
         ).alias("contributions")
-        best = self.tx_scores.withColumn("p_fail_72h", rounded(F.col("p_fail_72h"), 4)).orderBy(
-            F.col("p_fail_72h").desc_nulls_last(), "transformer_id"
-        ).limit(top)
+        best = self.tx_scores.withColumn("p_fail_72h", rounded(F.col("p_fail_72h"), 4))
+        if top is not None:
+            best = best.orderBy(F.col("p_fail_72h").desc_nulls_last(), "transformer_id").limit(top)
         return best.select(
             "transformer_id",
             "feeder_id",

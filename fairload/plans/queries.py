@@ -169,7 +169,7 @@ def _(spark, d):
 @query("curated_feeder_load_view", "feeder_id ts kw")
 def _(spark, d):
     t = logical_tables(spark, d)
-    return rollup.curated_feeder_load(spark, t["readings"], t["meters"], t["transformers"])
+    return rollup.curated_feeder_load(t["readings"], t["meters"], t["transformers"], GridSettings())
 
 
 # ---------------------------------------------------------------- grid features

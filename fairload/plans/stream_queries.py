@@ -39,7 +39,8 @@ def _intervals(spark, d):
     t = logical_tables(spark, d)
     load = telemetry.transformer_load(readings_stream(spark, d), t["meters"], t["transformers"], SETTINGS)
     folder = fresh_dir(spark, "stream_tx_load")
-    return t, telemetry.run_to_table(load, "stream_tx_load", folder), f"{folder}/table"
+    table = telemetry.run_to_table(load.withColumn("day", F.to_date("ts")), "stream_tx_load", folder, ("day",))
+    return t, table, f"{folder}/table"
 
 
 @query("stream_tx_load", "transformer_id feeder_id capacity_kva ts kw sags n_meters loading")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +63,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder of the shared one for the intermediate tables of one run; deleted when the run ends."""
+    before = shared_dir(spark)
+    folder = f"{before}/run-{uuid.uuid4().hex}"
+    spark.conf.set("spark.checkpoint.dir", folder)
+    try:
+        yield folder
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 

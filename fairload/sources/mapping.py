@@ -65,7 +65,7 @@ TEXTS = {
                case when l_suppkey % 29 = 3 then floor(l_quantity / 55.0e0 * 10000.0e0 + 0.5e0) * 1.0e0
                     when l_orderkey % 41 = 0 then 1.2e0
                     else floor(l_quantity / 55.0e0 * 10000.0e0 + 0.5e0) / 10000.0e0 end as ndvi,
-               case when l_linenumber = 7 then 1 else 0 end as cloud_flag
+               case when l_linenumber = 7 or l_partkey % 37 = 5 then 1 else 0 end as cloud_flag
         from {lineitem}""",
     "plots": f"""
         select p_partkey as plot_id, p_partkey % {SUPPLIERS} as village_id,
@@ -85,7 +85,7 @@ TEXTS = {
     "districts": "select cast(r_regionkey as bigint) as district_id, r_name as name from {region}",
     "block_weather": """
         select cast(n_nationkey as bigint) as block_id, timestamp '2024-06-01 00:00:00' + d * interval '1' day as date,
-               case when (n_nationkey * 7 + d * 11) % 5 < 2 then 0.0e0 else cast((n_nationkey * 13 + d * 17) % 200 as double) / 10 end as rain_mm,
+               case when (n_nationkey * 7 + d * 11) % 5 < 2 or (n_nationkey % 6 = 1 and d % 9 <> 0) then 0.0e0 else cast((n_nationkey * 13 + d * 17) % 200 as double) / 10 end as rain_mm,
                cast(30 + d % 5 as double) as tmax, cast(20 + n_nationkey % 4 as double) as tmin
         from (select n_nationkey, {days} as d from {nation}) s""",
     "yield_history": f"""
@@ -97,9 +97,10 @@ TEXTS = {
                cast((village_id + season * 13) % 40 as double) / 100 as pest_index,
                yield_t_ha, avg(yield_t_ha) over (partition by village_id) as normal_yield,
                case when yield_t_ha < 0.8e0 * avg(yield_t_ha) over (partition by village_id) then 1 else 0 end as loss_event
-        from (select o_custkey % {SUPPLIERS} as village_id, cast(year(o_orderdate) as int) as season,
-                     floor(avg(o_totalprice) * 10.0e0 + 0.5e0) / 1000000.0e0 as yield_t_ha
-              from {{orders}} group by 1, 2) y""",
+        from (select village_id, season, price * case when village_id % 3 = 0 then 3.0e0 else 1.0e0 end as yield_t_ha
+              from (select o_custkey % {SUPPLIERS} as village_id, cast(year(o_orderdate) as int) as season,
+                           floor(avg(o_totalprice) * 10.0e0 + 0.5e0) / 1000000.0e0 as price
+                    from {{orders}} group by 1, 2) r where village_id % 17 <> 4) y""",
 }
 
 SPARK_DAYS = "explode(sequence(0, 119))"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairload.operators import rollup
@@ -36,7 +36,6 @@ RESULT_DDL = {
     "canal_reach string, p_loss double",
 }
 RESULT_DDL["triggers"] = RESULT_DDL["villages"]
-POINTS = "array<struct<ts timestamp, mw double>>"
 
 
 def write_backfill(
@@ -55,21 +54,56 @@ def system_record(plan: GridPlan) -> DataFrame:
     """The one-row system record: scalars, the last 96 points of load, and the forecast."""
     recent = rollup.latest_points(plan.system_load, 96).agg(F.array_sort(F.collect_list(F.struct("ts", "mw"))).alias("v"))
     ahead = plan.system_forecast.agg(F.array_sort(F.collect_list(F.struct("ts", "mw"))).alias("v"))
-    return plan.summary.withColumns({"system_load": recent.scalar(), "system_forecast": ahead.scalar()})
+    warmth = rollup.latest_points(plan.tables["weather"].select("ts", "temp_c"), 192, every=4)
+    coming = plan.future_temperature.select("step", "temp_c")
+    return plan.summary.withColumns(
+        {
+            "risk_model_auc": _auc(plan.risk_auc),
+            "data_quality": _ledger(plan.ledger),
+            "system_load": recent.scalar(),
+            "system_forecast": ahead.scalar(),
+            "temperature": warmth.agg(F.array_sort(F.collect_list(F.struct("ts", "temp_c")))).scalar(),
+            "future_temperature": coming.agg(F.array_sort(F.collect_list(F.struct("step", "temp_c")))).scalar(),
+        }
+    )
+
+
+def _auc(held: DataFrame) -> Column:
+    return held.select(F.round("auc", 4)).scalar()
+
+
+def _ledger(ledger: DataFrame) -> Column:
+    return ledger.select(F.struct("*")).scalar()
+
+
+def agro_record(plan: AgroPlan) -> DataFrame:
+    """The one-row system record: scalars, hold-out AUC, ledger, vegetation and rain by date (one entry a day)."""
+    point = F.struct("date", F.round("value", 3).alias("value"))
+    curve = lambda kind: plan.region_series.where(F.col("kind") == kind).agg(
+        F.array_sort(F.collect_list(point))
+    ).scalar()
+    return plan.summary.withColumns(
+        {
+            "risk_model_auc": _auc(plan.loss_auc),
+            "data_quality": _ledger(plan.ledger),
+            "ndvi_curve": curve("ndvi"),
+            "rain_curve": curve("rain"),
+        }
+    )
 
 
 def write_grid_results(plan: GridPlan, out: str) -> None:
     plan.feeder_cards.write.mode("overwrite").json(f"{out}/feeders.json", ignoreNullFields=False)
-    plan.watchlist(250).write.mode("overwrite").json(f"{out}/transformers.json", ignoreNullFields=False)
+    plan.watchlist().write.mode("overwrite").json(f"{out}/transformers.json", ignoreNullFields=False)
     plan.state.write.mode("overwrite").json(f"{out}/feeder_state.json", ignoreNullFields=False)
     system_record(plan).write.mode("overwrite").json(f"{out}/system.json", ignoreNullFields=False)
 
 
 def write_agro_results(plan: AgroPlan, out: str) -> None:
     plan.village_cards.write.mode("overwrite").json(f"{out}/villages.json", ignoreNullFields=False)
-    plan.triggers(300).write.mode("overwrite").json(f"{out}/triggers.json", ignoreNullFields=False)
+    plan.triggers().write.mode("overwrite").json(f"{out}/triggers.json", ignoreNullFields=False)
     plan.state.write.mode("overwrite").json(f"{out}/village_state.json", ignoreNullFields=False)
-    plan.summary.write.mode("overwrite").json(f"{out}/system.json", ignoreNullFields=False)
+    agro_record(plan).write.mode("overwrite").json(f"{out}/system.json", ignoreNullFields=False)
 
 
 def write_plans(report: DataFrame, members: DataFrame, out: str) -> None:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType, StructType
+from pyspark.sql.window import Window
 
 DDL = {
     # grid
@@ -48,6 +50,46 @@ def schema_of(name: str, text_ids: bool = False) -> StructType:
     return StructType.fromDDL(ddl)
 
 
+ROWS_A_FILE = 1 << 40
+
+
+def with_arrival(df: DataFrame, name: str) -> DataFrame:
+    """Number the rows of a file table in file order: by path, then by place in the file.
+
+    Spark reads large files first and cuts them into splits, so the order in which tasks see rows says
+    nothing. Parquet rows carry their place in the file. Lines of text files do not; they are counted by
+    split, which costs a second read.
+    """
+    files = sorted(df.inputFiles())
+    numbered = df.sparkSession.createDataFrame(
+        [(path, n) for n, path in enumerate(files)], "_path string, _file bigint"
+    )  # a row a file
+    place = df.select("*", F.col("_metadata.file_path").alias("_path"), _place_in_file(df).alias("_place"))
+    columns = [c for c in place.columns if c not in ("_path", "_place")]
+    if dict(place.dtypes)["_place"] == "bigint":
+        found = place.join(F.broadcast(numbered), "_path")
+        return found.select(*columns, (F.col("_file") * ROWS_A_FILE + F.col("_place")).alias(name))
+    split = [F.col("_path"), F.col("_place.start").alias("_start")]
+    sizes = place.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"), F.min("_place.row").alias("_first"))
+    before = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_path", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    found = place.withColumn("_start", F.col("_place.start")).join(starts, ["_path", "_start"])
+    found = found.join(F.broadcast(numbered), "_path")
+    at = F.col("_before") + F.col("_place.row") - F.col("_first")
+    return found.select(*columns, (F.col("_file") * ROWS_A_FILE + at).alias(name))
+
+
+def _place_in_file(df: DataFrame) -> Column:
+    """Row number in the file where the format knows it, else the split and a number that grows within it."""
+    try:
+        df.select("_metadata.row_index")
+        return F.col("_metadata.row_index")
+    except AnalysisException:
+        return F.struct(
+            F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")
+        )
+
+
 def with_keys(df: DataFrame, name: str) -> DataFrame:
     """Bring a table of the landing layout to ours: arrival numbers by file order, a row key for
     history rows, and the pass time under its name here."""
@@ -55,7 +97,7 @@ def with_keys(df: DataFrame, name: str) -> DataFrame:
         df = df.withColumnRenamed("date", "pass_ts")
     arrival = ARRIVAL.get(name)
     if arrival and arrival not in df.columns:
-        df = df.withColumn(arrival, F.monotonically_increasing_id())
+        df = with_arrival(df, arrival)
     if name == "tx_history" and "row_key" not in df.columns:
         df = df.withColumn("row_key", F.pmod(F.xxhash64(*df.columns), F.lit(2147483647)))
     return df

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from fairload.functions.timegrid import snap
 from fairload.operators import cleaning, features, scoring
 from fairload.operators.rollup import TX_KEYS, loading
-from fairload.session import fresh_dir
+from fairload.session import fresh_dir, staged
 from fairload.settings import GridSettings
 
 LATE = "45 minutes"
@@ -95,13 +95,16 @@ def feeder_load(
 # ---------------------------------------------------------------- sinks
 
 
-def run_to_table(stream: DataFrame, label: str, out: str | None = None) -> DataFrame:
+def run_to_table(
+    stream: DataFrame, label: str, out: str | None = None, partition_by: tuple[str, ...] = ()
+) -> DataFrame:
     """Process all that has landed, append to a table, and return the table."""
     spark = stream.sparkSession
     folder = out or fresh_dir(spark, label)
     (
         stream.writeStream.format("parquet")
         .outputMode("append")
+        .partitionBy(*partition_by)
         .option("path", f"{folder}/table")
         .option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True)
@@ -111,14 +114,16 @@ def run_to_table(stream: DataFrame, label: str, out: str | None = None) -> DataF
     return spark.read.schema(stream.schema).parquet(f"{folder}/table")
 
 
-def run_each_batch(stream: DataFrame, label: str, work: Callable[[DataFrame], DataFrame], columns: str) -> DataFrame:
+def run_each_batch(
+    stream: DataFrame, label: str, work: Callable[[DataFrame, int], DataFrame], columns: str, out: str | None = None
+) -> DataFrame:
     """Apply a batch function to every micro-batch. A batch replaces its own folder, so one that is
     tried again after a failure does not count twice."""
     spark = stream.sparkSession
-    folder = fresh_dir(spark, label)
+    folder = out or fresh_dir(spark, label)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        work(batch).write.mode("overwrite").parquet(f"{folder}/table/batch_id={batch_id}")
+        work(batch, batch_id).write.mode("overwrite").parquet(f"{folder}/table/batch_id={batch_id}")
 
     (
         stream.writeStream.foreachBatch(write)
@@ -136,9 +141,35 @@ LEDGER = (
 )
 
 
-def batch_ledgers(readings: DataFrame, meters: DataFrame, p: GridSettings) -> DataFrame:
-    """The data-quality ledger of every micro-batch."""
-    return run_each_batch(readings, "ledger", lambda batch: cleaning.grid_ledger(batch, meters, p), LEDGER)
+def batch_ledgers(readings: DataFrame, meters: DataFrame, p: GridSettings, out: str | None = None) -> DataFrame:
+    """The data-quality ledger of every micro-batch; the ledgers add up to that of all readings.
+
+    A reading sent again in a later batch counts as a duplicate there: each batch looks up its slots among
+    those of earlier batches, which are kept by day, so only the days of the batch are read.
+    """
+    spark = readings.sparkSession
+    folder = f"{out}/seen" if out else fresh_dir(spark, "ledger-seen")
+    seen_schema = "batch_id bigint, day date, meter_id " + dict(meters.dtypes)["meter_id"] + ", ts timestamp"
+
+    def work(batch: DataFrame, batch_id: int) -> DataFrame:
+        slots = staged(cleaning.reading_slots(batch, p).withColumn("day", F.to_date("ts")), "ledger-batch")
+        slots.select("day", "meter_id", "ts").write.mode("overwrite").partitionBy("day").parquet(
+            f"{folder}/batch_id={batch_id}"
+        )  # replaced if the batch is tried again
+        days = [r["day"] for r in slots.select("day").distinct().collect()]  # the days of one batch
+        before = (
+            spark.read.schema(seen_schema)
+            .parquet(folder)
+            .where((F.col("batch_id") < batch_id) & F.col("day").isin(days))
+            .select("meter_id", "ts", F.lit(True).alias("again"))
+        )
+        marked = slots.drop("day").join(before, ["meter_id", "ts"], "left")
+        fresh = marked.where(F.col("again").isNull()).drop("again")
+        repeats = marked.where("again").agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).scalar()
+        counted = cleaning.ledger_of_slots(fresh, meters, p)
+        return counted.withColumns({c: F.col(c) + repeats for c in ("rows_in", "duplicates_removed")})
+
+    return run_each_batch(readings, "ledger", work, LEDGER, out)
 
 
 STRESS = (
@@ -151,12 +182,16 @@ def rescored(intervals: DataFrame, history: Callable[[], DataFrame], transformer
     """Sliding 24 h stress and risk after every micro-batch of closed intervals.
 
     A 24 h window sliding by 15 minutes would copy each row 96 times. Instead each batch names the
-    newest interval, and only the trailing day of the interval table (``history``) is read again.
+    newest interval, and only the trailing day of the interval table (``history``) is read again; a table that
+    is partitioned by ``day`` opens two days of files for it.
     """
 
-    def work(batch: DataFrame) -> DataFrame:
+    def work(batch: DataFrame, batch_id: int) -> DataFrame:
         newest = batch.agg(F.max("ts").alias("t")).scalar()
-        recent = history().where(F.col("ts") > newest - F.expr("interval 24 hours")).where(F.col("ts") <= newest)
+        table = history()
+        if "day" in table.columns:
+            table = table.where(F.col("day") >= F.to_date(newest - F.expr("interval 24 hours"))).drop("day")
+        recent = table.where(F.col("ts") > newest - F.expr("interval 24 hours")).where(F.col("ts") <= newest)
         scores = scoring.score_transformers(features.transformer_stress(recent), transformers)
         return scores.select(*[c.split()[0] for c in STRESS.split(", ")])
 

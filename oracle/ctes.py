@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from fairload.sources.mapping import SOURCE_TABLES, TEXTS
+from oracle import fits
 
 GRAIN = 21600  # seconds between grid points in queries that need a dense load grid
 
@@ -351,7 +352,7 @@ BLOCKS: dict[str, str] = {
     "water_firsts": "select scenario_id, arg_min(plan_id, place) as plan_id from water_sets group by scenario_id, members",
     "water_final": f"""select *, {dec('-(benefit + 0.35e0 * fair) + 100.0e0 * greatest(water - budget_ml, 0)')} as score from (
             select scenario_id, plan_id, budget_ml, count(*) as n_members, {dec('sum(benefit)')} as benefit, {dec('sum(water)')} as water, {dec('sum(fair)')} as fair, avg(tail) as tail_share
-            from water_refined join water_firsts using (scenario_id, plan_id) group by 1, 2, 3) t where water <= budget_ml + 1e-6""",
+            from water_refined join water_firsts using (scenario_id, plan_id) group by 1, 2, 3) t""",
 }
 
 # walks in order, one row at a time
@@ -368,6 +369,33 @@ RECURSIVE: dict[str, str] = {
           from water_walk w join water_line l on l.scenario_id = w.scenario_id and l.pos = w.pos + 1""",
 }
 
+# fitted models: rows that are not held out, weights, and live rows with the push of each input
+TX_HELD = "((row_key % 1000003) * 7919 + (row_key % 998244353) * 104729 + 17) % 10007 % 100 >= 85"
+CROP_HELD = "(((village_id * 10007 + season) % 1000003) * 7919 + ((village_id * 10007 + season) % 998244353) * 104729 + 17) % 10007 % 100 >= 85"
+
+
+def _fitted_push(inputs: list[str]) -> list[str]:
+    return [f"((cast({v} as double) - m{i}) / s{i} * x{i})" for i, v in enumerate(inputs, 1)]
+
+
+_RISK_FIT, _RISK_W = fits.logit(f"select * from tx_history where not ({TX_HELD})", tuple(TX_PUSH), "failed_next72h", "rl")
+_LOSS_FIT, _LOSS_W = fits.logit(f"select * from yield_history where not ({CROP_HELD})", tuple(CROP_PUSH), "loss_event", "ll")
+_YIELD_FIT, _YIELD_W = fits.ridge("select * from yield_history", tuple(CROP_PUSH), "yield_t_ha", "yr")
+_CROP_LIVE = [v for v, _ in CROP_PUSH.values()]
+_ONES = lambda parts: "1.0e0 / (1.0e0 + exp(-(x0 + " + " + ".join(parts) + ")))"
+BLOCKS |= dict(_RISK_FIT + _LOSS_FIT + _YIELD_FIT) | {
+    "rl_live": f"select t.*, m.*, w.* from tx_inputs t, rl_m m, {_RISK_W} w",
+    "rl_factors": _factor_rows("rl_live", "transformer_id", dict(zip(TX_PUSH, zip(TX_PUSH, _fitted_push(list(TX_PUSH))))), TX_CODE),
+    "rl_codes": "select transformer_id, string_agg(code, ', ' order by pos) as reason_codes from rl_factors group by 1",
+    "rl_scores": f"select transformer_id, feeder_id, {_ONES(_fitted_push(list(TX_PUSH)))} as p_fail_72h from rl_live",
+    "ll_live": f"select v.*, m.*, w.* from vf v, ll_m m, {_LOSS_W} w",
+    "ll_factors": _factor_rows("ll_live", "village_id", dict(zip(CROP_PUSH, zip(_CROP_LIVE, _fitted_push(_CROP_LIVE)))), CROP_CODE),
+    "ll_codes": "select village_id, string_agg(code, ', ' order by pos) as model_codes from ll_factors group by 1",
+    "ll_scores": f"select village_id, {_ONES(_fitted_push(_CROP_LIVE))} as p_loss from ll_live",
+    "yr_live": f"select village_id, greatest(x0 + {' + '.join(_fitted_push(_CROP_LIVE))}, 0.2e0) as yield_pred from vf, yr_m, {_YIELD_W}",
+    "yr_fit": f"select village_id, season, yield_t_ha, x0 + {' + '.join(_fitted_push(list(CROP_PUSH)))} as yield_fit from yield_history, yr_m, {_YIELD_W}",
+}
+
 _MAPPED = {
     name: text.replace("{days}", "unnest(generate_series(0, 119))").format(**{t: t for t in SOURCE_TABLES})
     for name, text in TEXTS.items()

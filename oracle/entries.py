@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.ctes import GRAIN, PER, SHED_ASKED, WATER_ASKED, _logit, _push, _scenarios, dec, sql
+from oracle.ctes import CROP_HELD, GRAIN, PER, SHED_ASKED, TX_HELD, WATER_ASKED, _logit, _push, _scenarios, dec, sql
 
 MANUAL_HOURS = dec(f"{(1 + 3 * PER) * 5.0 / 60.0}e0", 1)
 HISTORY_P = "cast(round(cast(" + _logit(
@@ -64,8 +64,10 @@ ORACLE: dict[str, str] = {
     "feeder_daily_backfill_table": sql("feeder_id:i d:a peak_kw:d mean_kw:d overload_minutes:i sags:i", "select * from bf_daily"),
     "curated_feeder_load_view": sql(
         "feeder_id:i ts:t kw:d",
-        """select t.feeder_id, r.ts, sum(r.kwh) * 4 as kw from readings r join meters m using (meter_id) join transformers t using (transformer_id)
-           where r.kwh between 0 and 100 group by 1, 2""",
+        """select feeder_id, ts, sum(power) as kw
+           from (select transformer_id, ts, 4 * kwh as power
+                 from (select * from readings where kwh >= 0 and kwh <= 100) plausible join meters using (meter_id)) p
+           join (select transformer_id, feeder_id from transformers) placed using (transformer_id) group by all""",
     ),
     # ------------------------------------------------------------ grid features
     "tx_stress_24h": sql(
@@ -132,7 +134,7 @@ ORACLE: dict[str, str] = {
         "select * from (select *, row_number() over (order by ts) - 1 as spot from (select * from weather order by ts desc limit 192) w) q where spot % 4 = 0",
     ),
     "risk_auc": sql("positives:i negatives:i auc:d", f"select * from ({_auc('0')}) a"),
-    "hash_split_auc": sql("part:s positives:i negatives:i auc:d", f"select * from ({_auc(chr(39).join(['case when (row_key * 7919 + 17) % 100 >= 85 then ', 'holdout', ' else ', 'train', ' end']))}) a"),
+    "hash_split_auc": sql("part:s positives:i negatives:i auc:d", f"select * from ({_auc(chr(39).join(['case when ((row_key % 1000003) * 7919 + (row_key % 998244353) * 104729 + 17) % 10007 % 100 >= 85 then ', 'holdout', ' else ', 'train', ' end']))}) a"),
     # ------------------------------------------------------------ agro passes
     "agro_quality_ledger": sql(
         "rows_in:i duplicate_passes_removed:i orphan_plots_removed:i unit_errors_fixed:i cloud_masked:i gaps_filled:i rows_clean:i",
@@ -238,8 +240,8 @@ ORACLE: dict[str, str] = {
     "irrigation_plan_report": sql(
         "scenario_id:i place:i plan_id:i budget_ml:d n_villages:i yield_saved_t:d water_used_ml:d tail_share:d fairness_bonus:d within_budget:b score:d",
         f"""select scenario_id, place, plan_id, budget_ml, n_members as n_villages, benefit as yield_saved_t, water as water_used_ml, {dec('tail_share', 2)} as tail_share,
-            fair as fairness_bonus, true as within_budget, score
-           from (select *, row_number() over (partition by scenario_id order by benefit desc, plan_id) as place from water_final) f where place <= 5""",
+            fair as fairness_bonus, water <= budget_ml + 1e-6 as within_budget, score
+           from (select *, row_number() over (partition by scenario_id order by water <= budget_ml + 1e-6 desc, benefit desc, plan_id) as place from water_final) f where place <= 5""",
     ),
     "irrigation_sweep": sql(
         "scenario_id:i asked_ml:d eligible_villages:i excluded:i plans_evaluated:i equivalent_manual_hours:d",
@@ -326,6 +328,25 @@ ORACLE: dict[str, str] = {
            union all select 'ndvi', count(*), count(*), sum(plot_id), sum(ndvi) from ndvi
            union all select 'feeders', count(*), count(*), sum(feeder_id), sum(lat) from feeders""",
     ),
+    # ------------------------------------------------------------ fitted models
+    "risk_gbt": sql(
+        "positives:i negatives:i ranks_well:b",
+        f"""select count(*) filter (failed_next72h = 1) as positives, count(*) filter (failed_next72h <> 1) as negatives, true as ranks_well
+            from tx_history where {TX_HELD}""",
+    ),
+    "loss_gbt": sql(
+        "positives:i negatives:i ranks_well:b",
+        f"""select count(*) filter (loss_event = 1) as positives, count(*) filter (loss_event <> 1) as negatives, true as ranks_well
+            from yield_history where {CROP_HELD}""",
+    ),
+    "risk_logit_scores": sql(
+        "transformer_id:i feeder_id:i p_fail_72h:d reason_codes:s",
+        "select s.*, coalesce(reason_codes, '') as reason_codes from rl_scores s left join rl_codes using (transformer_id)",
+        GRAIN,
+    ),
+    "village_logit_scores": sql(
+        "village_id:i p_loss:d yield_pred:d model_codes:s",
+        "select l.*, yield_pred, coalesce(model_codes, '') as model_codes from ll_scores l join yr_live using (village_id) left join ll_codes using (village_id)",
+    ),
+    "yield_ridge": sql("village_id:i season:i yield_t_ha:d yield_fit:d", "select * from yr_fit"),
 }
-
-ORACLE["stream_quality_ledger"] = ORACLE["grid_quality_ledger"]

@@ -22,20 +22,20 @@ def risk_model(tables):
 
 
 def test_boosted_trees_rank_failures(tables, risk_model):
-    r = learning.holdout_auc(risk_model, tables["tx_history"], TX_FEATURES, F.col("row_key"), "failed_next72h").first()
+    r = learning.holdout_auc(risk_model, tables["tx_history"], F.col("row_key"), "failed_next72h").first()
     assert r.auc > 0.7 and r.positives > 0
 
 
 def test_path_contributions_add_up_to_the_score(tables, risk_model):
     rows = tables["tx_history"].limit(60).withColumn("row_no", F.monotonically_increasing_id())
-    parts = learning.tree_contributions(risk_model, rows, TX_FEATURES, "row_no")
+    parts = learning.tree_contributions(risk_model, rows, "row_no")
     total = parts.groupBy("row_no").agg(F.sum("contribution").alias("total"))
     from pyspark.ml.functions import vector_to_array
 
-    scored = risk_model.transform(learning.with_vector(rows, TX_FEATURES)).select("row_no", vector_to_array("rawPrediction")[1].alias("raw"))
+    scored = risk_model.model.transform(learning.with_vector(rows, TX_FEATURES, risk_model.means)).select("row_no", vector_to_array("rawPrediction")[1].alias("raw"))
     got = scored.join(total, "row_no").collect()
-    # the classifier's raw score is twice the sum of its weighted trees
-    assert len(got) == 60 and all(abs(r.raw - 2 * r.total) < 1e-9 or abs(r.raw - r.total) < 1e-9 for r in got)
+    # the classifier's raw score is the sum of its weighted trees
+    assert len(got) == 60 and all(abs(r.raw - r.total) < 1e-9 for r in got)
 
 
 def test_logit_card_reproduces_the_fitted_model(tables):
@@ -70,8 +70,8 @@ def test_recursive_forecast_feeds_its_own_predictions(spark):
     class LastPlusOne:
         """Stands in for a fitted model: predicts the latest lag plus one."""
 
-        def transform(self, df):
-            return df.drop("inputs").withColumn("prediction", F.col("lag_1") + 1.0)
+        def predict(self, df):
+            return df.withColumn("prediction", F.col("lag_1") + 1.0)
 
     p = GridSettings(grain_s=21600)
     t0 = dt.datetime(2024, 1, 1)
@@ -89,3 +89,37 @@ def test_hash_split_is_stable_and_about_85_15(tables):
     n, m = train.count(), held.count()
     assert 0.1 < m / (n + m) < 0.2
     assert learning._split(tables["tx_history"].repartition(7), key)[1].count() == m
+
+
+def test_rows_with_missing_inputs_keep_their_place(spark, tables, risk_model):
+    history = tables["tx_history"].limit(20)
+    gaps = history.withColumn("age_years", F.lit(None).cast("double"))
+    for rows in (gaps, gaps.withColumn("sag_count", F.lit(None).cast("double"))):
+        scored = risk_model.probability(rows, "p")
+        assert scored.count() == 20 and scored.where("p is null").count() == 0
+        assert learning.tree_contributions(risk_model, rows, "row_key").count() == 20 * (len(TX_FEATURES) + 1)
+    trained = learning.train_risk(tables["tx_history"].unionByName(gaps), learning.Boosting(rounds=2, depth=2))
+    assert trained.means["age_years"] > 0
+
+
+def test_presets_are_the_stated_ones():
+    shape = lambda b: (b.rounds, b.depth, b.rate, b.subsample, b.columns)
+    assert shape(learning.RISK) == (400, 6, 0.08, 0.9, 0.9)
+    assert [shape(b)[:3] for b in (learning.LOSS, learning.YIELD, learning.LOAD)] == [(350, 5, 0.09), (400, 5, 0.09), (500, 7, 0.08)]
+
+
+def test_short_history_still_forecasts(spark):
+    import datetime as dt
+
+    p = GridSettings(grain_s=21600)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(f, i, t0 + dt.timedelta(hours=6 * i), float(10 * f + i), 30.0) for f in (1, 2) for i in range(6)]
+    load = spark.createDataFrame(rows, "feeder_id bigint, slot bigint, ts timestamp, kw double, temp_c double")
+    from fairload.operators import features
+
+    grid = load.drop("temp_c")
+    inputs = features.load_features(features.load_lags(grid, p), load.select("ts", "temp_c").distinct())
+    fitted = learning.train_load(inputs, p, learning.Boosting(rounds=2, depth=2))
+    temp = spark.createDataFrame([(s, 30.0) for s in range(1, 5)], "step bigint, temp_c double")
+    assert learning.recursive_forecast(fitted, grid, temp, p).count() == 2 * p.steps_ahead
+    assert learning.train_load(inputs.where("slot < 3"), p) is None

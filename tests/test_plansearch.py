@@ -100,7 +100,7 @@ def test_greedy_takes_the_cheapest_until_the_target_is_met(spark):
 
 def test_dense_blocks_and_columns_toss_the_same_coins(spark):
     plans, units = np.arange(1, 400, dtype=np.int64), np.array([1, 7, 123456, 2147483646], dtype=np.int64)
-    want = ps._coins(plans, units, 11)
+    want = ps._coins(plans, units, 11) / float(ps.MODULUS)
     df = spark.createDataFrame([(int(p), int(u)) for p in plans for u in units], "p bigint, u bigint")
     got = df.select("p", "u", unit_uniform(F.col("p"), F.col("u"), 11).alias("x")).collect()
     assert all(r.x == want[r.p - 1, list(units).index(r.u)] for r in got)
@@ -113,6 +113,8 @@ def test_totals_do_not_depend_on_tiles_or_runs(spark, monkeypatch):
     whole = {r.plan_id: (r.n_members, round(r.mw, 6)) for r in ps.plan_totals(units, ["mw"], SEARCH).collect()}
     monkeypatch.setattr(ps, "TILE_UNITS", 3)
     monkeypatch.setattr(ps, "RUN_PLANS", 100)
+    monkeypatch.setattr(ps, "RANGE_PLANS", 250)
+    monkeypatch.setattr(ps, "HELD_RANGES", 2)
     cut = {r.plan_id: (r.n_members, round(r.mw, 6)) for r in ps.plan_totals(units, ["mw"], SEARCH).collect()}
     assert whole == cut and len(whole) == SEARCH.evaluated - 1
 
@@ -167,7 +169,7 @@ def test_irrigation_plans_stay_in_budget_and_never_get_worse(spark):
         if mine != before[key]:
             assert sum(need[v] for v in mine) <= 9.0 + 1e-6
     report = ps.water_report(members, search).collect()
-    assert report and all(r.water_used_ml <= 9.0 + 1e-6 for r in report)
+    assert report[0].within_budget and all(r.within_budget == (r.water_used_ml <= 9.0 + 1e-6) for r in report)
     best_possible = max(
         sum(gain[v] for v in c) for n in range(1, 13) for c in combinations(need, n) if sum(need[v] for v in c) <= 9.0
     )
@@ -180,3 +182,30 @@ def test_counters(spark):
     assert (r.eligible_feeders, r.protected_excluded, r.too_small_excluded) == (10, 1, 1)
     assert (r.plans_evaluated, r.equivalent_manual_hours) == (199_999, 16666.6)
     assert ps.Search(n_candidates=10**9).evaluated == 1 + 3 * (500_000 // 3)
+
+
+def test_no_request_is_cut(spark):
+    """All candidates that were asked for are evaluated."""
+    search = ps.Search(n_candidates=600_000)
+    assert search.evaluated == 600_001
+    state = feeders(spark, 6)[1]
+    units = ps.shed_units(state, [(1, 3.0)], search)
+    assert ps.shed_plans(units, search).agg(F.count("plan_id"), F.max("plan_id")).first() == (600_001, 600_000)
+
+
+def test_greedy_in_rounds_equals_one_walk(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    needs = [float(x) for x in np.round(rng.uniform(0.1, 4.0, 120), 3)]
+    units = ps.water_units(villages(spark, needs)[1], [(1, 60.0), (2, 11.0)], SEARCH)
+    whole = by_plan(ps.water_greedy(units, SEARCH).withColumn("plan_id", F.lit(0)))
+    monkeypatch.setattr(ps, "WALK_ROWS", 3)
+    assert by_plan(ps.water_greedy(units, SEARCH).withColumn("plan_id", F.lit(0))) == whole
+
+
+def test_plans_over_budget_are_kept_and_marked(spark):
+    rows = [(1, p, p, 5.0, u, 1.0 * u, w, 0.1, 0.0) for p, u, w in ((1, 1, 4.0), (2, 2, 9.0), (3, 3, 4.5))]
+    members = spark.createDataFrame(
+        rows, "scenario_id bigint, plan_id bigint, place int, budget_ml double, unit_id bigint, benefit double, water double, fair double, tail double"
+    )
+    report = ps.water_report(members, SEARCH).orderBy("place").collect()
+    assert [(r.plan_id, r.within_budget) for r in report] == [(3, True), (1, True), (2, False)]
