@@ -34,6 +34,7 @@ from fairload.llm.common import held_out
 
 MAX_ROWS = 20_000  # labelled rows used for fitting
 MAX_TERMS = 192  # mined terms
+TERMS_AT_ONCE = 200_000  # terms a task counts before it hands them over
 LEAST_SHARE = 0.015  # of the toxic rows that a term must occur in: rarer ones come from copies and chance
 OWN_VOTERS = 16  # terms that vote alone
 GROUPS = 8  # voters made of the other terms
@@ -222,19 +223,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, folds: int,
         .limit(most)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # at most ``most`` ids are broadcast, and as many rows kept should ids repeat in the documents
-    return texts.join(F.broadcast(usable), "doc_id").limit(2 * most)
+    # at most ``most`` ids are broadcast; of documents that share an id the least text stands for it, so the
+    # sample is bounded without a limit, which would move it into one task
+    seen = texts.join(F.broadcast(usable), "doc_id")
+    return seen.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def mine_terms(sample: DataFrame) -> list[str]:
     """Terms whose share among toxic rows most exceeds that among clean rows (difference over its error)."""
 
-    def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, list[float]] = {}
+
+        def table() -> pd.DataFrame:
+            t, c = zip(*sums.values())
+            return pd.DataFrame({"term": list(sums), "t": t, "c": c})
+
         for frame in frames:
             for text, label in zip(frame["text"], frame["label"]):
-                found = sorted(terms_of(text))
-                if found:
-                    yield pd.DataFrame({"term": found, "label": label})
+                for term in terms_of(text):
+                    seen = sums.setdefault(term, [0.0, 0.0])
+                    seen[0] += label
+                    seen[1] += 1 - label
+                if len(sums) > TERMS_AT_ONCE:
+                    yield table()
+                    sums.clear()
+        if sums:
+            yield table()
 
     sizes = sample.agg(F.sum("label"), F.count("label")).first()
     toxic, rows = float(sizes[0] or 0), int(sizes[1])
@@ -242,9 +257,9 @@ def mine_terms(sample: DataFrame) -> list[str]:
         return []
     counts = (
         sample.select("text", "label")
-        .mapInPandas(explode, "term string, label double")
+        .mapInPandas(count, "term string, t double, c double")
         .groupBy("term")
-        .agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
+        .agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
         .where(F.col("t") >= max(4.0, LEAST_SHARE * toxic))
     )
     a, b = (F.col("t") + 0.5) / (toxic + 1), (F.col("c") + 0.5) / (rows - toxic + 1)
