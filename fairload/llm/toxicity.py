@@ -38,6 +38,7 @@ TERMS_AT_ONCE = 200_000  # terms a task counts before it hands them over
 LEAST_SHARE = 0.015  # of the toxic rows that a term must occur in: rarer ones come from copies and chance
 OWN_VOTERS = 16  # terms that vote alone
 GROUPS = 8  # voters made of the other terms
+LEAST_INFO = 0.05  # nats that two votes must tell of each other, given the label, to count as correlated
 BEGINNINGS = (5, 6, 7)  # lengths of word beginnings
 FOLDS, FOLD = 3, 1
 THRESHOLD = 0.7
@@ -127,7 +128,10 @@ def inputs(present: np.ndarray, whole: np.ndarray) -> np.ndarray:
 
 
 class LabelModel:
-    """Hidden label, and for each voter P(vote | label, vote of its parent)."""
+    """Hidden label, and for each voter P(vote | label, vote of its parent).
+
+    ``rounds`` of EM are run without correlations, and as many with their tree.
+    """
 
     def __init__(self, prior_weight: float = 1.0, rounds: int = 12) -> None:
         self.prior_weight, self.rounds = prior_weight, rounds
@@ -152,7 +156,7 @@ class LabelModel:
         link = np.zeros(len(info), dtype=int)
         while len(done) < len(info):
             j = max((k for k in range(len(info)) if k not in done), key=lambda k: best[k])
-            if best[j] > 1e-3:  # weaker than that counts as independent
+            if best[j] > LEAST_INFO:
                 parent[j] = int(link[j])
             done.add(j)
             closer = info[j] > best
@@ -164,9 +168,10 @@ class LabelModel:
         rate = (labels.sum() + 1) / (len(labels) + 2)
         anchored = self._pairs(v, labels)
         q = labels * 0.9 + rate * 0.1
-        for _ in range(self.rounds):
+        for k in range(2 * self.rounds):
             pairs = self._pairs(v, q) + self.prior_weight * anchored
-            self.parent = self._tree(pairs)
+            # voters count as independent at first: under wrong labels all of them look correlated
+            self.parent = self._tree(pairs) if k >= self.rounds else [-1] * v.shape[1]
             self.rate = (q.sum() + self.prior_weight * labels.sum() + 1) / ((1 + self.prior_weight) * len(q) + 2)
             self.tables = []
             for j, parent in enumerate(self.parent):
