@@ -105,18 +105,24 @@ def tree_on_bins(gradient: np.ndarray, weight: np.ndarray, rows: np.ndarray, dep
 
 
 def tree_on_grid(gradient: np.ndarray, weight: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Leaf values over a grid: one cut on one axis, then one on the other in each half; the better order."""
+    """Leaf values over a grid: one cut on one axis, then one on the other in each part; the best of all such.
+
+    The first cut is judged by what the second ones gain: two measures that only matter together gain nothing
+    from a first cut alone.
+    """
     best, best_gain = None, -np.inf
     for turned in (False, True):
         g, h, r = (x.T if turned else x for x in (gradient, weight, rows))
-        outer = tree_on_bins(g.sum(axis=1), h.sum(axis=1), r.sum(axis=1), 1)
-        out = np.empty_like(g)
-        for level in np.unique(outer):
-            band = outer == level
-            out[band] = tree_on_bins(g[band].sum(axis=0), h[band].sum(axis=0), r[band].sum(axis=0), 1)
-        gain = float((g * out).sum() - 0.5 * (h * out**2).sum())
-        if gain > best_gain:
-            best, best_gain = (out.T if turned else out), gain
+        for cut in range(len(g)):  # 0: no first cut
+            bands = [b for b in (slice(0, cut), slice(cut, None)) if len(g[b])]
+            if cut and min(r[b].sum() for b in bands) < LEAST_LEAF:
+                continue
+            out = np.empty_like(g)
+            for band in bands:
+                out[band] = tree_on_bins(g[band].sum(axis=0), h[band].sum(axis=0), r[band].sum(axis=0), 1)
+            gain = float((g * out).sum() - 0.5 * (h * out**2).sum())
+            if gain > best_gain:
+                best, best_gain = (out.T if turned else out), gain
     return best
 
 
