@@ -1,8 +1,10 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line is a sequence of words. Two lines are near if one word replaced, put in or left out turns one into
-the other. Leaving a word out of a line gives its variants; each variant is emitted as a hashed key together
-with the place of the missing word:
+A line is a sequence of words. Two lines are near if few words replaced, put in or left out turn one into the
+other: one word, or a tenth of the words of the longer line, rounded down, if that is more.
+
+Pairs of fewer than ``WIDE_WORDS`` words have a bound of one. Leaving a word out of a line gives its variants;
+each variant is emitted as a hashed key together with the place of the missing word:
 
 * lines that share a variant with the word missing at the same place differ in that word only;
 * a whole line that equals a variant of another is that line without one word.
@@ -10,10 +12,21 @@ with the place of the missing word:
 So equal keys give all near pairs, and the least line of each key suffices: no pair of a group is written out.
 The edit distance is verified on the words of the line and the earliest line found for it.
 
-Only lines that can have a near line emit variants: if two lines are near, the first half or the last half
+Only such lines that can have a near line emit variants: if two lines are near, the first half or the last half
 of the shorter one occurs in both, at the same end. Halves are hashed keys too, and a line none of whose
 halves occurs in another line is left out before variants are made. This loses no pair.
 
+Pairs whose longer line has ``WIDE_WORDS`` words and more: k edits leave at most k + 1 runs of it whole, so some
+run of six words (eight, from 40 words on) stands in both lines. Of the four-word grams in each window of that
+many words the one with the least hash is a key; a whole run has the same least gram in both lines. Grams of
+one line only are left out, and no pair is lost. Sharing a gram does not make lines near, so a least line a key
+is not enough:
+
+* each line is first compared with the least lines of its grams. In a large group of near copies this finds
+  an earlier near line for almost all;
+* only lines for which none was found are joined with all earlier lines of their grams. Lengths, places of the gram and
+  the parity of word hashes (an edit turns at most two bits) must fit before the words are compared.
+
 What goes: every occurrence of a line but the first, and every line that has an earlier near line. "First" is
 by doc_id, then line number. Lines of fewer than ``MIN_WORDS`` words stay: they recur by chance. Lines
 of fewer than ``NEAR_WORDS`` words are compared for equality only: one word of few is another statement.
@@ -38,6 +51,10 @@ from fairload.llm.common import written
 
 MIN_WORDS = 5
 NEAR_WORDS = 10
+WIDE_WORDS = 20  # from here on a tenth of the words is more than one
+WIDE_LEAST = WIDE_WORDS - WIDE_WORDS // 10  # shortest line beside one of WIDE_WORDS
+GRAM = 4
+WINDOWS = ((WIDE_LEAST, 3), (40, 5))  # from so many words on: grams in a window
 KNOWN_WORDS = 500_000  # entries of a task's word-hash cache before it starts anew
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so they can be divided by modulo 2**64
@@ -66,7 +83,7 @@ class Rolling:
         known = self.known
         for word in set(words).difference(known):
             known[word] = xxhash.xxh64_intdigest(word)
-        values = np.array([known[w] for w in words], dtype=np.uint64)
+        values = self.values = np.array([known[w] for w in words], dtype=np.uint64)
         self._grow(len(values))
         zero = np.zeros(1, dtype=np.uint64)
         self.sums = [
@@ -97,7 +114,17 @@ def mixed(values: np.ndarray, *tags: np.ndarray | int) -> np.ndarray:
     return out.view(np.int64)
 
 
-LINE = "line_no: int, h1: long, h2: long, words: int, halves: array<long>"
+def parities(values: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """For each chosen line 256 bits, each the parity of the number of its words with that hash."""
+    begins = np.cumsum(sizes) - sizes
+    line = np.repeat(np.arange(len(chosen)), sizes[chosen])
+    at = np.arange(len(line)) - np.repeat(np.cumsum(sizes[chosen]) - sizes[chosen], sizes[chosen])
+    own = values[at + np.repeat(begins[chosen], sizes[chosen])]
+    counts = np.bincount(line * 256 + (own >> np.uint64(56)).astype(np.int64), minlength=256 * len(chosen))
+    return np.packbits((counts & 1).astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64)
+
+
+LINE = "line_no: int, h1: long, h2: long, words: int, halves: array<long>, parity: array<long>"
 
 
 def line_keys(texts: pd.Series) -> pd.Series:
@@ -118,18 +145,80 @@ def line_keys(texts: pd.Series) -> pd.Series:
             halves.append(mixed(rolling.of(begin, begin + half), shorter, 1))
             halves.append(mixed(rolling.of(end - (shorter - half), end), shorter, 2))
         halves = np.stack(halves, axis=1)
-        near = (n >= NEAR_WORDS).tolist()
+        near = ((n >= NEAR_WORDS) & (n < WIDE_WORDS)).tolist()
+        wide = n >= WIDE_LEAST
+        parity = np.zeros((len(n), 4), dtype=np.int64)
+        parity[wide] = parities(rolling.values, sizes, chosen[wide])
         out.append(
             [
-                {"line_no": no, "h1": a, "h2": b, "words": w, "halves": keys if is_near else []}
-                for no, a, b, w, keys, is_near in zip(
-                    chosen.tolist(), h1.tolist(), h2.tolist(), n.tolist(), halves.tolist(), near
+                {
+                    "line_no": no, "h1": a, "h2": b, "words": w,
+                    "halves": keys if is_near else [], "parity": bits if w >= WIDE_LEAST else None,
+                }
+                for no, a, b, w, keys, is_near, bits in zip(
+                    chosen.tolist(), h1.tolist(), h2.tolist(), n.tolist(), halves.tolist(), near, parity.tolist()
                 )
             ]
         )
     return pd.Series(out)
 
 
+GRAMS = "h1: long, h2: long, gram: long, low: int, high: int"
+
+
+def gram_keys(texts: pd.Series) -> pd.Series:
+    """For each text the least grams of its lines of ``WIDE_LEAST`` words and more, with first and last place in the line."""
+    rolling, out = Rolling(), []
+    for text in texts:
+        lines = split_lines(text)
+        sizes = np.array([len(x) for x in lines])
+        if sizes.max() < WIDE_LEAST:
+            out.append([])
+            continue
+        rolling.load(list(chain.from_iterable(lines)))
+        ends = np.cumsum(sizes)
+        own, end = np.repeat(sizes, sizes), np.repeat(ends, sizes)
+        at = np.arange(len(own) - GRAM + 1)
+        keys = mixed(rolling.of(at, at + GRAM), GRAM)
+        chosen = []
+        for (least, span), after in zip(WINDOWS, [*(x for x, _ in WINDOWS[1:]), np.inf]):
+            if len(keys) >= span:
+                begin = np.arange(len(keys) - span + 1)
+                begin = begin[(own[begin] >= least) & (own[begin] < after) & (begin + span - 1 + GRAM <= end[begin])]
+                if len(begin):
+                    chosen.append(begin + keys[begin[:, None] + np.arange(span)].argmin(axis=1))
+        at = np.unique(np.concatenate(chosen))
+        begin, line_end = (end - own)[at], end[at]
+        h1 = mixed(rolling.of(begin, line_end), own[at])
+        h2 = mixed(rolling.of(begin, line_end, 1), own[at])
+        # one row for each line and gram
+        order = np.lexsort((at, keys[at], begin))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (np.diff(begin[order]) != 0) | (np.diff(keys[at][order]) != 0)
+        first = np.nonzero(new)[0]
+        last = np.append(first[1:], len(order)) - 1
+        low, high = (at - begin)[order[first]], (at - begin)[order[last]]
+        rows = order[first]
+        names = ("h1", "h2", "gram", "low", "high")
+        columns = (x.tolist() for x in (h1[rows], h2[rows], keys[at][rows], low, high))
+        out.append([dict(zip(names, row)) for row in zip(*columns)])
+    return pd.Series(out)
+
+
+def plain_lines(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+    """The words of each wanted line of a text."""
+    out = []
+    for text, lines_wanted in zip(texts, wanted):
+        lines = split_lines(text)
+        out.append(
+            [
+                {"h1": w["h1"], "h2": w["h2"], "line": b" ".join(lines[w["line_no"]]).decode("utf-8")}
+                for w in lines_wanted
+            ]
+        )
+    return pd.Series(out)
+
+
 VARIANT = "line_no: int, h1: long, h2: long, line: string, variant: long, place: int"
 
 
@@ -166,6 +255,37 @@ def one_word_apart(a: str, b: str) -> bool:
     return len(y) == len(x) + 1 and x[same:] == y[same + 1 :]
 
 
+def words_apart(a: str, b: str) -> bool:
+    """Word edit distance of at most a tenth of the words of the longer line, by furthest places on each diagonal."""
+    x, y = a.split(" "), b.split(" ")
+    bound = max(len(x), len(y)) // 10
+    same, n = 0, min(len(x), len(y))
+    while same < n and x[same] == y[same]:
+        same += 1
+    x, y = x[same:], y[same:]
+    while x and y and x[-1] == y[-1]:
+        x.pop()
+        y.pop()
+    n, m = len(x), len(y)
+    if abs(n - m) > bound:
+        return False
+    reached: dict[int, int] = {}  # diagonal (place in y less place in x) -> furthest place in x
+    for edits in range(bound + 1):
+        now = {}
+        for d in range(-edits, edits + 1):
+            at = 0 if not edits else max(reached.get(d, -2) + 1, reached.get(d + 1, -2) + 1, reached.get(d - 1, -2))
+            at = min(at, n, m - d)
+            if at < 0 or at + d < 0:
+                continue
+            while at < n and at + d < m and x[at] == y[at + d]:
+                at += 1
+            now[d] = at
+        if now.get(m - n, -1) >= n:
+            return True
+        reached = now
+    return False
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """The rows as a struct ``d``, with document id and a hash of the text beside it under names of our own."""
     return docs.select(
@@ -201,8 +321,72 @@ def _near_pairs(emitted: DataFrame) -> DataFrame:
     return pairs.groupBy("h1", "h2").agg(F.min("least").alias("least"))
 
 
+def _verified_wide(keyed: DataFrame, distinct: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
+    """(h1, h2) of the pairs (h1, h2, e1, e2) whose words are few edits apart."""
+    pairs = written(pairs.distinct(), label)
+    lines = pairs.select("h1", "h2").union(pairs.select("e1", "e2")).distinct()
+    wanted = (
+        distinct.join(lines, ["h1", "h2"], "left_semi")
+        .groupBy(F.col("first.doc").alias("w_doc"), F.col("first.body").alias("w_body"))
+        .agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "h1", "h2")).alias("wanted"))
+    )  # at most the lines of one document in a row
+    same = F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("body") == F.col("w_body"))
+    plain = F.pandas_udf(plain_lines, "array<struct<h1: long, h2: long, line: string>>")
+    texts = keyed.drop("d").join(wanted, same).select(F.inline(plain("text", "wanted"))).dropDuplicates(["h1", "h2"])
+    texts = written(texts, label + "-texts")
+    others = texts.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("earlier"))
+
+    @F.pandas_udf("boolean")
+    def verified(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([words_apart(x, y) for x, y in zip(a, b)], dtype=bool)
+
+    both = pairs.join(texts, ["h1", "h2"]).join(others, ["e1", "e2"])
+    return written(both.where(verified("line", "earlier")).select("h1", "h2").distinct(), label + "-near")
+
+
+def _wide_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(h1, h2) of the lines with an earlier line a tenth of the words apart, the longer of ``WIDE_WORDS`` and more."""
+    keys_of = F.pandas_udf(gram_keys, f"array<struct<{GRAMS}>>")
+    # copies of a line give the same rows; the first alone counts
+    grams = keyed.select(F.inline(keys_of("text"))).repartition("gram")
+    shared = grams.groupBy("gram").agg(F.min("h1").alias("one"), F.max("h1").alias("other")).where("one <> other")
+    held = grams.join(shared, "gram", "left_semi").dropDuplicates(["gram", "h1", "h2"])
+    lines = distinct.where(F.col("parity").isNotNull()).select(
+        "h1", "h2", "words", "parity", F.col("first").alias("at")
+    )
+    # lines a tenth apart stand in the same class of lengths or in neighbouring ones
+    size = F.floor(F.log("words") / F.log(F.lit(10 / 9))).cast("int")
+    held = written(held.join(lines, ["h1", "h2"]).withColumn("size", size), "line-grams")
+    other = held.select(
+        "gram", "size", *[F.col(c).alias(f"e_{c}") for c in ("h1", "h2", "words", "parity", "at", "low", "high")]
+    )
+    longer = F.greatest("words", "e_words")
+    bound = F.floor(longer / 10)
+    turned = sum((F.bit_count(F.col("parity")[k].bitwiseXOR(F.col("e_parity")[k])) for k in range(4)), F.lit(0))
+    fits = (
+        (F.col("e_at") < F.col("at"))
+        & (longer >= WIDE_WORDS)
+        & (F.abs(F.col("words") - F.col("e_words")) <= bound)
+        & (F.col("low") <= F.col("e_high") + bound)
+        & (F.col("e_low") <= F.col("high") + bound)
+        & (turned <= 2 * bound)
+    )
+    pair = ["h1", "h2", F.col("e_h1").alias("e1"), F.col("e_h2").alias("e2")]
+    near_size = F.explode(F.array(*[F.col("size") + k for k in (-1, 0, 1)]))
+    least = (
+        other.groupBy("gram", "size")
+        .agg(F.min(F.struct("e_at", *[c for c in other.columns if c[:2] == "e_" and c != "e_at"])).alias("least"))
+        .select("gram", "size", "least.*")
+    )
+    probes = held.withColumn("size", near_size)
+    near = _verified_wide(keyed, distinct, probes.join(least, ["gram", "size"]).where(fits).select(*pair), "line-least")
+    left = probes.join(near, ["h1", "h2"], "left_anti")
+    rest = _verified_wide(keyed, distinct, left.join(other, ["gram", "size"]).where(fits).select(*pair), "line-rest")
+    return near.union(rest)
+
+
 def _near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(h1, h2) of the lines with an earlier line one word apart."""
+    """(h1, h2) of the lines with an earlier line one word apart, both of fewer than ``WIDE_WORDS`` words."""
     halves = distinct.select("h1", "h2", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
     able = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
@@ -239,11 +423,15 @@ def _lines_to_drop(keyed: DataFrame) -> DataFrame:
     lines = written(keyed.select("doc", "body", F.inline(keys_of("text"))), "line-keys")
     distinct = written(
         lines.groupBy("h1", "h2").agg(
-            F.min(_position()).alias("first"), F.count("*").alias("times"), F.first("halves").alias("halves")
+            F.min(_position()).alias("first"),
+            F.count("*").alias("times"),
+            F.first("words").alias("words"),
+            F.first("halves").alias("halves"),
+            F.first("parity").alias("parity"),
         ),
         "line-distinct",
     )
-    near = _near_lines(keyed, distinct).withColumn("near", F.lit(True))
+    near = _near_lines(keyed, distinct).union(_wide_lines(keyed, distinct)).distinct().withColumn("near", F.lit(True))
     marks = (
         distinct.join(near, ["h1", "h2"], "left")
         .where((F.col("times") > 1) | F.col("near"))

@@ -104,3 +104,48 @@ def test_empty_and_long(documents):
     long = "\n".join(f"line number {k} of a long text" for k in range(20_000))
     rows = ld.line_report(documents([(1, long), (2, long)])).collect()
     assert {r["doc_id"]: r["n_copies"] for r in rows} == {1: 0, 2: 20_000}
+
+
+def apart(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for k, y in enumerate(b, 1):
+            row.append(min(before[k] + 1, row[-1] + 1, before[k - 1] + (x != y)))
+    return row[-1]
+
+
+def test_edit_bound_grows_with_the_line(documents):
+    rng = random.Random(7)
+    vocabulary = [f"v{k}" for k in range(60)]
+    lines = []
+    for n in (18, 19, 20, 29, 30, 39, 40, 45, 60, 100, 130):
+        for _ in range(3):
+            base = [rng.choice(vocabulary) for _ in range(n)]
+            lines.append(base)
+            for edits in (1, n // 10, n // 10, n // 10 + 1, n // 10 + 2):
+                # evenly spread, so that no run is longer than it must be
+                words, places = list(base), [(j + 1) * n // (edits + 1) for j in range(edits)]
+                for at in reversed(places):
+                    kind = rng.randrange(3)
+                    words[at : at + (kind != 1)] = [] if kind == 2 else ["new" + str(rng.randrange(10**6))]
+                lines.append(words)
+    rng.shuffle(lines)
+    found = {r["doc_id"]: r["n_near"] for r in ld.line_report(documents([(i, " ".join(w)) for i, w in enumerate(lines)])).collect()}
+    wanted = {
+        i: int(any(apart(w, v) <= max(1, max(len(w), len(v)) // 10) for v in lines[:i] if v != w))
+        for i, w in enumerate(lines)
+    }
+    assert found == wanted and sum(wanted.values()) > 80
+
+
+def test_word_distance():
+    rng = random.Random(3)
+    for _ in range(2000):
+        a = [rng.choice("abc") for _ in range(rng.randint(10, 40))]
+        b = list(a)
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(2)] = rng.choice([[], ["a"], ["z"]])
+        if b:
+            assert ld.words_apart(" ".join(a), " ".join(b)) == (apart(a, b) <= max(len(a), len(b)) // 10)
