@@ -28,7 +28,7 @@ is not enough:
   the parity of word hashes (an edit turns at most two bits) must fit before the words are compared.
 
 What goes: every occurrence of a line but the first, and every line that has an earlier near line. "First" is
-by doc_id, then line number. Lines of fewer than ``MIN_WORDS`` words stay: they recur by chance. Lines
+by doc_id, then line number. Blank lines stay; of any other line one occurrence is left. Lines
 of fewer than ``NEAR_WORDS`` words are compared for equality only: one word of few is another statement.
 
 Cases: a null text is kept as null and has no lines; blank lines stay; a null doc_id counts as the largest;
@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from fairload.llm.common import written
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 NEAR_WORDS = 10
 WIDE_WORDS = 20  # from here on a tenth of the words is more than one
 WIDE_LEAST = WIDE_WORDS - WIDE_WORDS // 10  # shortest line beside one of WIDE_WORDS
@@ -128,7 +128,7 @@ LINE = "line_no: int, h1: long, h2: long, words: int, halves: array<long>, parit
 
 
 def line_keys(texts: pd.Series) -> pd.Series:
-    """For each text its lines of ``MIN_WORDS`` words and more: hashes, and keys of the halves."""
+    """For each text its lines of ``MIN_WORDS`` words and more: hashes, keys of the halves, and parities of long lines."""
     rolling, out = Rolling(), []
     for text in texts:
         lines = split_lines(text)

@@ -149,3 +149,9 @@ def test_word_distance():
             b[at : at + rng.randrange(2)] = rng.choice([[], ["a"], ["z"]])
         if b:
             assert ld.words_apart(" ".join(a), " ".join(b)) == (apart(a, b) <= max(len(a), len(b)) // 10)
+
+
+def test_short_copies_go_and_blank_lines_stay(documents):
+    rows = [(1, "All rights reserved.\n\none\nkept first"), (2, "All rights  reserved.\n\n \none\nkept second\none")]
+    left = {r["doc_id"]: r["text"] for r in ld.dedup_lines(documents(rows)).collect()}
+    assert left == {1: rows[0][1], 2: "\n \nkept second"}
