@@ -10,11 +10,15 @@ occurrence that is up to one and a half times as long as the template lies whole
 is aligned only if it holds enough of the template's words at all, counted with repeats: aligned words cannot
 be more. Whole texts are scanned; the templates are a fixed, small query set.
 
-Words are runs of letters, digits and inner dots in lower case.
+Words are runs of letters, digits and inner dots in lower case; the numbers ``3`` and ``3.0`` are one word.
+
+Words that tell licenses apart (numbers and ``TELLING``) must be aligned: a template is not found if one of its own is
+nowhere aligned, or if the text has one of ``TELLING`` amid the aligned words that is not. Of stretches that overlap,
+whichever their templates, the one with the most aligned words is reported.
 
 Cases: a null text counts as empty and has no finding; a null doc_id is kept; repeated rows give repeated findings;
-other columns are ignored; empty tables give an empty result. Of stretches that overlap, the better aligned one
-is reported, the first on ties. A text that holds a license twice gives two findings.
+other columns are ignored; empty tables give an empty result. On ties of aligned
+words the better covered stretch is reported, then the shorter, the first. A text that holds a license twice gives two findings.
 """
 
 from __future__ import annotations
@@ -32,6 +36,10 @@ from pyspark.sql import functions as F
 COVERAGE = 0.8
 STRETCH = 2
 WORD = re.compile(r"\w+(?:\.\w+)*")
+WHOLE = re.compile(r"\d+\.0")
+TELLING = frozenset(
+    {"nc", "nd", "sa", "noncommercial", "noderivatives", "sharealike", "lesser", "affero", "apache", "gnu", "mit", "mozilla"}
+)
 
 # License notices as they are published.
 NOTICES = {
@@ -77,7 +85,7 @@ NOTICES = {
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return [w[:-2] if w[-2:] == ".0" and WHOLE.fullmatch(w) else w for w in WORD.findall(text.lower())]
 
 
 def in_order(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -137,10 +145,13 @@ class Templates:
         self.words = {name: words_of(text) for name, text in notices.items()}
         self.words = {name: words for name, words in self.words.items() if words}
         self.counts = {name: Counter(words) for name, words in self.words.items()}
+        self.telling = {
+            name: {w for w in words if w in TELLING or w[0].isdigit()} for name, words in self.words.items()
+        }
 
     def scan(self, text: list[str], least: float) -> list[Found]:
         """Findings of all templates in a text, ordered by name and place."""
-        out: list[Found] = []
+        found: list[tuple[int, Found]] = []  # with the number of aligned words
         present = set(text)
         for name, template in self.words.items():
             counts, need = self.counts[name], least * len(template)
@@ -148,7 +159,7 @@ class Templates:
                 continue
             size, step = STRETCH * len(template), max(1, len(template) // 2)
             places = [k for k, w in enumerate(text) if w in counts]
-            found, seen = [], set()
+            seen = set()
             for place in places:
                 # stretches that hold this word
                 for start in range(max(0, (place - size) // step * step + step), place + 1, step):
@@ -160,15 +171,21 @@ class Templates:
                     if sum(min(n, counts[w]) for w, n in held.items()) < need:
                         continue
                     pairs = align(part, template)
-                    if len(pairs) >= need:
+                    if len(pairs) >= need and self._told_apart(name, part, pairs):
                         cover = len(pairs) / len(template)
-                        found.append(Found(name, cover, start + pairs[0][0], start + pairs[-1][0]))
-            taken: list[Found] = []
-            for f in sorted(found, key=lambda f: (-f.coverage, f.last_word - f.first_word, f.first_word)):
-                if all(f.last_word < t.first_word or f.first_word > t.last_word for t in taken):
-                    taken.append(f)
-            out += sorted(taken, key=lambda f: f.first_word)
-        return out
+                        found.append((len(pairs), Found(name, cover, start + pairs[0][0], start + pairs[-1][0])))
+        taken: list[Found] = []
+        order = lambda x: (-x[0], -x[1].coverage, x[1].last_word - x[1].first_word, x[1].first_word)
+        for _, f in sorted(found, key=order):
+            if all(f.last_word < t.first_word or f.first_word > t.last_word for t in taken):
+                taken.append(f)
+        return sorted(taken, key=lambda f: (f.license, f.first_word))
+
+    def _told_apart(self, name: str, part: list[str], pairs: list[tuple[int, int]]) -> bool:
+        aligned = {a for a, _ in pairs}
+        if not self.telling[name] <= {part[a] for a in aligned}:
+            return False
+        return not any(part[a] in TELLING and a not in aligned for a in range(pairs[0][0], pairs[-1][0]))
 
 
 FOUND = "license: string, coverage: double, first_word: long, last_word: long"

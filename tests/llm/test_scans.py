@@ -194,3 +194,18 @@ def test_likeness_follows_shared_phrases():
     union = len(brute_phrases(a) | brute_phrases(a[:1500] + text(5)[1500:]))
     got = lz.likeness(signature(a), signature(a[:1500] + text(5)[1500:]))
     assert abs(got - share / union) < 0.2
+
+
+def licenses_of(text):
+    return [f.license for f in li.Templates(li.NOTICES).scan(li.words_of(text), li.COVERAGE)]
+
+
+def test_one_license_a_stretch():
+    assert licenses_of("Licensed under CC BY-NC 4.0.") == ["CC-BY-NC-4.0-short"]
+    assert licenses_of("Licensed under CC BY 4.0.") == ["CC-BY-4.0-short"]
+    assert licenses_of("Licensed under CC BY-SA 4.0.") == ["CC-BY-SA-4.0-short"]
+    for other in ("CC BY-ND 4.0", "CC BY-NC-ND 4.0", "CC BY 3.0", "the Apache License, Version 1.1"):
+        assert licenses_of(f"Licensed under {other}.") == []
+    assert licenses_of("This work is licensed under the GNU General Public License, version 2.") == []
+    assert licenses_of("This work is licensed under the GNU General Public License, version 3.0.") == ["GPL-3.0-short"]
+    assert licenses_of(li.NOTICES["Apache-2.0"]) == ["Apache-2.0"]  # the short notice stands in the long one
