@@ -8,6 +8,8 @@ value within ``BALL`` bits of the block. Two fingerprints within ``RADIUS`` bits
 distance is checked, and then the exact similarity of the shingles weighted by their counts
 (sum of the lesser counts over sum of the greater); 0.8 or more is a finding.
 
+A document of fewer words than the item is one window, with its own number of shingles.
+
 A window that has no shingle in common with an item of its size has similarity 0, so such windows are not
 fingerprinted. The radius is wide: shingle sets that are 0.8 alike differ in 9.7 of 64 bits on average, with a
 deviation of 2.9.
@@ -162,8 +164,9 @@ class Index:
         self, each: np.ndarray, n_words: int, length: int, size: int, at: np.ndarray, best: dict
     ) -> None:
         """All windows of ``size`` words that hold a shingle of ``at``."""
-        held = size - length + 1  # shingles in a window
-        low, high = np.maximum(at - held + 1, 0), np.minimum(at, n_words - size)
+        asked = size - length + 1  # shingles in an item
+        held = min(asked, len(each))  # and in a window: a shorter document is one
+        low, high = np.maximum(at - held + 1, 0), np.minimum(at, max(n_words - size, 0))
         edge = np.zeros(len(each) + 2, dtype=np.int32)
         fits = low <= high
         np.add.at(edge, low[fits], 1)
@@ -174,9 +177,9 @@ class Index:
             for k in range(0, len(stretch), WINDOWS_AT_ONCE):
                 part = stretch[k : k + WINDOWS_AT_ONCE]
                 if len(part):
-                    self._compare(each[part[0] : part[-1] + held], int(part[0]), len(part), held, size, best)
+                    self._compare(each[part[0] : part[-1] + held], int(part[0]), held, asked, size, best)
 
-    def _compare(self, each: np.ndarray, start: int, n: int, held: int, size: int, best: dict) -> None:
+    def _compare(self, each: np.ndarray, start: int, held: int, asked: int, size: int, best: dict) -> None:
         total = np.zeros((len(each) + 1, 64), dtype=np.int32)
         np.cumsum(bits_of(each), axis=0, out=total[1:])
         prints = packed(total[held:] - total[:-held])
@@ -185,10 +188,10 @@ class Index:
             part = each[window : window + held]
             place = np.minimum(np.searchsorted(own.shingles, part), len(own.shingles) - 1)
             shared = own.shingles[place] == part
-            if 2 * SIMILARITY / (1 + SIMILARITY) * held > shared.sum():
+            if SIMILARITY / (1 + SIMILARITY) * (held + asked) > shared.sum():
                 continue  # too few even if no shingle repeats
             common = np.minimum(np.bincount(place[shared], minlength=len(own.counts)), own.counts).sum()
-            alike = float(common / (2 * held - common))
+            alike = float(common / (held + asked - common))
             if alike >= SIMILARITY and (item not in best or alike > best[item][0]):
                 apart = int(np.bitwise_count(prints[window] ^ self.prints[item]))
                 best[item] = (alike, start + window, apart)

@@ -196,6 +196,29 @@ def test_likeness_follows_shared_phrases():
     assert abs(got - share / union) < 0.2
 
 
+def test_documents_shorter_than_the_item(documents, spark):
+    rng = random.Random(12)
+    items = [(k, [rng.choice(VOCABULARY) for _ in range(n)]) for k, n in enumerate((30, 60, 60, 90))]
+    rows = []
+    for k, words in items:
+        for left in (1, 3, 6, 12, 25):
+            rows += [(len(rows), words[:-left]), (len(rows) + 1, words[left:])]
+            changed = list(words[: -(left + 1) // 2])
+            changed[len(changed) // 2] = "other"
+            rows.append((len(rows), changed))
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    wanted = {}
+    for i, text in rows:
+        for k, words in items:
+            if len(text) < len(words):
+                a, b = grams(text), grams(words)
+                if (alike := sum((a & b).values()) / sum((a | b).values())) >= dc.SIMILARITY:
+                    wanted[i, k] = alike
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    found = {(r[0], r[1]): r[2] for r in dc.find_items(documents([(i, " ".join(t)) for i, t in rows]), bench).collect()}
+    assert found == pytest.approx(wanted) and len(wanted) > 20
+
+
 def licenses_of(text):
     return [f.license for f in li.Templates(li.NOTICES).scan(li.words_of(text), li.COVERAGE)]
 
