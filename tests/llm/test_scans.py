@@ -219,6 +219,27 @@ def test_documents_shorter_than_the_item(documents, spark):
     assert found == pytest.approx(wanted) and len(wanted) > 20
 
 
+def find_one(item, text):
+    hashes = dc.WordHashes()
+    return {k: v[0] for k, v in dc.Index([(1, " ".join(item))]).find(hashes.of(" ".join(text))).items()}
+
+
+def test_similarity_of_exactly_the_bound_is_found():
+    item = [f"i{k}" for k in range(67)]  # 63 shingles
+    assert find_one(item, item[:60] + [f"o{k}" for k in range(7)]) == {0: 0.8}
+
+
+def test_a_heavy_shingle_does_not_hide_an_item():
+    rng = random.Random(1)
+    for k in range(30):
+        unique = [f"u{k}x{rng.randrange(10**9)}" for _ in range(76)]
+        item, text = unique + [f"a{k}"] * 14, unique + [f"b{k}"] * 14
+        # 72 shingles alike, of 86 and 86: not enough; 5 words fewer are
+        assert find_one(item, text) == {}
+        item, text = unique + [f"a{k}"] * 9, unique + [f"b{k}"] * 9
+        assert find_one(item, text) == {0: 72 / 90}
+
+
 def licenses_of(text):
     return [f.license for f in li.Templates(li.NOTICES).scan(li.words_of(text), li.COVERAGE)]
 
