@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from fairload.llm import (
     decontaminate,
+    jaccard_join,
     licenses,
     line_dedup,
     lz_fingerprint,
+    merkle,
     mixing,
     quality_gam,
+    ranked_search,
     secrets_dfa,
     simhash,
     toxicity,
@@ -80,6 +83,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.proofs(table(spark, sf_dir, "documents"), hit, F.col("n_chars") + 1)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -93,6 +109,9 @@ QUERIES: dict[str, Query] = {
         op8_quality_gam,
         op9_secret_scan,
         op10_toxicity,
+        op11_merkle_manifest,
+        op12_ranked_search,
+        op13_jaccard_join,
     )
 }
 
@@ -147,4 +166,109 @@ ORACLE: dict[str, str] = {
         FROM (SELECT *, payload_bytes >= 100 AND page_id <> first_id AS later
               FROM p JOIN f USING (payload_digest))
     """,
+    "op11_merkle_manifest": """
+        WITH RECURSIVE leaves AS (
+            SELECT doc_id, CASE WHEN lang IS NULL THEN '-' ELSE 'x' || lang END AS tree,
+                   row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos,
+                   count(*) OVER (PARTITION BY lang) AS n, head || mark(n_chars) || mark(text) AS plain,
+                   head || mark(CASE WHEN hit THEN n_chars + 1 ELSE n_chars END) || mark(text) AS other
+            FROM (SELECT *, mark(doc_id) || mark(source) || mark(lang) AS head, crc(doc_id) % 7 = 0 AS hit FROM documents)
+        ), grown AS (
+            SELECT tree, n, 0 AS level, pos, sha256(plain) AS digest FROM leaves
+            UNION ALL
+            SELECT tree, (n + 1) // 2, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos))
+            FROM grown WHERE n > 1 GROUP BY tree, n, level, pos // 2
+        ), subroots AS (
+            SELECT tree, digest, row_number() OVER (ORDER BY tree <> '-', encode(tree)) - 1 AS pos, count(*) OVER () AS n
+            FROM grown WHERE n = 1
+        ), upper AS (
+            SELECT n, 0 AS level, pos, digest FROM subroots
+            UNION ALL
+            SELECT (n + 1) // 2, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos))
+            FROM upper WHERE n > 1 GROUP BY n, level, pos // 2
+        ), steps AS (
+            SELECT l.tree, l.pos, g.level, max(s.digest) AS sibling, any_value(xor(g.pos, 1) < g.pos) AS is_left
+            FROM leaves l JOIN grown g ON g.tree = l.tree AND g.pos = l.pos >> g.level AND g.n > 1
+            LEFT JOIN grown s ON s.tree = g.tree AND s.level = g.level AND s.pos = xor(g.pos, 1)
+            GROUP BY ALL
+            UNION ALL
+            SELECT l.tree, l.pos, 1000 + g.level, max(s.digest), any_value(xor(g.pos, 1) < g.pos)
+            FROM leaves l JOIN subroots t ON t.tree = l.tree JOIN upper g ON g.pos = t.pos >> g.level AND g.n > 1
+            LEFT JOIN upper s ON s.level = g.level AND s.pos = xor(g.pos, 1)
+            GROUP BY ALL
+        ), proofs AS (
+            SELECT tree, pos, list(CASE WHEN sibling IS NULL THEN 'n' WHEN is_left THEN 'l' || sibling ELSE 'r' || sibling END
+                                   ORDER BY level) AS way
+            FROM steps GROUP BY ALL
+        ), folded AS (
+            SELECT doc_id, sha256(plain) AS leaf, t.digest AS subroot, (SELECT digest FROM upper WHERE n = 1) AS root,
+                   sha256(array_to_string(list_transform(coalesce(way, []), lambda s: s[2:]), '')) AS proof_sha256,
+                   list_reduce([sha256(other)] || coalesce(way, []), lambda seen, s:
+                       sha256(CASE WHEN s[1] = 'l' THEN s[2:] || seen ELSE seen || s[2:] END)) AS folded_root
+            FROM leaves l JOIN subroots t ON t.tree = l.tree LEFT JOIN proofs p ON p.tree = l.tree AND p.pos = l.pos
+        )
+        SELECT *, folded_root = root AS verified FROM folded
+    """,
+    "op12_ranked_search": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(lowered(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+        ), sized AS (SELECT doc_id, terms, len(terms) AS n FROM words WHERE len(terms) > 0
+        ), corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM sized
+        ), held AS (
+            SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM sized) GROUP BY ALL
+        ), wanted AS (
+            SELECT item_id, term, count(*) AS times FROM (
+                SELECT item_id, unnest(regexp_extract_all(lowered(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM benchmark
+            ) GROUP BY ALL
+        ), weight AS (
+            SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+            FROM (SELECT term, count(*) AS df FROM held GROUP BY 1), corpus
+        ), scored AS (
+            SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // length))))::BIGINT AS score
+            FROM wanted JOIN held USING (term) JOIN weight USING (term), corpus GROUP BY 1, 2
+        )
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+        WHERE rank <= 20
+    """,
+    "op13_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(lowered(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, list_distinct(list_transform(range(greatest(len(w) - 3, least(len(w), 1))),
+                                                        lambda i: array_to_string(w[i + 1 : i + 4], ' '))) AS shingles
+            FROM words
+        ), held AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets
+        ), links AS (
+            SELECT a.doc_id AS src, b.doc_id AS dst FROM held a JOIN held b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), reached AS (
+            SELECT src, dst FROM links UNION SELECT r.src, l.dst FROM reached r JOIN links l ON l.src = r.dst
+        ), least AS (SELECT src AS doc_id, min(dst) AS low FROM reached GROUP BY 1)
+        SELECT doc_id, len(shingles)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+        FROM sets LEFT JOIN least USING (doc_id)
+    """,
 }
+
+# expressions that the twins share, written out in place
+_MARK = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+_LOWERED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC = """xor(list_reduce([4294967295] || list_transform(string_split({0}::VARCHAR, ''), lambda c: ord(c)::BIGINT),
+    lambda seen, b: list_reduce([xor(seen, b)] || [0, 0, 0, 0, 0, 0, 0, 0],
+        lambda s, z: CASE WHEN s % 2 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END)), 4294967295)"""
+
+
+def _written_out(sql: str) -> str:
+    """Replace mark(x), lowered(x) and crc(x) by their expressions; x may hold parentheses."""
+    for name, body in (("mark", _MARK), ("lowered", _LOWERED), ("crc", _CRC)):
+        while (at := sql.find(f"{name}(")) >= 0:
+            depth, end = 1, at + len(name) + 1
+            while depth:
+                depth += {"(": 1, ")": -1}.get(sql[end], 0)
+                end += 1
+            sql = sql[:at] + "(" + body.format(sql[at + len(name) + 1 : end - 1]) + ")" + sql[end:]
+    return sql
+
+
+ORACLE |= {name: _written_out(ORACLE[name]) for name in ("op11_merkle_manifest", "op12_ranked_search", "op13_jaccard_join")}
