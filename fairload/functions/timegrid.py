@@ -23,7 +23,7 @@ def slot_number(ts: Column, first: Column, grain_s: int) -> Column:
 
 
 def slot_time(first: Column, slot: Column, grain_s: int) -> Column:
-    return F.timestamp_micros(F.unix_micros(first) + slot * (grain_s * 1_000_000))
+    return F.timestamp_micros(F.unix_micros(first) + slot.cast("bigint") * (grain_s * 1_000_000))
 
 
 def day_fraction_hours(ts: Column) -> Column:

@@ -60,25 +60,33 @@ def with_arrival(df: DataFrame, name: str) -> DataFrame:
     nothing. Parquet rows carry their place in the file. Lines of text files do not; they are counted by
     split, which costs a second read.
     """
-    files = sorted(df.inputFiles())
-    numbered = df.sparkSession.createDataFrame(
-        [(path, n) for n, path in enumerate(files)], "_path string, _file bigint"
-    )  # a row a file
     place = df.select("*", F.col("_metadata.file_path").alias("_path"), _place_in_file(df).alias("_place"))
     columns = [c for c in place.columns if c not in ("_path", "_place")]
     if dict(place.dtypes)["_place"] == "bigint":
-        found = place.join(F.broadcast(numbered), "_path")
+        found = _with_file_number(place, df.select(F.col("_metadata.file_path").alias("_path")))  # reads footers only
         return found.select(*columns, (F.col("_file") * ROWS_A_FILE + F.col("_place")).alias(name))
     split = [F.col("_path"), F.col("_place.start").alias("_start")]
     sizes = place.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"), F.min("_place.row").alias("_first"))
     before = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_path", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     found = place.withColumn("_start", F.col("_place.start")).join(starts, ["_path", "_start"])
-    found = found.join(F.broadcast(numbered), "_path")
+    found = _with_file_number(found, sizes.select("_path"))
     at = F.col("_before") + F.col("_place.row") - F.col("_first")
     return found.select(*columns, (F.col("_file") * ROWS_A_FILE + at).alias(name))
 
 
+def _with_file_number(rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """``_file``: the place of each row's ``_path`` among the sorted paths.
+
+    The paths are those that the rows themselves carry: a file listing may spell them in another way. The
+    driver holds a name a file, as it does when it lists them. A row whose path has no number is an error.
+    """
+    names = sorted(r[0] for r in paths.distinct().collect())
+    numbered = rows.sparkSession.createDataFrame([(p, n) for n, p in enumerate(names)], "_path string, _file bigint")
+    missing = F.raise_error(F.concat(F.lit("no number for file "), F.col("_path")))
+    return rows.join(F.broadcast(numbered), "_path", "left").withColumn("_file", F.coalesce("_file", missing.cast("bigint")))
+
+
 def _place_in_file(df: DataFrame) -> Column:
     """Row number in the file where the format knows it, else the split and a number that grows within it."""
     try:

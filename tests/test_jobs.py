@@ -189,10 +189,10 @@ def test_stream_ledgers_add_up_to_the_batch_ledger(spark, tmp_path):
 def test_every_branch_occurs_in_the_test_tables(spark):
     plan = AgroPlan(logical_tables(spark, "/root/testdata/sf0.01"), stage=staged)
     seen = plan.scored.agg(
-        F.count_if("rain_trigger = 1").alias("rain"),
-        F.count_if("yield_trigger = 1").alias("yield"),
-        F.count_if("yield_shortfall_frac > 0.25").alias("short"),
-        F.count_if("insurance_trigger = 0").alias("calm"),
+        F.count_if(F.expr("rain_trigger = 1")).alias("rain"),
+        F.count_if(F.expr("yield_trigger = 1")).alias("yield"),
+        F.count_if(F.expr("yield_shortfall_frac > 0.25")).alias("short"),
+        F.count_if(F.expr("insurance_trigger = 0")).alias("calm"),
         F.count_if(F.array_contains("reason_codes", "TRIGGER-HIT")).alias("hit"),
         F.count_if(F.array_contains("reason_codes", "YIELD-SHORT")).alias("code"),
     ).first()
