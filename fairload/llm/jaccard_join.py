@@ -1,18 +1,19 @@
 """N-gram Jaccard join by several global token orders.
 
 A document is its set of distinct word shingles. Documents with equal sets are one node, named by a hash of
-the set. Two sets that are alike enough share a token among the first few of each (the prefix), whatever the
+the set. Two sets that are alike enough share tokens among the first few of each (the prefix), whatever the
 global order in which tokens are taken. All orders here put rare tokens first, by a table of counts in hashed
 buckets, and differ in how ties are broken. A pair is a candidate if the prefixes of the first order meet; it
-is kept only if those of every further order meet too; only then are the whole sets compared.
+is kept only if those of every further order share as many tokens as the likeness demands; only then are the
+whole sets compared.
 
-Near copies are not expanded into pairs. In each prefix list every node is first compared with the least node
-of the list. Lists whose nodes are all in one component then are done. In the others, pairs of nodes of
-different components are compared, by length and by place in the prefixes before anything else. No list, pair
-or partner is left out, so no link between components is lost.
+Near copies are not expanded into pairs. In each long prefix list every node is first compared with one head,
+the node that shares most tokens with others. Lists whose nodes are all in one component then are done. In the
+others, pairs of nodes of different components are compared, by length and by place in the prefixes before
+anything else. No list, pair or partner is left out, so no link between components is lost.
 
 Texts are read four times, where they lie: for keys and counts, for prefixes, and once for the sets of each of
-the two rounds, which a filter of fixed size restricts to nodes that still have a candidate.
+the two rounds, which a filter of fixed size restricts to documents that still have a candidate.
 
 Cases: null texts and texts without words have no shingles and link with nothing; a text with fewer words than
 a shingle is one shingle; a null doc_id keeps its row and never names a group unless all its members lack one;
@@ -34,16 +35,31 @@ from fairload.llm.common import written
 from fairload.llm.components import components
 
 ORDERS = 3
-#: Bounds of the bucket table (a byte a bucket is broadcast) and of the node filter (64 bits a word).
-LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 22
+#: Buckets of the table of token counts (a byte a bucket is broadcast).
+BUCKETS = 1 << 16
+#: Most words of 64 bits of the document filter.
 MOST_FILTER_WORDS = 1 << 21
-#: Where the two probes of a node lie: shift of the word number, shift of the bit number.
-PROBES = ((0, 41), (20, 47))
+#: A prefix list of so many nodes or more is compared with a head first.
+LONG_LIST = 8
+#: Where the probes of a hash lie: shift of the word number, shift of the bit number.
+PROBES = ((0, 41), (20, 47), (11, 53), (31, 5))
 #: Nodes that a task remembers to give out copies only once.
 REMEMBERED = 1 << 20
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
+
+class _Hashes(dict):
+    """XXH3 of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+_HASHES = _Hashes()
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -59,7 +75,7 @@ def tokens_of(text: str | None, shingle: int) -> np.ndarray:
     words = (text or "").encode("utf-8").translate(_LOWER).split()  # bytes split at space and \t..\r only
     if not words:
         return np.empty(0, dtype=np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    hashes = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
     size = min(shingle, len(hashes))
     total = np.full(len(hashes) - size + 1, size, dtype=np.uint64)
     for k in range(size):
@@ -78,16 +94,19 @@ def _keys(tokens: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
-def _counted(docs: DataFrame, shingle: int, buckets: int) -> DataFrame:
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _counted(docs: DataFrame, shingle: int) -> DataFrame:
     """A row a document (doc_id, n, k1, k2), and a row a task with its counts of hashed tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(buckets, dtype=np.int64)
+        counts = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             sets = [tokens_of(text, shingle) for text in batch["text"]]
-            for tokens in sets:
-                at, times = np.unique(tokens % np.uint64(buckets), return_counts=True)
-                counts[at.astype(np.int64)] += times
+            if sets:
+                counts += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
             keys = np.array([_keys(tokens) for tokens in sets], dtype=np.int64)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(t) for t in sets], "k1": keys[:, 0], "k2": keys[:, 1], "at": None, "counts": None})
         at = np.flatnonzero(counts)
@@ -100,13 +119,18 @@ def _counted(docs: DataFrame, shingle: int, buckets: int) -> DataFrame:
     return named.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _levels(counted: DataFrame, buckets: int) -> np.ndarray:
-    """Quarter octaves of the count in each bucket: a byte a bucket, the table all orders start from."""
-    pairs = counted.where("n < 0").select(F.inline(F.arrays_zip("at", "counts")))
-    sums = pairs.groupBy("at").agg(F.sum("counts").alias("total")).toPandas()  # at most MOST_BUCKETS rows
-    levels = np.zeros(buckets, dtype=np.uint8)
-    levels[sums["at"].to_numpy(dtype=np.int64)] = np.floor(4 * np.log2(1 + sums["total"].to_numpy(dtype=np.float64)))
-    return levels
+def _levels(counted: DataFrame) -> np.ndarray:
+    """How far each bucket stands out, a byte a bucket: 0 within four deviations of chance, then by quarter octaves.
+
+    All orders start from this table, so that frequent tokens come last.
+    """
+    pairs = counted.where("n < 0").select(F.explode(F.arrays_zip("at", "counts")).alias("c"))
+    sums = pairs.groupBy(F.col("c.at").alias("at")).agg(F.sum("c.counts").alias("total")).toPandas()  # a row a bucket
+    counts = np.zeros(BUCKETS)
+    counts[sums["at"].to_numpy(dtype=np.int64)] = sums["total"].to_numpy(dtype=np.float64)
+    usual = np.median(counts)
+    beyond = (counts - usual) / (4 * np.sqrt(usual + 1))
+    return np.where(beyond < 1, 0, 1 + np.floor(4 * np.log2(np.maximum(beyond, 1)))).astype(np.uint8)
 
 
 def _node(key: tuple[int, int], shared: frozenset[int]) -> int:
@@ -114,15 +138,20 @@ def _node(key: tuple[int, int], shared: frozenset[int]) -> int:
 
 
 def _prefixes(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray, shared: frozenset[int]) -> DataFrame:
-    """(node, n, p0, p1 ..): the prefixes of each set; ``p0`` whole, the others as 32-bit hashes. A node whose
-    copies meet in one task is given out once."""
+    """(node, n, p0, p1 ..): the prefixes of each set; ``p0`` in order, the others as distinct 32-bit hashes. A node
+    whose copies meet in one task is given out once."""
     table = docs.sparkSession.sparkContext.broadcast(levels)
 
-    def ordered(tokens: np.ndarray, k: int, level: np.ndarray) -> np.ndarray:
-        return tokens[np.lexsort((_mixed(tokens, k + 1), level))][: prefix_length(len(tokens), percent)]
+    def first(tokens: np.ndarray, k: int, level: np.ndarray) -> np.ndarray:
+        rank = (level << np.uint64(56)) | (_mixed(tokens, k + 1) >> np.uint64(8))
+        length = prefix_length(len(tokens), percent)
+        at = np.argpartition(rank, length - 1)[:length]
+        if k:
+            return np.unique(tokens[at].astype(np.uint32)).view(np.int32)
+        return tokens[at[np.argsort(rank[at])]].view(np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        levels, seen = table.value, set()
+        levels, seen = table.value.astype(np.uint64), set()
         for batch in batches:
             rows = []
             for text in batch["text"]:
@@ -132,63 +161,71 @@ def _prefixes(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray, s
                     continue
                 seen = seen if len(seen) < REMEMBERED else set()
                 seen.add(node)
-                level = levels[(tokens % np.uint64(len(levels))).astype(np.int64)]
-                further = [ordered(tokens, k, level).astype(np.uint32).view(np.int32) for k in range(1, ORDERS)]
-                rows.append((node, len(tokens), ordered(tokens, 0, level).view(np.int64), *further))
+                level = levels[_bucket(tokens)]
+                rows.append((node, len(tokens), *(first(tokens, k, level) for k in range(ORDERS))))
             yield pd.DataFrame(rows, columns=["node", "n", *(f"p{k}" for k in range(ORDERS))])
 
     further = "".join(f", p{k} array<int>" for k in range(1, ORDERS))
     return docs.select("text").mapInPandas(run, f"node long, n int, p0 array<long>{further}")
 
 
-def _filter_words(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of the nodes, as 64-bit words; nodes are hashes, so their own bits are the probes.
+def _filter_words(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``hash``, as 64-bit words; the bits of a hash are its probes.
 
-    At most MOST_FILTER_WORDS words come to the driver; with many more nodes than bits it lets more pass.
+    At most MOST_FILTER_WORDS words come to the driver; with many more hashes than bits it lets more pass.
     """
-    words, many = 64, nodes.count()
+    words, many = 64, hashes.count()
     while words < MOST_FILTER_WORDS and words * 4 < many:
         words *= 2
     one = F.lit(1).cast("long")
     probes = F.array(
         *(
             F.struct(
-                F.pmod(F.shiftright("node", place), F.lit(words)).alias("at"),
-                F.call_function("shiftleft", one, F.shiftright("node", bit).bitwiseAND(63).cast("int")).alias("mask"),
+                F.pmod(F.shiftright("hash", place), F.lit(words)).alias("at"),
+                F.call_function("shiftleft", one, F.shiftright("hash", bit).bitwiseAND(63).cast("int")).alias("mask"),
             )
             for place, bit in PROBES
         )
     )
-    found = nodes.select(F.inline(probes)).groupBy("at").agg(F.bit_or("mask").alias("mask")).toPandas()
+    found = hashes.select(F.inline(probes)).groupBy("at").agg(F.bit_or("mask").alias("mask")).toPandas()
     filled = np.zeros(words, dtype=np.int64)
     filled[found["at"].to_numpy(dtype=np.int64)] = found["mask"].to_numpy(dtype=np.int64)
     return filled.view(np.uint64)
 
 
-def _passes(filled: np.ndarray, node: int) -> bool:
-    return all(int(filled[(node >> place) % len(filled)]) >> ((node >> bit) & 63) & 1 for place, bit in PROBES)
+def _passing(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    ok = np.ones(len(hashes), dtype=bool)
+    for place, bit in PROBES:
+        word = filled[(hashes >> place) % len(filled)]
+        ok &= (word >> ((hashes >> bit) & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return ok
+
+
+def _doc_hash() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, shared: frozenset[int]) -> DataFrame:
-    """(node, tokens): the whole set of each of the nodes, and of a few more that pass the filter."""
-    table = docs.sparkSession.sparkContext.broadcast(_filter_words(nodes))
+    """(node, tokens): the whole set of the first document of each node (node, doc_id).
+
+    The few documents more that pass the filter, or repeat a doc_id, may give a node twice or one not asked for.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(_filter_words(nodes.select(_doc_hash().alias("hash"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filled, seen = table.value, set()
+        seen: set[int] = set()
         for batch in batches:
             rows = []
-            for text in batch["text"]:
+            for text in batch["text"][_passing(table.value, batch["hash"].to_numpy(dtype=np.int64))]:
                 tokens = tokens_of(text, shingle)
                 node = _node(_keys(tokens), shared)
-                if not len(tokens) or node in seen or not _passes(filled, node):
-                    continue
-                seen = seen if len(seen) < REMEMBERED else set()
-                seen.add(node)
-                rows.append((node, tokens.tobytes()))
+                if len(tokens) and node not in seen:
+                    seen = seen if len(seen) < REMEMBERED else set()
+                    seen.add(node)
+                    rows.append((node, tokens.tobytes()))
             yield pd.DataFrame(rows, columns=["node", "tokens"])
 
-    sets = docs.select("text").mapInPandas(run, "node long, tokens binary")
-    return sets.groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return docs.select("text", _doc_hash().alias("hash")).mapInPandas(run, "node long, tokens binary")
 
 
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -204,26 +241,62 @@ def _alike(smaller: Column, larger: Column, percent: int) -> Column:
     return smaller * 100 >= larger * percent
 
 
-def _judged(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, shingle: int, percent: int, shared: frozenset[int], label: str) -> DataFrame:
-    """The pairs (src, dst) that are alike: prefixes of all orders meet, then the whole sets are compared."""
-    ends = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct()
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct()
+
+
+def _judged(pairs: DataFrame, known: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, shared: frozenset[int], label: str) -> DataFrame:
+    """The pairs (src, dst) that are alike: prefixes of all orders share enough, then the whole sets are compared.
+
+    Behind the prefix whose last token comes first in the order, its set has n - length tokens. So what two sets
+    share is at most what their prefixes share, and that.
+    """
     later = [f"p{k}" for k in range(1, ORDERS)]
-    known = prefixes.select("node", "n", *later).join(ends, "node", "left_semi").dropDuplicates(["node"])
-    known = written(known, f"{label}-prefixes")
     left = known.select(F.col("node").alias("src"), F.col("n").alias("ns"), *(F.col(p).alias(f"{p}s") for p in later))
     right = known.select(F.col("node").alias("dst"), F.col("n").alias("nd"), *(F.col(p).alias(f"{p}d") for p in later))
     both = pairs.join(left, "src").join(right, "dst")
     both = both.where(_alike(F.least("ns", "nd"), F.greatest("ns", "nd"), percent))
+    behind = lambda n: F.expr(f"({percent} * {n} + 99) div 100 - 1")
     for p in later:
-        both = both.where(F.arrays_overlap(f"{p}s", f"{p}d"))
+        # 32-bit hashes that fall together are counted as shared
+        lost = F.col("ns") - behind("ns") - F.size(f"{p}s") + F.col("nd") - behind("nd") - F.size(f"{p}d")
+        most = F.size(F.array_intersect(f"{p}s", f"{p}d")) + lost + F.greatest(behind("ns"), behind("nd"))
+        both = both.where(most * (100 + percent) >= (F.col("ns") + F.col("nd")) * percent)
     kept = written(both.select("src", "dst", "ns", "nd"), f"{label}-kept")
-    ends = kept.select(F.col("src").alias("node")).union(kept.select(F.col("dst").alias("node"))).distinct()
-    sets = written(_sets(docs, ends, shingle, shared), f"{label}-sets")
+    sets = written(_sets(docs, nodes.join(_ends(kept), "node", "left_semi"), shingle, shared), f"{label}-sets")
     left = sets.select(F.col("node").alias("src"), F.col("tokens").alias("ts"))
     right = sets.select(F.col("node").alias("dst"), F.col("tokens").alias("td"))
     common = F.pandas_udf(_overlap, "long")("ts", "td")
-    both = kept.join(left, "src").join(right, "dst").select("src", "dst", "ns", "nd", common.alias("common"))
-    return written(both.where(_alike(F.col("common"), F.col("ns") + F.col("nd") - F.col("common"), percent)).select("src", "dst"), f"{label}-links")
+    both = kept.join(right, "dst").join(left, "src").select("src", "dst", "ns", "nd", common.alias("common"))
+    alike = _alike(F.col("common"), F.col("ns") + F.col("nd") - F.col("common"), percent)
+    return written(both.where(alike).select("src", "dst"), f"{label}-links")
+
+
+def _prefix_lists(prefixes: DataFrame) -> DataFrame:
+    """(tok, node, n, pos, held): the entries of tokens that several nodes hold; ``held`` is the length of the list.
+
+    Both sides of the join read one shuffle of the entries.
+    """
+    packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
+    entries = prefixes.select("node", "n", F.posexplode("p0").alias("pos", "tok")).select("tok", "node", packed.alias("place"))
+    entries = entries.repartition("tok")
+    held = entries.groupBy("tok").agg(
+        F.min("node").alias("least"), F.max("node").alias("most"), F.count("place").alias("held")
+    )
+    lists = entries.join(held.where("least < most").select("tok", "held"), "tok")
+    n, pos = F.shiftright("place", 32), F.col("place").bitwiseAND((1 << 32) - 1)
+    return lists.select("tok", "node", n.alias("n"), pos.alias("pos"), "held")
+
+
+def _star_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Each node of a long list with the head of the list, if their lengths allow a link."""
+    long = lists.where(F.col("held") >= LONG_LIST)
+    weight = long.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
+    long = long.join(weight, "node").select("tok", "node", "n", "weight")
+    head = F.max(F.struct("weight", "node", "n")).alias("head")
+    pairs = long.join(long.groupBy("tok").agg(head), "tok").where(F.col("node") != F.col("head.node"))
+    pairs = pairs.where(_alike(F.least("n", "head.n"), F.greatest("n", "head.n"), percent))
+    return pairs.select(F.least("node", "head.node").alias("src"), F.greatest("node", "head.node").alias("dst")).distinct()
 
 
 def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -233,55 +306,53 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     in common there must be enough tokens left on both sides.
     """
     index = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent) - 1e-6) + 1
-    short = lists.where(F.col("pos") < index).select("tok", F.col("comp").alias("cs"), F.col("node").alias("src"), F.col("n").alias("ns"), F.col("pos").alias("is"))
-    long = lists.select("tok", F.col("comp").alias("cd"), F.col("node").alias("dst"), F.col("n").alias("nd"), F.col("pos").alias("id"))
+    short = lists.where(F.col("pos") < index).select(
+        "tok", F.col("comp").alias("cs"), F.col("node").alias("src"), F.col("n").alias("ns"), F.col("pos").alias("at_s")
+    )
+    long = lists.select(
+        "tok", F.col("comp").alias("cd"), F.col("node").alias("dst"), F.col("n").alias("nd"), F.col("pos").alias("at_d")
+    )
     larger = (F.col("nd") > F.col("ns")) | ((F.col("nd") == F.col("ns")) & (F.col("dst") > F.col("src")))
-    most = F.least(F.col("ns") - F.col("is"), F.col("nd") - F.col("id"))
+    most = F.least(F.col("ns") - F.col("at_s"), F.col("nd") - F.col("at_d"))
     enough = most * (100 + percent) >= (F.col("ns") + F.col("nd")) * percent
     fits = (F.col("cs") != F.col("cd")) & larger & _alike(F.col("ns"), F.col("nd"), percent) & enough
     met = short.join(long, "tok").where(fits)
     return met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
-def links(docs: DataFrame, levels: np.ndarray, shared: frozenset[int], shingle: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, levels: np.ndarray, shared: frozenset[int], shingle: int, percent: int) -> DataFrame:
     """(src, dst): links of nodes, enough of them to join all nodes that are joined by links at all."""
     prefixes = written(_prefixes(docs, shingle, percent, levels, shared), "jaccard-prefixes")
-    entries = prefixes.select("node", "n", F.posexplode("p0").alias("pos", "tok"))
-    heads = entries.groupBy("tok").agg(F.min("node").alias("head"), F.max("node").alias("last"))
-    lists = entries.join(heads.where("head < last").select("tok", "head"), "tok")
-    lists = written(lists, "jaccard-lists")  # only tokens that two nodes share
-    stars = lists.where("node > head").select(F.col("head").alias("src"), F.col("node").alias("dst")).distinct()
-    stars = written(stars, "jaccard-stars")
-    first = _judged(stars, prefixes, docs, shingle, percent, shared, "jaccard-first")
+    lists = written(_prefix_lists(prefixes), "jaccard-lists")
+    later = [f"p{k}" for k in range(1, ORDERS)]
+    known = prefixes.select("node", "n", *later).join(lists.select("node").distinct(), "node", "left_semi")
+    known = written(known.dropDuplicates(["node"]), "jaccard-known")
+    stars = written(_star_pairs(lists, percent), "jaccard-stars")
+    given = (docs, nodes, shingle, percent, shared)
+    first = _judged(stars, known, *given, "jaccard-first")
     named = components(first, "jaccard-near").select("node", F.col("root").alias("comp"))
     lists = lists.select("tok", "node", "n", "pos").join(named, "node", "left")
     lists = written(lists.withColumn("comp", F.coalesce("comp", "node")), "jaccard-named")
-    open_ = lists.groupBy("tok").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
-    lists = written(lists.join(open_.select("tok"), "tok", "left_semi").dropDuplicates(["tok", "node"]), "jaccard-open")
-    pairs = _cross_pairs(lists, percent).join(stars, ["src", "dst"], "left_anti")
-    second = _judged(written(pairs, "jaccard-pairs"), prefixes, docs, shingle, percent, shared, "jaccard-second")
-    return first.union(second)
+    spread = lists.groupBy("tok").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
+    lists = lists.join(spread.select("tok"), "tok", "left_semi").dropDuplicates(["tok", "node"])
+    lists = written(lists, "jaccard-open")
+    pairs = written(_cross_pairs(lists, percent).join(stars, ["src", "dst"], "left_anti"), "jaccard-pairs")
+    return first.union(_judged(pairs, known, *given, "jaccard-second"))
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id: the smallest doc_id reachable over links of ``percent`` likeness."""
-    spark = docs.sparkSession
-    buckets = LEAST_BUCKETS
-    rows = docs.count()
-    while buckets < MOST_BUCKETS and buckets < rows:
-        buckets *= 2
-    counted = written(_counted(docs, shingle, buckets), "jaccard-keys")
+    counted = written(_counted(docs, shingle), "jaccard-keys")
     members = counted.where("n >= 0").select("doc_id", "n", "k1", "k2")
     twice = members.groupBy("k1").agg(F.min("k2").alias("lo"), F.max("k2").alias("hi")).where("lo < hi")
     shared = frozenset(r.k1 for r in twice.select("k1").collect())  # by chance alone: a few in 10^10 documents
-    levels = _levels(counted, buckets)
     node = F.when(F.col("k1").isin(list(shared)), F.col("k2")).otherwise(F.col("k1")) if shared else F.col("k1")
     members = members.select("doc_id", "n", node.alias("node"))
-    found = links(docs, levels, shared, shingle, percent)
+    nodes = written(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-nodes")
+    found = links(docs, nodes, _levels(counted), shared, shingle, percent)
     roots = components(found, "jaccard-components")
-    nodes = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    nodes = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    nodes = written(nodes, "jaccard-nodes")
+    nodes = nodes.join(roots, "node", "left").select("node", F.col("doc_id").alias("least"), F.coalesce("root", "node").alias("root"))
+    nodes = written(nodes, "jaccard-roots")
     names = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = nodes.join(names, "root").select("node", "component_id")
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
