@@ -1,20 +1,13 @@
 """Fitted models: boosted trees, logistic and ridge regression, and forecasts from them.
 
-Training runs as Spark ML jobs over the whole history. What returns to the driver is a model, never
-rows.
+Training runs as Spark jobs over the whole history. What returns to the driver is a model, never rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
@@ -23,10 +16,10 @@ from fairload.functions.codes import factor_labels, top_factors
 from fairload.functions.numeric import at_least, rounded, whole_number
 from fairload.functions.ordering import auc
 from fairload.functions.timegrid import slot_time
-from fairload.operators import scoring
+from fairload.operators import boosting, scoring
+from fairload.operators.boosting import Boosting, Ensemble
 from fairload.operators.features import calendar
 from fairload.operators.scoring import held_out
-from fairload.session import fresh_dir
 from fairload.settings import (
     CROP_FEATURES,
     CROP_LABELS,
@@ -39,20 +32,6 @@ from fairload.settings import (
 )
 
 
-@dataclass(frozen=True)
-class Boosting:
-    rounds: int = 400
-    depth: int = 6
-    rate: float = 0.08
-    subsample: float = 0.9
-    columns: float = 0.9  # share of the inputs that a tree node may choose from
-    seed: int = 7
-
-    def shortened(self, rounds: int | None) -> Boosting:
-        """The same with at most ``rounds`` rounds; unchanged without a number."""
-        return self if rounds is None else replace(self, rounds=min(rounds, self.rounds))
-
-
 RISK = Boosting()
 LOSS = Boosting(rounds=350, depth=5, rate=0.09)
 YIELD = Boosting(rounds=400, depth=5, rate=0.09)
@@ -64,93 +43,48 @@ def training_means(rows: DataFrame, features: tuple[str, ...]) -> dict[str, floa
     return {f: float(m) if m is not None else 0.0 for f, m in zip(features, means)}
 
 
-def with_vector(df: DataFrame, features: tuple[str, ...], means: dict[str, float]) -> DataFrame:
-    """Adds ``inputs``. A missing input counts as the mean of the training rows: every row stays."""
-    filled = {f"_in_{f}": F.coalesce(F.col(f).cast("double"), F.lit(means[f])) for f in features}
-    assembler = VectorAssembler(inputCols=list(filled), outputCol="inputs")
-    return assembler.transform(df.withColumns(filled)).drop(*filled)
-
-
-@dataclass(frozen=True)
-class Fitted:
-    """A boosted-tree model with its inputs and what a missing input stands for."""
-
-    model: object
-    features: tuple[str, ...]
-    means: dict[str, float]
-
-    def _scored(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(with_vector(df, self.features, self.means))
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        """Adds ``prediction``."""
-        return self._scored(df).drop("inputs")
-
-    def probability(self, df: DataFrame, name: str) -> DataFrame:
-        """Adds the probability of class 1 as ``name``."""
-        kept = df.columns
-        return self._scored(df).select(*kept, vector_to_array("probability")[1].alias(name))
-
-
-def _fit(kind: type, p: Boosting, rows: DataFrame, features: tuple[str, ...], label: str) -> Fitted:
-    """Fit on the rows that have a label."""
-    labelled = rows.where(F.col(label).isNotNull())
-    means = training_means(labelled, features)
-    return Fitted(_booster(kind, p, label).fit(with_vector(labelled, features, means)), features, means)
-
-
 def _split(df: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
     """85 / 15 by key: the same rows in every run and under any partitioning."""
     return df.where(~held_out(key)), df.where(held_out(key))
 
 
-def _booster(kind: type, p: Boosting, label: str):
-    return kind(
-        featuresCol="inputs",
-        labelCol=label,
-        maxIter=p.rounds,
-        maxDepth=p.depth,
-        stepSize=p.rate,
-        subsamplingRate=p.subsample,
-        featureSubsetStrategy=str(p.columns),
-        seed=p.seed,
-    )
-
-
-def holdout_auc(fitted: Fitted, history: DataFrame, key: Column, label: str) -> DataFrame:
+def holdout_auc(fitted: Ensemble, history: DataFrame, key: Column, label: str) -> DataFrame:
     _, held = _split(history, key)
     scored = fitted.probability(held, "p").withColumn("p", rounded(F.col("p"), 9))
     return auc(scored, label, "p", bounds=(0.0, 1.0))
 
 
-def train_risk(history: DataFrame, p: Boosting = RISK) -> Fitted:
+def train_risk(history: DataFrame, p: Boosting = RISK) -> Ensemble:
     """Boosted-tree classifier of failures in the next 72 h."""
-    return _fit(GBTClassifier, p, _split(history, F.col("row_key"))[0], TX_FEATURES, "failed_next72h")
+    key = F.col("row_key")
+    return boosting.fit(_split(history, key)[0], TX_FEATURES, "failed_next72h", p, True, key)
 
 
 def history_key(history: DataFrame) -> Column:
     return whole_number(history, "village_id") * 10_007 + F.col("season")
 
 
-def train_loss(history: DataFrame, p: Boosting = LOSS) -> Fitted:
-    return _fit(GBTClassifier, p, _split(history, history_key(history))[0], CROP_FEATURES, "loss_event")
+def train_loss(history: DataFrame, p: Boosting = LOSS) -> Ensemble:
+    key = history_key(history)
+    return boosting.fit(_split(history, key)[0], CROP_FEATURES, "loss_event", p, True, key)
 
 
-def train_yield(history: DataFrame, p: Boosting = YIELD) -> Fitted:
-    return _fit(GBTRegressor, p, _split(history, history_key(history))[0], CROP_FEATURES, "yield_t_ha")
+def train_yield(history: DataFrame, p: Boosting = YIELD) -> Ensemble:
+    key = history_key(history)
+    return boosting.fit(_split(history, key)[0], CROP_FEATURES, "yield_t_ha", p, False, key)
 
 
-def with_yield(fitted: Fitted, df: DataFrame, floor: float) -> DataFrame:
+def with_yield(fitted: Ensemble, df: DataFrame, floor: float) -> DataFrame:
     return fitted.predict(df).withColumn("yield_pred", at_least(F.col("prediction"), floor)).drop("prediction")
 
 
-def score_transformers(fitted: Fitted, stress: DataFrame, transformers: DataFrame) -> DataFrame:
+def score_transformers(fitted: Ensemble, stress: DataFrame, transformers: DataFrame) -> DataFrame:
     """As ``scoring.score_transformers``, by the fitted trees and what they say about each row."""
     live = fitted.probability(scoring.transformer_inputs(stress, transformers), "p_fail_72h")
     return _with_reasons(live, fitted, TX_LABELS, "reason_codes")
 
 
-def score_villages(loss: Fitted, yields: Fitted, features: DataFrame, p: AgroSettings) -> DataFrame:
+def score_villages(loss: Ensemble, yields: Ensemble, features: DataFrame, p: AgroSettings) -> DataFrame:
     """As ``scoring.score_villages``, by fitted trees."""
     added = {name: c for name, c in scoring.crop_inputs(p).items() if name not in features.columns}
     live = loss.probability(features.withColumns(added), "p_loss")
@@ -265,7 +199,7 @@ def feeder_codes(load: DataFrame) -> DataFrame:
     return feeders.withColumn("feeder_code", place.cast("double"))
 
 
-def train_load(load_features: DataFrame, p: GridSettings, boosting: Boosting = LOAD) -> Fitted | None:
+def train_load(load_features: DataFrame, p: GridSettings, shape: Boosting = LOAD) -> Ensemble | None:
     """Boosted trees on lags, temperature and time of day; None if there is too little to learn from.
 
     With at most a day of history the lag of a day is unknown everywhere and counts as the recent mean, so
@@ -278,14 +212,40 @@ def train_load(load_features: DataFrame, p: GridSettings, boosting: Boosting = L
         return None
     warm = p.slots_per_day if newest > p.slots_per_day + p.steps_ahead else 4
     rows = known.where(F.col("slot") >= warm).withColumns(_gapless(lags)).join(feeder_codes(load_features), "feeder_id")
-    return _fit(GBTRegressor, boosting, rows, LOAD_INPUTS, "kw")
-
-
-def recursive_forecast(fitted: Fitted, grid: DataFrame, future_temp: DataFrame, p: GridSettings) -> DataFrame:
+    key = whole_number(rows, "feeder_id") * 10_000_019 + F.col("slot")
+    return boosting.fit(rows, LOAD_INPUTS, "kw", shape, False, key)
+
+
+def _steps_ahead(predict, season: int, steps: int):
+    """A vectorised function from the last day of each feeder to its next ``steps`` slots."""
+
+    def run(tail: pd.Series, code: pd.Series, temps: pd.Series, sines: pd.Series, cosines: pd.Series) -> pd.Series:
+        # right-aligned, so that the newest slot of every feeder is in the last column
+        if not len(tail):
+            return pd.Series([], dtype=object)
+        longest = max(len(t) for t in tail)
+        known = np.full((len(tail), max(longest, season, 4) + steps), np.nan)
+        end = known.shape[1] - steps
+        for row, values in zip(known, tail):
+            row[end - len(values) : end] = values
+        at = [np.stack(x.to_list()) for x in (temps, sines, cosines)]
+        for step in range(steps):
+            now = end + step
+            back = [np.nan_to_num(known[:, now - n]) for n in (1, 2, 3, 4)]
+            mean = sum(back) / 4.0
+            day = known[:, now - season]  # a history shorter than a day has no such lag: the recent mean stands in
+            inputs = [*back, np.where(np.isnan(day), mean, day), mean, code.to_numpy(dtype=float), *(x[:, step] for x in at)]
+            known[:, now] = np.maximum(predict(inputs), 0.0)
+        return pd.Series(list(known[:, end:]))
+
+    return run
+
+
+def recursive_forecast(fitted: Ensemble, grid: DataFrame, future_temp: DataFrame, p: GridSettings) -> DataFrame:
     """Step by step, each prediction feeding the lags of the next.
 
-    A feeder is one row that carries its last day as an array (at most one day of slots), so every
-    step is a projection of that row: the steps need no shuffle and no stored intermediate.
+    A feeder is one row that carries its last day as an array (at most one day of slots). All steps are taken in
+    one vectorised function over the feeders of a batch: no shuffle, no stored intermediate.
     """
     season, steps = p.slots_per_day, p.steps_ahead
     keep = max(season, 4)
@@ -303,21 +263,10 @@ def recursive_forecast(fitted: Fitted, grid: DataFrame, future_temp: DataFrame,
         "_temps",
         F.transform("_points", lambda e: F.coalesce(e["kw"], level)).alias("_tail"),
     )
-    for step in range(1, steps + 1):
-        # a history shorter than a day has no such lag: the recent mean stands in
-        back = lambda n: F.coalesce(F.try_element_at("_tail", F.lit(-n)), F.lit(0.0))
-        inputs = {f"lag_{n}": back(n) for n in (1, 2, 3, 4)}
-        inputs["recent_mean"] = (back(1) + back(2) + back(3) + back(4)) / 4.0
-        inputs["lag_day"] = F.coalesce(F.try_element_at("_tail", F.lit(-season)), inputs["recent_mean"])
-        inputs["temp_c"] = F.coalesce(F.try_element_at("_temps", F.lit(step)).getField("temp_c"), F.lit(0.0))
-        at = slot_time(F.col("_newest"), F.lit(step), p.grain_s)
-        inputs["hod_sin"], inputs["hod_cos"] = calendar(at)
-        predicted = fitted.predict(state.withColumns(inputs))
-        value = F.greatest("prediction", F.lit(0.0))
-        state = predicted.select(
-            "feeder_id", "feeder_code", "_newest", "_temps", F.concat("_tail", F.array(value)).alias("_tail")
-        )
-    ahead = F.slice("_tail", -steps, steps)
+    clock = [calendar(slot_time(F.col("_newest"), F.lit(step), p.grain_s)) for step in range(1, steps + 1)]
+    sines, cosines = (F.array(*[c[i] for c in clock]) for i in (0, 1))
+    temps = F.array(*[F.coalesce(F.try_element_at("_temps", F.lit(s)).getField("temp_c"), F.lit(0.0)) for s in range(1, steps + 1)])
+    ahead = F.pandas_udf(_steps_ahead(fitted.predictor(), season, steps), "array<double>")("_tail", "feeder_code", temps, sines, cosines)
     return state.select("feeder_id", "_newest", F.posexplode(ahead).alias("_at", "kw")).select(
         "feeder_id",
         (F.col("_at") + 1).cast("bigint").alias("step"),
@@ -329,80 +278,18 @@ def recursive_forecast(fitted: Fitted, grid: DataFrame, future_temp: DataFrame,
 # ---------------------------------------------------------------- what trees say about a row
 
 
-@dataclass(frozen=True)
-class TreeNodes:
-    weight: float
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-
-
-def ensemble_nodes(model) -> list[TreeNodes]:
-    """Nodes of a fitted ensemble, from its saved form. Size: trees times nodes of a tree, whatever
-    the data."""
-    spark = SparkSession.getActiveSession()
-    path = fresh_dir(spark, "model")
-    model.write().overwrite().save(path)
-    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").toPandas()
-    weights = model.treeWeights
-    out = []
-    for tree, part in rows.groupby("treeID"):
-        part = part.sort_values("id")
-        split = part["split"]
-        out.append(
-            TreeNodes(
-                weight=float(weights[int(tree)]),
-                feature=np.array([s["featureIndex"] for s in split]),
-                threshold=np.array([s["leftCategoriesOrThreshold"][0] if len(s["leftCategoriesOrThreshold"]) else np.nan for s in split]),
-                left=part["leftChild"].to_numpy(),
-                right=part["rightChild"].to_numpy(),
-                value=part["prediction"].to_numpy(),
-            )
-        )
-    return out
-
-
-def contribution_column(fitted: Fitted) -> Column:
-    """How far each input moves the score on its way down the trees: one array a row, the base last.
-
-    The entries add up to the ensemble's raw score. Trees travel with the task; rows stream through in
-    Arrow batches. A missing input takes the way of its training mean, as in scoring.
-    """
-    trees, width = ensemble_nodes(fitted.model), len(fitted.features)
-
-    def walk(*inputs: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(dtype=float) for c in inputs])
-        moved, every = np.zeros((len(x), width + 1)), np.arange(len(x))
-        for t in trees:
-            at = np.zeros(len(x), dtype=int)
-            moved[:, width] += t.weight * t.value[0]
-            while (t.left[at] >= 0).any():
-                inner = every[t.left[at] >= 0]
-                node = at[inner]
-                goes_left = x[inner, t.feature[node]] <= t.threshold[node]
-                child = np.where(goes_left, t.left[node], t.right[node])
-                moved[inner, t.feature[node]] += t.weight * (t.value[child] - t.value[node])
-                at[inner] = child
-        return pd.Series(list(moved))
-
-    known = [F.coalesce(F.col(f).cast("double"), F.lit(fitted.means[f])) for f in fitted.features]
-    return F.pandas_udf(walk, "array<double>")(*known)
-
-
-def tree_contributions(fitted: Fitted, df: DataFrame, id_column: str) -> DataFrame:
-    """Long form: id, feature, contribution. Those of a row and its ``(base)`` add up to the raw score."""
+def tree_contributions(fitted: Ensemble, df: DataFrame, id_column: str) -> DataFrame:
+    """Long form: id, feature, Shapley value. Those of a row and its ``(base)`` add up to the raw score."""
     names = F.array(*[F.lit(f) for f in (*fitted.features, "(base)")])
     pairs = F.arrays_zip(names.alias("feature"), F.col("_moved").alias("contribution"))
-    rows = df.select(id_column, contribution_column(fitted).alias("_moved"))
+    rows = df.select(id_column, fitted.contribution_column().alias("_moved"))
     return rows.select(id_column, F.inline(pairs)).toDF(id_column, "feature", "contribution")
 
 
-def _with_reasons(df: DataFrame, fitted: Fitted, labels: dict[str, str], name: str) -> DataFrame:
+def _with_reasons(df: DataFrame, fitted: Ensemble, labels: dict[str, str], name: str) -> DataFrame:
     """Adds ``factors``, the inputs that push the log-odds up most, and their labels as ``name``."""
-    moved = df.withColumn("_moved", contribution_column(fitted))
-    parts = [F.get("_moved", F.lit(i)) * 2.0 for i in range(len(fitted.features))]  # log-odds: twice the raw score
+    moved = df.withColumn("_moved", fitted.contribution_column())
+    parts = [F.get("_moved", F.lit(i)) for i in range(len(fitted.features))]
     values = [F.col(f).cast("double") for f in fitted.features]
     return (
         moved.withColumn("factors", top_factors(fitted.features, parts, values))

@@ -78,7 +78,7 @@ class AgroPlan:
 
     # ---- scores
     @cached_property
-    def loss_model(self) -> learning.Fitted:
+    def loss_model(self) -> learning.Ensemble:
         return learning.train_loss(self.tables["yield_history"], self.models.loss)
 
     @cached_property

@@ -115,7 +115,7 @@ class GridPlan:
 
     # ---- scores
     @cached_property
-    def risk_model(self) -> learning.Fitted:
+    def risk_model(self) -> learning.Ensemble:
         return learning.train_risk(self.tables["tx_history"], self.models.risk)
 
     @cached_property

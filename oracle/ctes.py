@@ -381,9 +381,11 @@ def _fitted_push(inputs: list[str]) -> list[str]:
 _RISK_FIT, _RISK_W = fits.logit(f"select * from tx_history where not ({TX_HELD})", tuple(TX_PUSH), "failed_next72h", "rl")
 _LOSS_FIT, _LOSS_W = fits.logit(f"select * from yield_history where not ({CROP_HELD})", tuple(CROP_PUSH), "loss_event", "ll")
 _YIELD_FIT, _YIELD_W = fits.ridge("select * from yield_history", tuple(CROP_PUSH), "yield_t_ha", "yr")
+_RISK_BOOST, RISK_BOOSTED = fits.boosted("select * from tx_history", TX_HELD, tuple(TX_PUSH), "failed_next72h", "rb", rounds=2, depth=3, cuts=15, rate=0.3)
+_LOSS_BOOST, LOSS_BOOSTED = fits.boosted("select * from yield_history", CROP_HELD, tuple(CROP_PUSH), "loss_event", "lb", rounds=2, depth=3, cuts=15, rate=0.3)
 _CROP_LIVE = [v for v, _ in CROP_PUSH.values()]
 _ONES = lambda parts: "1.0e0 / (1.0e0 + exp(-(x0 + " + " + ".join(parts) + ")))"
-BLOCKS |= dict(_RISK_FIT + _LOSS_FIT + _YIELD_FIT) | {
+BLOCKS |= dict(_RISK_FIT + _LOSS_FIT + _YIELD_FIT + _RISK_BOOST + _LOSS_BOOST) | {
     "rl_live": f"select t.*, m.*, w.* from tx_inputs t, rl_m m, {_RISK_W} w",
     "rl_factors": _factor_rows("rl_live", "transformer_id", dict(zip(TX_PUSH, zip(TX_PUSH, _fitted_push(list(TX_PUSH))))), TX_CODE),
     "rl_codes": "select transformer_id, string_agg(code, ', ' order by pos) as reason_codes from rl_factors group by 1",

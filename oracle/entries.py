@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.ctes import CROP_HELD, GRAIN, PER, SHED_ASKED, TX_HELD, WATER_ASKED, _logit, _push, _scenarios, dec, sql
+from oracle.ctes import CROP_HELD, GRAIN, LOSS_BOOSTED, PER, RISK_BOOSTED, SHED_ASKED, TX_HELD, WATER_ASKED, _logit, _push, _scenarios, dec, sql
 
 MANUAL_HOURS = dec(f"{(1 + 3 * PER) * 5.0 / 60.0}e0", 1)
 HISTORY_P = "cast(round(cast(" + _logit(
@@ -15,14 +15,17 @@ HISTORY_P = "cast(round(cast(" + _logit(
 ) + " as decimal(28,10)), 9) as double)"
 
 
-def _auc(part: str) -> str:
+def _auc(part: str, y: str = "failed_next72h", p: str = HISTORY_P, source: str = "tx_history") -> str:
     """Mean ranks of the positives (Mann-Whitney)."""
     return f"""select part, count(*) filter (y = 1) as positives, count(*) filter (y <> 1) as negatives,
             case when count(*) filter (y = 1) > 0 and count(*) filter (y <> 1) > 0 then
               (sum(rk) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0e0)
               / (cast(count(*) filter (y = 1) as double) * count(*) filter (y <> 1)) else 0.5e0 end as auc
           from (select part, y, rank() over (partition by part order by p) + (count(*) over (partition by part, p) - 1) / 2.0e0 as rk
-            from (select failed_next72h as y, {HISTORY_P} as p, {part} as part from tx_history) h) r group by 1"""
+            from (select {y} as y, {p} as p, {part} as part from {source}) h) r group by 1"""
+
+
+BOOSTED_P = "cast(round(cast(1.0e0 / (1.0e0 + exp(-score)) as decimal(28,10)), 9) as double)"
 
 
 SUMMARY = "current_mw:d forecast_peak_mw:d capacity_mw:d supply_cap_mw:d deficit_mw:d temp_now_c:d feeders:i protected_feeders:i tx_watchlist:i"
@@ -329,16 +332,9 @@ ORACLE: dict[str, str] = {
            union all select 'feeders', count(*), count(*), sum(feeder_id), sum(lat) from feeders""",
     ),
     # ------------------------------------------------------------ fitted models
-    "risk_gbt": sql(
-        "positives:i negatives:i ranks_well:b",
-        f"""select count(*) filter (failed_next72h = 1) as positives, count(*) filter (failed_next72h <> 1) as negatives, true as ranks_well
-            from tx_history where {TX_HELD}""",
-    ),
-    "loss_gbt": sql(
-        "positives:i negatives:i ranks_well:b",
-        f"""select count(*) filter (loss_event = 1) as positives, count(*) filter (loss_event <> 1) as negatives, true as ranks_well
-            from yield_history where {CROP_HELD}""",
-    ),
+    "risk_two_rounds": sql("row_key:i p:d", f"select row_key, 1.0e0 / (1.0e0 + exp(-score)) as p from {RISK_BOOSTED}"),
+    "risk_two_rounds_auc": sql("positives:i negatives:i auc:d", _auc("true", "y", BOOSTED_P, f"(select * from {RISK_BOOSTED} where out) q")),
+    "loss_two_rounds_auc": sql("positives:i negatives:i auc:d", _auc("true", "y", BOOSTED_P, f"(select * from {LOSS_BOOSTED} where out) q")),
     "risk_logit_scores": sql(
         "transformer_id:i feeder_id:i p_fail_72h:d reason_codes:s",
         "select s.*, coalesce(reason_codes, '') as reason_codes from rl_scores s left join rl_codes using (transformer_id)",

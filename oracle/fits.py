@@ -58,3 +58,48 @@ def logit(source: str, features: tuple[str, ...], target: str, name: str, steps:
         ctes.append((f"{name}_w{k}", "select " + ", ".join(f"b.x{i} + d.x{i} as x{i}" for i in range(n)) + f" from {before} b, {moved} d"))
         before = f"{name}_w{k}"
     return ctes, before
+
+
+def boosted(source: str, held: str, features: tuple[str, ...], target: str, name: str, rounds: int, depth: int, cuts: int, rate: float) -> tuple[list[tuple[str, str]], str]:
+    """CTEs of boosted trees on inputs cut at equal widths, and the last table: all rows with their ``score`` (log-odds).
+
+    Trees grow on the rows that are not held out. Gradients are whole multiples of 2^-24, as in the fit.
+    """
+    n, unit = len(features), "16777216.0e0"
+    ranges = ", ".join(f"min(cast({f} as double)) as lo{i}, max(cast({f} as double)) as hi{i}" for i, f in enumerate(features))
+    bins = ", ".join(
+        f"case when {f} is null then 63 else " + " + ".join(f"cast(lo{i} + (hi{i} - lo{i}) * {j} / {cuts + 1}.0e0 < {f} as int)" for j in range(1, cuts + 1)) + f" end as b{i}"
+        for i, f in enumerate(features)
+    )
+    out = [
+        (f"{name}_r", f"select avg(cast({target} as double)) as rate, {ranges} from ({source}) q where not ({held})"),
+        (f"{name}_0", f"select q.*, {bins}, cast({target} as double) as y, ln(rate / (1 - rate)) as score, {held} as out from ({source}) q, {name}_r"),
+    ]
+    numbers, places = ", ".join(map(str, range(n))), ", ".join(f"b{i}" for i in range(n))
+    for k in range(1, rounds + 1):
+        at = f"{name}_{k}_g"
+        slopes = f"select *, 1.0e0 / (1.0e0 + exp(-score)) as p from {name}_{k - 1}"
+        whole = lambda x: f"case when out then 0 else round_even(({x}) * {unit}, 0) end"
+        out.append((f"{name}_{k}_p", f"select *, {whole('p - y')} as g, {whole('p * (1.0e0 - p)')} as h, 0 as node from ({slopes}) s"))
+        out.append((at, f"select q.*, -{rate}e0 * tg / (th + 1.0e0) as val from {name}_{k}_p q, (select sum(g) / {unit} as tg, sum(h) / {unit} as th from {name}_{k}_p) t"))
+        for level in range(depth):
+            last, at = at, f"{name}_{k}_{level}"
+            out += [
+                (f"{at}_h", f"""select node, f, bin, sum(g) / {unit} as g, sum(h) / {unit} as h from (
+                    select node, g, h, unnest([{numbers}]) as f, unnest([{places}]) as bin from {last} where node >= {2**level - 1}) q group by all"""),
+                (f"{at}_c", f"""select *, sum(g) over (partition by node, f) as tg, sum(h) over (partition by node, f) as th,
+                    sum(case when bin < 63 then g end) over w as cg, sum(case when bin < 63 then h end) over w as ch,
+                    coalesce(sum(case when bin = 63 then g end) over (partition by node, f), 0) as mg, coalesce(sum(case when bin = 63 then h end) over (partition by node, f), 0) as mh
+                    from {at}_h window w as (partition by node, f order by bin)"""),
+                (f"{at}_s", f"select node, f, bin, side, tg, th, cg + side * mg as lg, ch + side * mh as lh from {at}_c, (select unnest([0, 1]) as side) q where bin < 63"),
+                (f"{at}_w", f"""select *, lg * lg / (lh + 1.0e0) + (tg - lg) * (tg - lg) / ((th - lh) + 1.0e0) - tg * tg / (th + 1.0e0) as gain
+                    from {at}_s where lh >= 1 and th - lh >= 1"""),
+                (f"{at}_d", f"""select * from (select *, row_number() over (partition by node order by gain desc, f, bin, side) as pick from {at}_w) q
+                    where pick = 1 and gain > 1e-6"""),
+                (f"{at}_m", f"select r.* exclude (node, val), r.node as was, val as had, d.f as f, d.side, d.bin as cut, lg, lh, tg, th, [{places}][d.f + 1] as mine from {last} r left join {at}_d d on d.node = r.node"),
+                (at, f"""select * exclude (was, had, f, side, cut, lg, lh, tg, th, mine, is_left), case when f is null then was when is_left then 2 * was + 1 else 2 * was + 2 end as node,
+                    case when f is null then had when is_left then -{rate}e0 * lg / (lh + 1.0e0) else -{rate}e0 * (tg - lg) / ((th - lh) + 1.0e0) end as val
+                    from (select *, case when mine = 63 then side = 1 else mine <= cut end as is_left from {at}_m) q"""),
+            ]
+        out.append((f"{name}_{k}", f"select * exclude (p, g, h, node, val) replace (score + val as score) from {at}"))
+    return out, f"{name}_{rounds}"

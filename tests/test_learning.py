@@ -1,9 +1,12 @@
+import itertools
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fairload.functions.codes import contributions, probability
-from fairload.operators import learning
+from fairload.operators import boosting, learning
 from fairload.settings import CROP_FEATURES, TX_FEATURES, TX_LABELS, GridSettings
 from fairload.sources.mapping import logical_tables
 
@@ -26,18 +29,80 @@ def test_boosted_trees_rank_failures(tables, risk_model):
     assert r.auc > 0.7 and r.positives > 0
 
 
-def test_path_contributions_add_up_to_the_score(tables, risk_model):
+def test_contributions_add_up_to_the_score(tables, risk_model):
     rows = tables["tx_history"].limit(60).withColumn("row_no", F.monotonically_increasing_id())
     parts = learning.tree_contributions(risk_model, rows, "row_no")
     total = parts.groupBy("row_no").agg(F.sum("contribution").alias("total"))
-    from pyspark.ml.functions import vector_to_array
-
-    scored = risk_model.model.transform(learning.with_vector(rows, TX_FEATURES, risk_model.means)).select("row_no", vector_to_array("rawPrediction")[1].alias("raw"))
-    got = scored.join(total, "row_no").collect()
-    # the classifier's raw score is the sum of its weighted trees
+    got = rows.withColumn("raw", risk_model.raw_column()).join(total, "row_no").collect()
     assert len(got) == 60 and all(abs(r.raw - r.total) < 1e-9 for r in got)
 
 
+def brute_shapley(tree, x, n):
+    """Over all subsets of the inputs; an unknown input splits by cover."""
+
+    def value(node, known):
+        f = tree.feature[node]
+        if f < 0:
+            return tree.value[node]
+        left, right = 2 * node + 1, 2 * node + 2
+        if f in known:
+            goes_left = tree.missing_left[node] if x[f] == boosting.MISSING else x[f] <= tree.cut[node]
+            return value(left if goes_left else right, known)
+        return (tree.cover[left] * value(left, known) + tree.cover[right] * value(right, known)) / tree.cover[node]
+
+    out = np.zeros(n + 1)
+    out[n] = value(0, ())
+    for i in range(n):
+        others = [j for j in range(n) if j != i]
+        for size in range(n):
+            weight = math.factorial(size) * math.factorial(n - 1 - size) / math.factorial(n)
+            for known in itertools.combinations(others, size):
+                out[i] += weight * (value(0, (*known, i)) - value(0, known))
+    return out
+
+
+def test_shapley_values_equal_all_subsets():
+    rng = np.random.default_rng(3)
+    n = 4
+    bins = rng.integers(0, boosting.MISSING + 1, (400, n)).astype(np.uint8)
+    y = ((bins[:, 0] > 20).astype(float) + (bins[:, 1] > 30) * (bins[:, 2] > 10) + rng.normal(0, 0.3, 400) > 1).astype(float)
+    rows = boosting.Rows(bins, y, rng.integers(-(2**62), 2**62, 400))
+    trees = boosting._fit_here(rows, 0.0, boosting.Boosting(rounds=4, depth=5, least_curvature=0.1), True)
+    got = np.zeros((25, n + 1))
+    for tree in trees:
+        boosting._add_shapley(got, tree, boosting._leaf_paths(tree), bins[:25])
+    want = sum(np.array([brute_shapley(t, x, n) for x in bins[:25]]) for t in trees)
+    assert np.allclose(got, want, atol=1e-10)
+    assert np.allclose(got.sum(axis=1), sum(t.value[boosting.descend(t, bins[:25])] for t in trees), atol=1e-10)
+
+
+def test_one_task_and_level_jobs_grow_the_same_trees(tables):
+    p = learning.Boosting(rounds=3, depth=3)
+    history = tables["tx_history"]
+    cuts = boosting.quantile_cuts(history, TX_FEATURES)
+    fit = lambda rows, most: boosting.fit(rows, TX_FEATURES, "failed_next72h", p, True, F.col("row_key"), cuts, most)
+    here, jobs, other = fit(history, 10**9), fit(history, 0), fit(history.repartition(5), 0)
+    for a, b, c in zip(here.trees, jobs.trees, other.trees, strict=True):
+        assert all(np.array_equal(x, y) and np.array_equal(x, z) for x, y, z in zip(a, b, c))
+
+
+def test_written_scores_change_nothing(tables, monkeypatch):
+    p = learning.Boosting(rounds=4, depth=2)
+    fit = lambda: boosting.fit(tables["yield_history"], CROP_FEATURES, "yield_t_ha", p, False, F.col("season"), local_rows=0)
+    before = fit()
+    monkeypatch.setattr(boosting, "ROUNDS_A_TABLE", 1)
+    assert all(np.array_equal(a.value, b.value) for a, b in zip(before.trees, fit().trees, strict=True))
+
+
+def test_missing_inputs_have_a_direction_of_their_own(spark):
+    rows = [(float(i), None if i % 3 == 0 else float(i % 7), 1 if i % 3 == 0 else 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "id double, x double, y int")
+    fitted = boosting.fit(df, ("x",), "y", learning.Boosting(rounds=30, depth=2, columns=1.0), True, F.col("id"))
+    got = fitted.probability(df, "p").groupBy("y").agg(F.min("p").alias("least"), F.max("p").alias("most")).orderBy("y").collect()
+    assert got[0].most < 0.2 < 0.8 < got[1].least
+    assert boosting.fit(df.where("y > 1"), ("x",), "y", learning.Boosting(), True, F.col("id")) is None
+
+
 def test_logit_card_reproduces_the_fitted_model(tables):
     history = tables["tx_history"]
     card = learning.fit_logit(history, TX_FEATURES, "failed_next72h", F.col("row_key"), TX_LABELS)
@@ -70,8 +135,8 @@ def test_recursive_forecast_feeds_its_own_predictions(spark):
     class LastPlusOne:
         """Stands in for a fitted model: predicts the latest lag plus one."""
 
-        def predict(self, df):
-            return df.withColumn("prediction", F.col("lag_1") + 1.0)
+        def predictor(self):
+            return lambda inputs: inputs[0] + 1.0
 
     p = GridSettings(grain_s=21600)
     t0 = dt.datetime(2024, 1, 1)
@@ -99,7 +164,7 @@ def test_rows_with_missing_inputs_keep_their_place(spark, tables, risk_model):
         assert scored.count() == 20 and scored.where("p is null").count() == 0
         assert learning.tree_contributions(risk_model, rows, "row_key").count() == 20 * (len(TX_FEATURES) + 1)
     trained = learning.train_risk(tables["tx_history"].unionByName(gaps), learning.Boosting(rounds=2, depth=2))
-    assert trained.means["age_years"] > 0
+    assert trained.probability(gaps, "p").where("p > 0 and p < 1").count() == 20
 
 
 def test_presets_are_the_stated_ones():
