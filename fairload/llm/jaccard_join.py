@@ -4,8 +4,9 @@ A document is its set of distinct word shingles. Documents with equal sets are o
 the set. Two sets that are alike enough share tokens among the first few of each (the prefix), whatever the
 global order in which tokens are taken. All orders here put rare tokens first, by a table of counts in hashed
 buckets, and differ in how ties are broken. A pair is a candidate if the prefixes of the first order meet; it
-is kept only if those of every further order share as many tokens as the likeness demands; only then are the
-whole sets compared.
+is kept only if those of every further order share as many tokens as the likeness demands. Verification first
+counts the bits in which parity sketches of the whole sets differ, which is never more than the tokens in which the
+sets differ; what is still possible is decided by the sets themselves.
 
 Near copies are not expanded into pairs. In each long prefix list every node is first compared with one head,
 the node that shares most tokens with others. Lists whose nodes are all in one component then are done. In the
@@ -138,8 +139,8 @@ def _node(key: tuple[int, int], shared: frozenset[int]) -> int:
 
 
 def _prefixes(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray, shared: frozenset[int]) -> DataFrame:
-    """(node, n, p0, p1 ..): the prefixes of each set; ``p0`` in order, the others as distinct 32-bit hashes. A node
-    whose copies meet in one task is given out once."""
+    """(node, n, p0, p1 .., parity): the prefixes of each set; ``p0`` in order, the others as distinct 32-bit hashes;
+    and the parity sketch. A node whose copies meet in one task is given out once."""
     table = docs.sparkSession.sparkContext.broadcast(levels)
 
     def first(tokens: np.ndarray, k: int, level: np.ndarray) -> np.ndarray:
@@ -162,11 +163,11 @@ def _prefixes(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray, s
                 seen = seen if len(seen) < REMEMBERED else set()
                 seen.add(node)
                 level = levels[_bucket(tokens)]
-                rows.append((node, len(tokens), *(first(tokens, k, level) for k in range(ORDERS))))
-            yield pd.DataFrame(rows, columns=["node", "n", *(f"p{k}" for k in range(ORDERS))])
+                rows.append((node, len(tokens), *(first(tokens, k, level) for k in range(ORDERS)), _parity(tokens)))
+            yield pd.DataFrame(rows, columns=["node", "n", *(f"p{k}" for k in range(ORDERS)), "parity"])
 
     further = "".join(f", p{k} array<int>" for k in range(1, ORDERS))
-    return docs.select("text").mapInPandas(run, f"node long, n int, p0 array<long>{further}")
+    return docs.select("text").mapInPandas(run, f"node long, n int, p0 array<long>{further}, parity binary")
 
 
 def _filter_words(hashes: DataFrame) -> np.ndarray:
@@ -228,6 +229,26 @@ def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, shared: frozenset[int
     return docs.select("text", _doc_hash().alias("hash")).mapInPandas(run, "node long, tokens binary")
 
 
+def _parity(tokens: np.ndarray) -> bytes:
+    """A bit for each of at least as many places as tokens: whether an odd number of tokens falls there."""
+    places = max(64, 1 << (len(tokens) - 1).bit_length())
+    at = (_mixed(tokens, ORDERS + 1) % np.uint64(places)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=places) & 1, bitorder="little").tobytes()
+
+
+def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Differing bits of two parity sketches; the longer one is folded to the length of the other."""
+
+    def differing(x: bytes, y: bytes) -> int:
+        x, y = sorted((x, y), key=len)
+        while len(y) > len(x):
+            half = len(y) // 2
+            y = (int.from_bytes(y[:half]) ^ int.from_bytes(y[half:])).to_bytes(half)
+        return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+
+    return pd.Series([differing(x, y) for x, y in zip(a, b)], dtype="int64")
+
+
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     def common(x: bytes, y: bytes) -> int:
         both = np.concatenate((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)))
@@ -252,8 +273,9 @@ def _judged(pairs: DataFrame, known: DataFrame, docs: DataFrame, nodes: DataFram
     share is at most what their prefixes share, and that.
     """
     later = [f"p{k}" for k in range(1, ORDERS)]
-    left = known.select(F.col("node").alias("src"), F.col("n").alias("ns"), *(F.col(p).alias(f"{p}s") for p in later))
-    right = known.select(F.col("node").alias("dst"), F.col("n").alias("nd"), *(F.col(p).alias(f"{p}d") for p in later))
+    carried = [*later, "parity"]
+    left = known.select(F.col("node").alias("src"), F.col("n").alias("ns"), *(F.col(p).alias(f"{p}s") for p in carried))
+    right = known.select(F.col("node").alias("dst"), F.col("n").alias("nd"), *(F.col(p).alias(f"{p}d") for p in carried))
     both = pairs.join(left, "src").join(right, "dst")
     both = both.where(_alike(F.least("ns", "nd"), F.greatest("ns", "nd"), percent))
     behind = lambda n: F.expr(f"({percent} * {n} + 99) div 100 - 1")
@@ -262,6 +284,9 @@ def _judged(pairs: DataFrame, known: DataFrame, docs: DataFrame, nodes: DataFram
         lost = F.col("ns") - behind("ns") - F.size(f"{p}s") + F.col("nd") - behind("nd") - F.size(f"{p}d")
         most = F.size(F.array_intersect(f"{p}s", f"{p}d")) + lost + F.greatest(behind("ns"), behind("nd"))
         both = both.where(most * (100 + percent) >= (F.col("ns") + F.col("nd")) * percent)
+    apart = F.pandas_udf(_apart, "long")("paritys", "parityd")
+    both = both.select("src", "dst", "ns", "nd", apart.alias("apart"))
+    both = both.where(F.col("apart") * (100 + percent) <= (F.col("ns") + F.col("nd")) * (100 - percent))
     kept = written(both.select("src", "dst", "ns", "nd"), f"{label}-kept")
     sets = written(_sets(docs, nodes.join(_ends(kept), "node", "left_semi"), shingle, shared), f"{label}-sets")
     left = sets.select(F.col("node").alias("src"), F.col("tokens").alias("ts"))
@@ -325,7 +350,7 @@ def links(docs: DataFrame, nodes: DataFrame, levels: np.ndarray, shared: frozens
     prefixes = written(_prefixes(docs, shingle, percent, levels, shared), "jaccard-prefixes")
     lists = written(_prefix_lists(prefixes), "jaccard-lists")
     later = [f"p{k}" for k in range(1, ORDERS)]
-    known = prefixes.select("node", "n", *later).join(lists.select("node").distinct(), "node", "left_semi")
+    known = prefixes.select("node", "n", *later, "parity").join(lists.select("node").distinct(), "node", "left_semi")
     known = written(known.dropDuplicates(["node"]), "jaccard-known")
     stars = written(_star_pairs(lists, percent), "jaccard-stars")
     given = (docs, nodes, shingle, percent, shared)
