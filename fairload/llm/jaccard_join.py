@@ -3,10 +3,10 @@
 A document is its set of distinct word shingles. Documents with equal sets are one node, named by a hash of
 the set. Two sets that are alike enough share tokens among the first few of each (the prefix), whatever the
 global order in which tokens are taken. All orders here put rare tokens first, by a table of counts in hashed
-buckets, and differ in how ties are broken. A pair is a candidate if the prefixes of the first order meet; it
-is kept only if those of every further order share as many tokens as the likeness demands. Verification first
-counts the bits in which parity sketches of the whole sets differ, which is never more than the tokens in which the
-sets differ; what is still possible is decided by the sets themselves.
+buckets, and differ in how ties are broken. A pair is a candidate if the prefixes of the first order meet and
+parity sketches of the sets differ in no more bits than the sets may differ in tokens (they never differ in more).
+It is kept only if the prefixes of every further order share as many tokens as the likeness demands; only then are
+the whole sets compared.
 
 Near copies are not expanded into pairs. In each long prefix list every node is first compared with one head,
 the node that shares most tokens with others. Lists whose nodes are all in one component then are done. In the
@@ -267,26 +267,30 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _judged(pairs: DataFrame, known: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, shared: frozenset[int], label: str) -> DataFrame:
-    """The pairs (src, dst) that are alike: prefixes of all orders share enough, then the whole sets are compared.
+    """The pairs (src, dst) that are alike: sketches differ little, prefixes of all orders share enough, then the
+    whole sets are compared.
 
     Behind the prefix whose last token comes first in the order, its set has n - length tokens. So what two sets
     share is at most what their prefixes share, and that.
     """
     later = [f"p{k}" for k in range(1, ORDERS)]
-    carried = [*later, "parity"]
-    left = known.select(F.col("node").alias("src"), F.col("n").alias("ns"), *(F.col(p).alias(f"{p}s") for p in carried))
-    right = known.select(F.col("node").alias("dst"), F.col("n").alias("nd"), *(F.col(p).alias(f"{p}d") for p in carried))
-    both = pairs.join(left, "src").join(right, "dst")
+
+    def end(side: str, other: str, columns: list[str]) -> DataFrame:
+        return known.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}{other}") for c in columns))
+
+    both = pairs.join(end("src", "s", ["n", "parity"]), "src").join(end("dst", "d", ["n", "parity"]), "dst")
     both = both.where(_alike(F.least("ns", "nd"), F.greatest("ns", "nd"), percent))
+    apart = F.pandas_udf(_apart, "long")("paritys", "parityd")
+    both = both.select("src", "dst", "ns", "nd", apart.alias("apart"))
+    both = both.where(F.col("apart") * (100 + percent) <= (F.col("ns") + F.col("nd")) * (100 - percent))
+    near = written(both.select("src", "dst", "ns", "nd"), f"{label}-near")
+    both = near.join(end("src", "s", later), "src").join(end("dst", "d", later), "dst")
     behind = lambda n: F.expr(f"({percent} * {n} + 99) div 100 - 1")
     for p in later:
         # 32-bit hashes that fall together are counted as shared
         lost = F.col("ns") - behind("ns") - F.size(f"{p}s") + F.col("nd") - behind("nd") - F.size(f"{p}d")
         most = F.size(F.array_intersect(f"{p}s", f"{p}d")) + lost + F.greatest(behind("ns"), behind("nd"))
         both = both.where(most * (100 + percent) >= (F.col("ns") + F.col("nd")) * percent)
-    apart = F.pandas_udf(_apart, "long")("paritys", "parityd")
-    both = both.select("src", "dst", "ns", "nd", apart.alias("apart"))
-    both = both.where(F.col("apart") * (100 + percent) <= (F.col("ns") + F.col("nd")) * (100 - percent))
     kept = written(both.select("src", "dst", "ns", "nd"), f"{label}-kept")
     sets = written(_sets(docs, nodes.join(_ends(kept), "node", "left_semi"), shingle, shared), f"{label}-sets")
     left = sets.select(F.col("node").alias("src"), F.col("tokens").alias("ts"))
