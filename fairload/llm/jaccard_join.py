@@ -275,8 +275,8 @@ def _judged(pairs: DataFrame, known: DataFrame, docs: DataFrame, nodes: DataFram
     """
     later = [f"p{k}" for k in range(1, ORDERS)]
 
-    def end(side: str, other: str, columns: list[str]) -> DataFrame:
-        return known.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}{other}") for c in columns))
+    def end(side: str, other: str, columns: list[str], of: DataFrame = known) -> DataFrame:
+        return of.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}{other}") for c in columns))
 
     both = pairs.join(end("src", "s", ["n", "parity"]), "src").join(end("dst", "d", ["n", "parity"]), "dst")
     both = both.where(_alike(F.least("ns", "nd"), F.greatest("ns", "nd"), percent))
@@ -284,7 +284,8 @@ def _judged(pairs: DataFrame, known: DataFrame, docs: DataFrame, nodes: DataFram
     both = both.select("src", "dst", "ns", "nd", apart.alias("apart"))
     both = both.where(F.col("apart") * (100 + percent) <= (F.col("ns") + F.col("nd")) * (100 - percent))
     near = written(both.select("src", "dst", "ns", "nd"), f"{label}-near")
-    both = near.join(end("src", "s", later), "src").join(end("dst", "d", later), "dst")
+    left = known.join(_ends(near), "node", "left_semi")
+    both = near.join(end("src", "s", later, left), "src").join(end("dst", "d", later, left), "dst")
     behind = lambda n: F.expr(f"({percent} * {n} + 99) div 100 - 1")
     for p in later:
         # 32-bit hashes that fall together are counted as shared
