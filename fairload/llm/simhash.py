@@ -70,7 +70,8 @@ def links(distinct: DataFrame, max_bits: int) -> DataFrame:
     found = entries.withColumnRenamed("fp", "dst").join(probes, ["seg", "val"])
     near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= max_bits
     once = (F.col("bit") != 0) | (F.col("src") < F.col("dst"))  # equal segments find each other both ways
-    return found.where(near & once).select("src", "dst").distinct()
+    # fingerprints that differ by one bit in each segment find each other from both sides
+    return found.where(near & once).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
 def _groups(distinct: DataFrame, max_bits: int) -> DataFrame:

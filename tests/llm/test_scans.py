@@ -69,7 +69,7 @@ def test_blocks_of_items_give_the_same(documents, spark, contaminated, monkeypat
     rows, items = contaminated
     docs, bench = documents(rows), spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(dc.find_items(docs, bench).select("doc_id", "item_id").collect(), key=str)
-    monkeypatch.setattr(dc, "BLOCK_CHARS", 2000)
+    monkeypatch.setattr(dc, "BLOCK_CHARS", 1000)
     assert len(list(dc.blocks_of(bench))) > 3
     assert sorted(dc.find_items(docs, bench).select("doc_id", "item_id").collect(), key=str) == whole
 
