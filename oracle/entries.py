@@ -346,3 +346,6 @@ ORACLE: dict[str, str] = {
     ),
     "yield_ridge": sql("village_id:i season:i yield_t_ha:d yield_fit:d", "select * from yr_fit"),
 }
+
+# counted by stream batches, the ledger adds up to that of the whole table
+ORACLE["stream_quality_ledger"] = ORACLE["grid_quality_ledger"]
