@@ -3,30 +3,29 @@
 A line is a sequence of words. Two lines are near if few words replaced, put in or left out turn one into the
 other: one word, or a tenth of the words of the longer line, rounded down, if that is more.
 
-Pairs of fewer than ``WIDE_WORDS`` words have a bound of one. Leaving a word out of a line gives its variants;
-each variant is emitted as a hashed key together with the place of the missing word:
+Each line emits hashed keys, all lengths in one table (``keys``):
 
-* lines that share a variant with the word missing at the same place differ in that word only;
-* a whole line that equals a variant of another is that line without one word.
+* a line of fewer than ``WIDE_WORDS`` words, whose bound is one, emits itself and its deletion variants: each
+  word left out in turn, with the place of the missing word. Lines that share a variant with the word missing at
+  the same place differ in that word only; a whole line that equals a variant is that line without one word. So
+  the least line of each key suffices, and no pair of a group is written out;
+* a longer line emits what k deletions must leave whole: k edits leave at most k + 1 runs, so some run of six
+  words (eight, from 40 words on) stands in both lines. Of the four-word grams in each window of that many words
+  the one with the least hash is a key; a whole run has the same least gram in both lines.
 
-So equal keys give all near pairs, and the least line of each key suffices: no pair of a group is written out.
-The edit distance is verified on the words of the line and the earliest line found for it.
+Most keys occur in one line only. Keys are shuffled once, as bare numbers, sorted, and streamed past each other: a
+task holds one batch and the last key, and only keys of two lines and more go on. What a map task already sees to
+be shared is spread by line instead of by key, but for two witnesses, so that a frequent key makes no large group.
 
-Only such lines that can have a near line emit variants: if two lines are near, the first half or the last half
-of the shorter one occurs in both, at the same end. Halves are hashed keys too, and a line none of whose
-halves occurs in another line is left out before variants are made. This loses no pair.
-
-Pairs whose longer line has ``WIDE_WORDS`` words and more: k edits leave at most k + 1 runs of it whole, so some
-run of six words (eight, from 40 words on) stands in both lines. Of the four-word grams in each window of that
-many words the one with the least hash is a key; a whole run has the same least gram in both lines. Grams of
-one line only are left out, and no pair is lost. Sharing a gram does not make lines near, so a least line a key
-is not enough:
+Sharing a gram does not make long lines near, so a least line a key is not enough for them:
 
 * each line is first compared with the least lines of its grams. In a large group of near copies this finds
   an earlier near line for almost all;
 * only lines for which none was found are joined with all earlier lines of their grams. Lengths, places of the gram and
   the parity of word hashes (an edit turns at most two bits) must fit before the words are compared.
 
+The edit distance of every candidate pair is verified on the words themselves.
+
 What goes: every occurrence of a line but the first, and every line that has an earlier near line. "First" is
 by doc_id, then line number. Blank lines stay; of any other line one occurrence is left. Lines
 of fewer than ``NEAR_WORDS`` words are compared for equality only: one word of few is another statement.
@@ -39,11 +38,12 @@ whose non-blank lines go is dropped from ``dedup_lines``; ``line_report`` still
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,161 +55,219 @@ WIDE_WORDS = 20  # from here on a tenth of the words is more than one
 WIDE_LEAST = WIDE_WORDS - WIDE_WORDS // 10  # shortest line beside one of WIDE_WORDS
 GRAM = 4
 WINDOWS = ((WIDE_LEAST, 3), (40, 5))  # from so many words on: grams in a window
-KNOWN_WORDS = 500_000  # entries of a task's word-hash cache before it starts anew
+SLAB = 1 << 19  # bytes of text handled at a time; a longer line is one slab
+KNOWN_LINES = 300_000  # lines a task remembers having emitted before it starts anew
 
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so they can be divided by modulo 2**64
+BASES = tuple(np.uint64(b) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))  # odd, so they have inverses
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+WHOLE = -1  # tag of a whole line; deletion variants have the place, grams the place below GRAM_TAG
+GRAM_TAG = -2
 
 
-class Rolling:
-    """Hashes of word sequences of one text, any stretch in one step; the hash of a stretch is
-    sum(word[k] * base**k), k from 0 at its begin, modulo 2**64."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.powers = [np.ones(1, dtype=np.uint64) for _ in BASES]
-        self.inverses = [np.ones(1, dtype=np.uint64) for _ in BASES]
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers[0]) <= n:
-            for k, base in enumerate(BASES):
-                for kept, factor in ((self.powers, base), (self.inverses, pow(base, -1, 1 << 64))):
-                    row = np.full(2 * n + 1, factor, dtype=np.uint64)
-                    row[0] = 1
-                    kept[k] = np.cumprod(row)
-
-    def load(self, words: list[bytes]) -> None:
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        known = self.known
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh64_intdigest(word)
-        values = self.values = np.array([known[w] for w in words], dtype=np.uint64)
-        self._grow(len(values))
-        zero = np.zeros(1, dtype=np.uint64)
-        self.sums = [
-            np.concatenate([zero, np.cumsum(values * powers[: len(values)])]) for powers in self.powers
-        ]
-
-    def of(self, begin: np.ndarray, end: np.ndarray, k: int = 0) -> np.ndarray:
-        return (self.sums[k][end] - self.sums[k][begin]) * self.inverses[k][begin]
-
-    def without_each(self, begin: int, end: int) -> np.ndarray:
-        """Hashes of the stretch with each of its words left out in turn."""
-        at = np.arange(begin, end)
-        front = self.sums[0][at] - self.sums[0][begin]
-        back = (self.sums[0][end] - self.sums[0][at + 1]) * self.inverses[0][1]
-        return (front + back) * self.inverses[0][begin]
-
-
-def split_lines(text: str) -> list[list[bytes]]:
-    return [line.split() for line in text.encode("utf-8").split(b"\n")]
-
-
-def mixed(values: np.ndarray, *tags: np.ndarray | int) -> np.ndarray:
-    """Signed keys from hashes and small numbers."""
-    out = values.copy()
-    for tag in tags:
-        out = (out ^ np.asarray(tag).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(31)
-    return out.view(np.int64)
-
-
-def parities(values: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """For each chosen line 256 bits, each the parity of the number of its words with that hash."""
-    begins = np.cumsum(sizes) - sizes
-    line = np.repeat(np.arange(len(chosen)), sizes[chosen])
-    at = np.arange(len(line)) - np.repeat(np.cumsum(sizes[chosen]) - sizes[chosen], sizes[chosen])
-    own = values[at + np.repeat(begins[chosen], sizes[chosen])]
-    counts = np.bincount(line * 256 + (own >> np.uint64(56)).astype(np.int64), minlength=256 * len(chosen))
-    return np.packbits((counts & 1).astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64)
-
-
-LINE = "line_no: int, h1: long, h2: long, words: int, halves: array<long>, parity: array<long>"
-
-
-def line_keys(texts: pd.Series) -> pd.Series:
-    """For each text its lines of ``MIN_WORDS`` words and more: hashes, keys of the halves, and parities of long lines."""
-    rolling, out = Rolling(), []
-    for text in texts:
-        lines = split_lines(text)
-        sizes = np.array([len(x) for x in lines])
-        rolling.load(list(chain.from_iterable(lines)))
-        ends = np.cumsum(sizes)
-        chosen = np.nonzero(sizes >= MIN_WORDS)[0]
-        n, end = sizes[chosen], ends[chosen]
-        begin = end - n
-        h1, h2 = mixed(rolling.of(begin, end), n), mixed(rolling.of(begin, end, 1), n)
-        halves = []
-        for shorter in (n, n - 1):  # as the shorter or equal one of a pair, and as the longer one
-            half = shorter // 2
-            halves.append(mixed(rolling.of(begin, begin + half), shorter, 1))
-            halves.append(mixed(rolling.of(end - (shorter - half), end), shorter, 2))
-        halves = np.stack(halves, axis=1)
-        near = ((n >= NEAR_WORDS) & (n < WIDE_WORDS)).tolist()
-        wide = n >= WIDE_LEAST
-        parity = np.zeros((len(n), 4), dtype=np.int64)
-        parity[wide] = parities(rolling.values, sizes, chosen[wide])
-        out.append(
-            [
-                {
-                    "line_no": no, "h1": a, "h2": b, "words": w,
-                    "halves": keys if is_near else [], "parity": bits if w >= WIDE_LEAST else None,
-                }
-                for no, a, b, w, keys, is_near, bits in zip(
-                    chosen.tolist(), h1.tolist(), h2.tolist(), n.tolist(), halves.tolist(), near, parity.tolist()
-                )
-            ]
-        )
-    return pd.Series(out)
+def mixed(values: np.ndarray, tag: np.ndarray | int = 0) -> np.ndarray:
+    out = values ^ np.asarray(tag).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
 
 
-GRAMS = "h1: long, h2: long, gram: long, low: int, high: int"
+class Rolling:
+    """Hashes of stretches of a sequence in one step: sum(value[k] * base**k), k from 0 at the begin, modulo 2**64."""
+
+    def __init__(self, base: np.uint64) -> None:
+        self.base, self.inverse = base, np.uint64(pow(int(base), -1, 1 << 64))
+        self.powers = self.inverses = np.ones(1, dtype=np.uint64)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        if len(self.powers) <= len(values):
+            row = np.ones(len(values) + len(values) // 4 + 2, dtype=np.uint64)
+            row[1:] = self.base
+            self.powers = np.cumprod(row)
+            row[1:] = self.inverse
+            self.inverses = np.cumprod(row)
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self.powers[: len(values)])])
+
+    def of(self, sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (sums[end] - sums[begin]) * self.inverses[begin]
+
+
+def slabs(texts: list[bytes | None]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """The texts in parts of about ``SLAB`` bytes, cut between lines: (row, number of the first line, lines)."""
+    held, size = [], 0
+    for row, text in enumerate(texts):
+        at = number = 0
+        while text is not None:
+            end = text.find(b"\n", at + SLAB) if len(text) - at > SLAB else -1
+            last = end < 0
+            part = text[at:] if last else text[at:end]
+            held.append((row, number, part))
+            size += len(part)
+            if size >= SLAB:
+                yield held
+                held, size = [], 0
+            if last:
+                break
+            number += part.count(b"\n") + 1
+            at = end + 1
+    if held:
+        yield held
+
+
+class Lines:
+    """The lines of a slab: row, number, first word and one past the last, and the hashes of all words."""
+
+    def __init__(self, slab: list[tuple[int, int, bytes]], rolling: list[Rolling]) -> None:
+        raw = np.frombuffer(b"\n".join(part for _, _, part in slab), dtype=np.uint8)
+        edge = np.diff(np.concatenate([[True], BLANK[raw], [True]]).astype(np.int8))
+        start, stop = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
+        codes = raw.astype(np.uint64) + np.uint64(1)
+        self.words = [mixed(r.of(r.sums(codes), start, stop)) for r in rolling]
+        self.sums = [r.sums(w) for r, w in zip(rolling, self.words)]
+        breaks = np.nonzero(raw == 10)[0]
+        begin = np.searchsorted(start, np.append(0, breaks + 1))
+        end = np.append(begin[1:], len(start))
+        counts = np.array([part.count(b"\n") + 1 for _, _, part in slab])
+        row = np.repeat([r for r, _, _ in slab], counts)
+        number = np.arange(len(row)) + np.repeat([n for _, n, _ in slab] - np.cumsum(counts) + counts, counts)
+        chosen = end - begin >= MIN_WORDS
+        self.row, self.number, self.begin, self.end = (x[chosen] for x in (row, number, begin, end))
+        self.size = self.end - self.begin
+        self.hashes = [mixed(r.of(s, self.begin, self.end), self.size) for r, s in zip(rolling, self.sums)]
+
+
+def parities(lines: Lines) -> np.ndarray:
+    """For each line of ``WIDE_LEAST`` words and more 256 bits, each the parity of the number of its words with that hash."""
+    out = np.zeros((len(lines.size), 4), dtype=np.int64)
+    wide = np.nonzero(lines.size >= WIDE_LEAST)[0]
+    if len(wide):
+        n = lines.size[wide]
+        at = np.arange(n.sum()) + np.repeat(lines.begin[wide] - np.cumsum(n) + n, n)
+        bin_of = np.repeat(np.arange(len(wide)) * 256, n) + (lines.words[0][at] >> np.uint64(56)).astype(np.int64)
+        odd = np.bincount(bin_of, minlength=256 * len(wide)) & 1
+        out[wide] = np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64)
+    return out
+
+
+LINE = "doc long, body long, line_no int, h1 long, h2 long, words int, b0 long, b1 long, b2 long, b3 long"
+
+
+def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The non-blank lines of (doc, body, text): two hashes, number of words, and parities of long lines."""
+    rolling = [Rolling(b) for b in BASES]
+    for batch in batches:
+        for slab in slabs(batch["text"].cast(pa.binary()).to_pylist()):
+            lines = Lines(slab, rolling)
+            bits, row = parities(lines), pa.array(lines.row)
+            h1, h2 = (h.view(np.int64) for h in lines.hashes)
+            number, size = lines.number.astype(np.int32), lines.size.astype(np.int32)
+            columns = [batch["doc"].take(row), batch["body"].take(row), number, h1, h2, size, *bits.T.copy()]
+            names = [c.split()[0] for c in LINE.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+
+def variants(lines: Lines, rolling: Rolling, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line, tag) of the chosen lines themselves and of each with each of its words left out in turn."""
+    n, begin, end = lines.size[chosen], lines.begin[chosen], lines.end[chosen]
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    own, sums = np.repeat(begin, n), lines.sums[0]
+    at, last = own + place, np.repeat(end, n)
+    back = (sums[last] - sums[at + 1]) * rolling.inverses[1]
+    keys = mixed((sums[at] - sums[own] + back) * rolling.inverses[own], np.repeat(n - 1, n))
+    return (
+        np.concatenate([lines.hashes[0][chosen], keys]),
+        np.concatenate([chosen, np.repeat(chosen, n)]),
+        np.concatenate([np.full(len(chosen), WHOLE), place]),
+    )
 
 
-def gram_keys(texts: pd.Series) -> pd.Series:
-    """For each text the least grams of its lines of ``WIDE_LEAST`` words and more, with first and last place in the line."""
-    rolling, out = Rolling(), []
-    for text in texts:
-        lines = split_lines(text)
-        sizes = np.array([len(x) for x in lines])
-        if sizes.max() < WIDE_LEAST:
-            out.append([])
+def least_grams(lines: Lines, rolling: Rolling, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line, tag) of the grams that are least in a window of a chosen line."""
+    sums = lines.sums[0]
+    at = np.arange(max(len(sums) - GRAM, 0))
+    keys = mixed(rolling.of(sums, at, at + GRAM), 1 << 40)
+    owner = np.full(len(sums) - 1, -1)
+    n = lines.size[chosen]
+    inside = np.arange(n.sum()) + np.repeat(lines.begin[chosen] - np.cumsum(n) + n, n)
+    owner[inside] = np.repeat(chosen, n)
+    taken = np.zeros(len(keys), dtype=bool)
+    for (least, span), after in zip(WINDOWS, [*(x for x, _ in WINDOWS[1:]), np.inf]):
+        windows = len(keys) - span + 1
+        if windows < 1:
             continue
-        rolling.load(list(chain.from_iterable(lines)))
-        ends = np.cumsum(sizes)
-        own, end = np.repeat(sizes, sizes), np.repeat(ends, sizes)
-        at = np.arange(len(own) - GRAM + 1)
-        keys = mixed(rolling.of(at, at + GRAM), GRAM)
-        chosen = []
-        for (least, span), after in zip(WINDOWS, [*(x for x, _ in WINDOWS[1:]), np.inf]):
-            if len(keys) >= span:
-                begin = np.arange(len(keys) - span + 1)
-                begin = begin[(own[begin] >= least) & (own[begin] < after) & (begin + span - 1 + GRAM <= end[begin])]
-                if len(begin):
-                    chosen.append(begin + keys[begin[:, None] + np.arange(span)].argmin(axis=1))
-        at = np.unique(np.concatenate(chosen))
-        begin, line_end = (end - own)[at], end[at]
-        h1 = mixed(rolling.of(begin, line_end), own[at])
-        h2 = mixed(rolling.of(begin, line_end, 1), own[at])
-        # one row for each line and gram
-        order = np.lexsort((at, keys[at], begin))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (np.diff(begin[order]) != 0) | (np.diff(keys[at][order]) != 0)
-        first = np.nonzero(new)[0]
-        last = np.append(first[1:], len(order)) - 1
-        low, high = (at - begin)[order[first]], (at - begin)[order[last]]
-        rows = order[first]
-        names = ("h1", "h2", "gram", "low", "high")
-        columns = (x.tolist() for x in (h1[rows], h2[rows], keys[at][rows], low, high))
-        out.append([dict(zip(names, row)) for row in zip(*columns)])
-    return pd.Series(out)
+        smallest = keys[:windows].copy()
+        for k in range(1, span):
+            np.minimum(smallest, keys[k : k + windows], out=smallest)
+        first = owner[:windows]
+        size = np.where(first >= 0, lines.size[first], 0)
+        good = (size >= least) & (size < after) & (np.arange(windows) + span + GRAM - 1 <= lines.end[first])
+        for k in range(span):
+            taken[k : k + windows] |= good & (keys[k : k + windows] == smallest)
+    at = np.nonzero(taken)[0]
+    return keys[at], owner[at], GRAM_TAG - (at - lines.begin[owner[at]])
+
+
+KEY = "key long, id long, tag int, spread int"
+
+
+def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the lines of (text). Rows of a key that two lines of a slab share get a number to spread them by,
+    but for one row of the first and one of the last line, which go where all rows of the key meet."""
+    rolling, known = [Rolling(BASES[0])], set()
+    for batch in batches:
+        for slab in slabs(batch["text"].cast(pa.binary()).to_pylist()):
+            lines = Lines(slab, rolling)
+            if not len(lines.size):
+                continue
+            if len(known) > KNOWN_LINES:
+                known.clear()
+            ids = lines.hashes[0].view(np.int64)
+            unique, first = np.unique(ids, return_index=True)
+            fresh = np.array([i not in known for i in unique.tolist()], dtype=bool)
+            known.update(unique[fresh].tolist())
+            chosen, size = first[fresh], lines.size[first[fresh]]
+            near = chosen[(size >= NEAR_WORDS) & (size < WIDE_WORDS)]
+            made = zip(variants(lines, rolling[0], near), least_grams(lines, rolling[0], chosen[size >= WIDE_LEAST]))
+            key, line, tag = (np.concatenate(x) for x in made)
+            key, line, tag = key.view(np.int64), ids[line], tag.astype(np.int32)
+            if not len(key):
+                continue
+            order = np.lexsort((line, key))
+            key, line, tag = key[order], line[order], tag[order]
+            begin = np.nonzero(np.append(True, key[1:] != key[:-1]))[0]
+            last = np.append(begin[1:], len(key)) - 1
+            shared = np.repeat(line[begin] != line[last], last - begin + 1)
+            shared[begin] = shared[last] = False
+            spread = np.where(shared, 1 + (line & 0xFFF), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, line, tag, spread)], names=["key", "id", "tag", "spread"])
+
+
+def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, line and tag those whose key occurs in two lines, and all that are spread; each once."""
+    none = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int32)]
+    held, shared_key = none, None  # rows of the last key while only one line has it; the key once two have it
+    for batch in chain(batches, [None]):
+        rows = none if batch is None else [batch[k].to_numpy() for k in range(4)]
+        rows = [np.append(h, x) for h, x in zip(held, rows)]
+        if not len(rows[0]):
+            continue
+        new = np.ones(len(rows[0]), dtype=bool)
+        new[1:] = np.any([x[1:] != x[:-1] for x in rows[:3]], axis=0)
+        key, line, tag, spread = rows = [x[new] for x in rows]
+        begin = np.nonzero(np.append(True, key[1:] != key[:-1]))[0]
+        end = np.append(begin[1:], len(key))
+        shared = line[begin] != line[end - 1]
+        shared[0] |= shared_key is not None and key[0] == shared_key
+        going = np.repeat(shared, end - begin) | (spread > 0)
+        upto = len(key) if batch is None or shared[-1] else begin[-1]
+        held, shared_key = [x[upto:] for x in rows], key[-1] if shared[-1] else None
+        columns = [pa.array(x[:upto][going[:upto]]) for x in (key, line, tag)]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "tag"])
 
 
 def plain_lines(texts: pd.Series, wanted: pd.Series) -> pd.Series:
     """The words of each wanted line of a text."""
     out = []
     for text, lines_wanted in zip(texts, wanted):
-        lines = split_lines(text)
+        lines = [line.split() for line in text.encode("utf-8").split(b"\n")]
         out.append(
             [
                 {"h1": w["h1"], "h2": w["h2"], "line": b" ".join(lines[w["line_no"]]).decode("utf-8")}
@@ -219,46 +277,10 @@ def plain_lines(texts: pd.Series, wanted: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-VARIANT = "line_no: int, h1: long, h2: long, line: string, variant: long, place: int"
-
-
-def variants(texts: pd.Series, wanted: pd.Series) -> pd.Series:
-    """For each wanted line of a text: itself (place -1) and all its variants. The line's words come with place -1."""
-    rolling, out = Rolling(), []
-    for text, lines_wanted in zip(texts, wanted):
-        lines, rows = split_lines(text), []
-        for want in lines_wanted:
-            words = lines[want["line_no"]]
-            rolling.load(words)
-            n = len(words)
-            whole = mixed(rolling.of(np.array([0]), np.array([n])), n)
-            keys = [int(whole[0]), *mixed(rolling.without_each(0, n), n - 1).tolist()]
-            plain = b" ".join(words).decode("utf-8")
-            rows += [
-                {**want, "line": plain if k == 0 else None, "variant": v, "place": k - 1}
-                for k, v in enumerate(keys)
-            ]
-        out.append(rows)
-    return pd.Series(out)
-
-
-def one_word_apart(a: str, b: str) -> bool:
-    """Word edit distance of at most one."""
-    x, y = a.split(" "), b.split(" ")
-    if len(x) > len(y):
-        x, y = y, x
-    same = 0
-    while same < len(x) and x[same] == y[same]:
-        same += 1
-    if len(x) == len(y):
-        return x[same + 1 :] == y[same + 1 :]
-    return len(y) == len(x) + 1 and x[same:] == y[same + 1 :]
-
-
 def words_apart(a: str, b: str) -> bool:
-    """Word edit distance of at most a tenth of the words of the longer line, by furthest places on each diagonal."""
+    """Word edit distance of at most one or a tenth of the words of the longer line, by furthest places on each diagonal."""
     x, y = a.split(" "), b.split(" ")
-    bound = max(len(x), len(y)) // 10
+    bound = max(1, max(len(x), len(y)) // 10)
     same, n = 0, min(len(x), len(y))
     while same < n and x[same] == y[same]:
         same += 1
@@ -289,10 +311,7 @@ def words_apart(a: str, b: str) -> bool:
 def _keyed(docs: DataFrame) -> DataFrame:
     """The rows as a struct ``d``, with document id and a hash of the text beside it under names of our own."""
     return docs.select(
-        F.struct("*").alias("d"),
-        F.col("doc_id").cast("long").alias("doc"),
-        F.xxhash64("text").alias("body"),
-        F.col("text").alias("text"),
+        F.struct("*").alias("d"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("body")
     )
 
 
@@ -300,39 +319,56 @@ def _position() -> Column:
     return F.struct(F.col("doc").isNull().alias("none"), "doc", "body", "line_no")
 
 
-def _near_pairs(emitted: DataFrame) -> DataFrame:
-    """(h1, h2, least): lines with the earliest line that shares a key with them, if it is before them."""
-    place = F.col("place")
-    own = F.struct(F.col("at").alias("at"), "h1", "h2")
-    shorter, whole = emitted.where(place >= 0), emitted.where(place == -1)
-    same_place = (
-        shorter.groupBy("variant", "place")
-        .agg(F.min(own).alias("least"), F.min("h1").alias("low"), F.max("h1").alias("high"))
-        .where("low <> high")
-        .select("variant", "place", "least")
+def _held_keys(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The keys that two lines or more have, beside those lines (``at``: first occurrence)."""
+    keys = keyed.select(F.col("d.text").alias("text")).mapInArrow(key_rows, KEY)
+    shared = (
+        keys.repartition("key", "spread")
+        .sortWithinPartitions("key", "id", "tag")
+        .mapInArrow(shared_rows, "key long, id long, tag int")
+    )
+    lines = distinct.where(F.col("words") >= NEAR_WORDS).select(
+        F.col("h1").alias("id"), "h1", "h2", "words", "b0", "b1", "b2", "b3", F.col("first").alias("at")
     )
+    return written(shared.join(lines, "id").drop("id"), "line-keys")
+
+
+PAIR = ("h1", "h2", "e1", "e2")
+
+
+def _short_pairs(held: DataFrame) -> DataFrame:
+    """``PAIR``: lines with the earliest line that shares a variant with them, if it is before them."""
+    own = F.struct("at", "h1", "h2")
+    shorter, whole = held.where(F.col("tag") > WHOLE), held.where(F.col("tag") == WHOLE)
+    least = F.min(own).alias("least")
     found = [
-        shorter.join(same_place, ["variant", "place"]),
-        whole.join(shorter.groupBy("variant").agg(F.min(own).alias("least")), "variant"),
-        shorter.join(whole.select("variant", own.alias("least")), "variant"),
+        shorter.join(shorter.groupBy("key", "tag").agg(least), ["key", "tag"]),
+        whole.join(shorter.groupBy("key").agg(least), "key"),
+        shorter.join(whole.select("key", own.alias("least")), "key"),
     ]
     earlier = [x.where(F.col("least.at") < F.col("at")).select("h1", "h2", "least") for x in found]
     pairs = earlier[0].union(earlier[1]).union(earlier[2])
-    return pairs.groupBy("h1", "h2").agg(F.min("least").alias("least"))
+    return (
+        pairs.groupBy("h1", "h2")
+        .agg(F.min("least").alias("least"))
+        .select("h1", "h2", F.col("least.h1").alias("e1"), F.col("least.h2").alias("e2"))
+    )
 
 
-def _verified_wide(keyed: DataFrame, distinct: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
-    """(h1, h2) of the pairs (h1, h2, e1, e2) whose words are few edits apart."""
+def _verified(keyed: DataFrame, distinct: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
+    """(h1, h2) of the pairs whose words are few edits apart."""
     pairs = written(pairs.distinct(), label)
     lines = pairs.select("h1", "h2").union(pairs.select("e1", "e2")).distinct()
     wanted = (
         distinct.join(lines, ["h1", "h2"], "left_semi")
         .groupBy(F.col("first.doc").alias("w_doc"), F.col("first.body").alias("w_body"))
         .agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "h1", "h2")).alias("wanted"))
-    )  # at most the lines of one document in a row
+    )  # at most the lines of one document in a row; written, so that its size is known to the planner
+    wanted = written(wanted, label + "-wanted")
     same = F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("body") == F.col("w_body"))
     plain = F.pandas_udf(plain_lines, "array<struct<h1: long, h2: long, line: string>>")
-    texts = keyed.drop("d").join(wanted, same).select(F.inline(plain("text", "wanted"))).dropDuplicates(["h1", "h2"])
+    texts = keyed.select("doc", "body", F.col("d.text").alias("text")).join(wanted, same)
+    texts = texts.select(F.inline(plain("text", "wanted"))).dropDuplicates(["h1", "h2"])
     texts = written(texts, label + "-texts")
     others = texts.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("earlier"))
 
@@ -344,25 +380,24 @@ def _verified_wide(keyed: DataFrame, distinct: DataFrame, pairs: DataFrame, labe
     return written(both.where(verified("line", "earlier")).select("h1", "h2").distinct(), label + "-near")
 
 
-def _wide_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(h1, h2) of the lines with an earlier line a tenth of the words apart, the longer of ``WIDE_WORDS`` and more."""
-    keys_of = F.pandas_udf(gram_keys, f"array<struct<{GRAMS}>>")
-    # copies of a line give the same rows; the first alone counts
-    grams = keyed.select(F.inline(keys_of("text"))).repartition("gram")
-    shared = grams.groupBy("gram").agg(F.min("h1").alias("one"), F.max("h1").alias("other")).where("one <> other")
-    held = grams.join(shared, "gram", "left_semi").dropDuplicates(["gram", "h1", "h2"])
-    lines = distinct.where(F.col("parity").isNotNull()).select(
-        "h1", "h2", "words", "parity", F.col("first").alias("at")
-    )
+def _near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(h1, h2) of the lines with an earlier near line."""
+    keys = _held_keys(keyed, distinct)
+    line = ["h1", "h2", "words", "b0", "b1", "b2", "b3", "at"]
     # lines a tenth apart stand in the same class of lengths or in neighbouring ones
     size = F.floor(F.log("words") / F.log(F.lit(10 / 9))).cast("int")
-    held = written(held.join(lines, ["h1", "h2"]).withColumn("size", size), "line-grams")
-    other = held.select(
-        "gram", "size", *[F.col(c).alias(f"e_{c}") for c in ("h1", "h2", "words", "parity", "at", "low", "high")]
+    place = GRAM_TAG - F.col("tag")
+    held = (
+        keys.where(F.col("tag") <= GRAM_TAG)
+        .groupBy("key", *line)
+        .agg(F.min(place).alias("low"), F.max(place).alias("high"))
+        .withColumn("size", size)
     )
+    held = written(held, "line-grams")
+    other = held.select("key", "size", *[F.col(c).alias(f"e_{c}") for c in [*line, "low", "high"]])
     longer = F.greatest("words", "e_words")
     bound = F.floor(longer / 10)
-    turned = sum((F.bit_count(F.col("parity")[k].bitwiseXOR(F.col("e_parity")[k])) for k in range(4)), F.lit(0))
+    turned = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"e_b{k}"))) for k in range(4)), F.lit(0))
     fits = (
         (F.col("e_at") < F.col("at"))
         & (longer >= WIDE_WORDS)
@@ -374,64 +409,31 @@ def _wide_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     pair = ["h1", "h2", F.col("e_h1").alias("e1"), F.col("e_h2").alias("e2")]
     near_size = F.explode(F.array(*[F.col("size") + k for k in (-1, 0, 1)]))
     least = (
-        other.groupBy("gram", "size")
+        other.groupBy("key", "size")
         .agg(F.min(F.struct("e_at", *[c for c in other.columns if c[:2] == "e_" and c != "e_at"])).alias("least"))
-        .select("gram", "size", "least.*")
+        .select("key", "size", "least.*")
     )
     probes = held.withColumn("size", near_size)
-    near = _verified_wide(keyed, distinct, probes.join(least, ["gram", "size"]).where(fits).select(*pair), "line-least")
+    candidates = probes.join(least, ["key", "size"]).where(fits).select(*pair)
+    near = _verified(keyed, distinct, _short_pairs(keys).select(*PAIR).union(candidates), "line-least")
     left = probes.join(near, ["h1", "h2"], "left_anti")
-    rest = _verified_wide(keyed, distinct, left.join(other, ["gram", "size"]).where(fits).select(*pair), "line-rest")
-    return near.union(rest)
-
-
-def _near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(h1, h2) of the lines with an earlier line one word apart, both of fewer than ``WIDE_WORDS`` words."""
-    halves = distinct.select("h1", "h2", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
-    able = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    wanted = (
-        distinct.join(able, ["h1", "h2"], "left_semi")
-        .groupBy(F.col("first.doc").alias("w_doc"), F.col("first.body").alias("w_body"))
-        .agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "h1", "h2")).alias("wanted"))
-    )  # at most the lines of one document in a row
-    variants_of = F.pandas_udf(variants, f"array<struct<{VARIANT}>>")
-    same = F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("body") == F.col("w_body"))
-    emitted = written(
-        keyed.drop("d")
-        .join(wanted, same)
-        .select("doc", "body", F.inline(variants_of("text", "wanted")))
-        .select(_position().alias("at"), "h1", "h2", "line", "variant", "place"),
-        "line-variants",
-    )
-    texts = emitted.where("place = -1").select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
-    others = texts.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("earlier"))
-    pairs = _near_pairs(emitted).select("h1", "h2", F.col("least.h1").alias("e1"), F.col("least.h2").alias("e2"))
-
-    @F.pandas_udf("boolean")
-    def verified(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([one_word_apart(x, y) for x, y in zip(a, b)], dtype=bool)
-
-    both = pairs.join(texts, ["h1", "h2"]).join(others, ["e1", "e2"])
-    return both.where(verified("line", "earlier")).select("h1", "h2")
+    rest = _verified(keyed, distinct, left.join(other, ["key", "size"]).where(fits).select(*pair), "line-rest")
+    return near.union(rest).distinct()
 
 
 def _lines_to_drop(keyed: DataFrame) -> DataFrame:
     """(gone_doc, gone_body, gone, near): line numbers that go, and how many of them for a near line."""
-    keyed = keyed.where(F.col("text").isNotNull())
-    keys_of = F.pandas_udf(line_keys, f"array<struct<{LINE}>>")
-    lines = written(keyed.select("doc", "body", F.inline(keys_of("text"))), "line-keys")
+    keyed = keyed.where(F.col("d.text").isNotNull())
+    lines = written(keyed.select("doc", "body", F.col("d.text").alias("text")).mapInArrow(line_rows, LINE), "line-all")
     distinct = written(
         lines.groupBy("h1", "h2").agg(
             F.min(_position()).alias("first"),
             F.count("*").alias("times"),
-            F.first("words").alias("words"),
-            F.first("halves").alias("halves"),
-            F.first("parity").alias("parity"),
+            *[F.first(c).alias(c) for c in ("words", "b0", "b1", "b2", "b3")],
         ),
         "line-distinct",
     )
-    near = _near_lines(keyed, distinct).union(_wide_lines(keyed, distinct)).distinct().withColumn("near", F.lit(True))
+    near = _near_lines(keyed, distinct).withColumn("near", F.lit(True))
     marks = (
         distinct.join(near, ["h1", "h2"], "left")
         .where((F.col("times") > 1) | F.col("near"))
@@ -439,9 +441,10 @@ def _lines_to_drop(keyed: DataFrame) -> DataFrame:
     )
     gone = lines.select("doc", "body", "line_no", "h1", "h2").join(marks, ["h1", "h2"])
     gone = gone.where(F.col("near") | (_position() != F.col("first")))
-    return gone.groupBy(F.col("doc").alias("gone_doc"), F.col("body").alias("gone_body")).agg(
+    gone = gone.groupBy(F.col("doc").alias("gone_doc"), F.col("body").alias("gone_body")).agg(
         F.collect_set("line_no").alias("gone"), F.collect_set(F.when(F.col("near"), F.col("line_no"))).alias("near")
-    )  # at most the lines of one document in a row
+    )  # at most the lines of one document in a row; written, so that its size is known to the planner
+    return written(gone, "line-gone")
 
 
 def without_lines(texts: pd.Series, gone: pd.Series) -> pd.Series:
@@ -461,7 +464,7 @@ def _with_drops(docs: DataFrame) -> DataFrame:
     gone = _lines_to_drop(keyed)
     same = F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("body") == F.col("gone_body"))
     cut = F.pandas_udf(without_lines, "string")
-    return keyed.join(gone, same, "left").select("d", "text", "gone", "near", cut("text", "gone").alias("rest"))
+    return keyed.join(gone, same, "left").select("d", "gone", "near", cut("d.text", "gone").alias("rest"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -474,10 +477,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def line_report(docs: DataFrame) -> DataFrame:
     """Per document: lines, how many go as copies and as near lines, and the digest of the text that is left."""
     count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
+    lines = F.coalesce(F.size(F.split("d.text", "\n", -1)), F.lit(0)).cast("long")
     return _with_drops(docs).select(
         F.col("d.doc_id").alias("doc_id"),
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(lines).alias("n_lines"),
+        F.when(F.col("d.text").isNull(), F.lit(0)).otherwise(lines).alias("n_lines"),
         (F.when(F.col("gone").isNull(), F.lit(0)).otherwise(count("gone") - count("near"))).alias("n_copies"),
         (F.when(F.col("near").isNull(), F.lit(0)).otherwise(count("near"))).alias("n_near"),
         F.sha2("rest", 256).alias("rest_sha256"),
