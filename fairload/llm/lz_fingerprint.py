@@ -30,7 +30,7 @@ from fairload.llm.common import written
 SLOTS = 64
 WORD = (1 << 64) - 1
 STEP = 0x9E3779B97F4A7C15  # odd multiplier of the rolling phrase hash
-PERMUTATIONS = (np.random.RandomState(7).randint(1, 2**32, size=(2, SLOTS), dtype=np.uint64) | 1).astype(np.uint32)
+PERMUTATIONS = np.random.RandomState(7).randint(1, 2**63, size=(2, SLOTS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 EMPTY = np.full(SLOTS, 0xFFFF, dtype=np.uint16)
 
 
@@ -46,19 +46,25 @@ def parse(codes: Iterable[int], phrases: set, open_phrase: int = 0) -> int:
 
 
 def signature(phrases: set) -> np.ndarray:
-    """Least values over the phrase hashes, 16 bits a slot."""
+    """Which phrase has the least of each permutation's values: 16 bits of its hash a slot.
+
+    The least values themselves get small when there are many phrases, so that their upper bits agree for
+    unrelated long texts; their bits are mixed once more and the low ones kept.
+    """
     if not phrases:
         return EMPTY
     mixed = np.fromiter(phrases, dtype=np.uint64, count=len(phrases))
     mixed ^= mixed >> np.uint64(31)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    short = (mixed >> np.uint64(32)).astype(np.uint32)
-    least = np.full(SLOTS, 0xFFFFFFFF, dtype=np.uint32)
+    mixed ^= mixed >> np.uint64(29)
+    least = np.full(SLOTS, WORD, dtype=np.uint64)
     factor, shift = PERMUTATIONS
-    for at in range(0, len(short), 4096):  # bounded memory for very long texts
-        values = short[at : at + 4096, None] * factor + shift
+    for at in range(0, len(mixed), 2048):  # bounded memory for very long texts
+        values = mixed[at : at + 2048, None] * factor + shift
         np.minimum(least, values.min(axis=0), out=least)
-    return (least >> np.uint32(16)).astype(np.uint16)
+    least ^= least >> np.uint64(32)
+    least *= np.uint64(0xBF58476D1CE4E5B9)
+    return (least >> np.uint64(48)).astype(np.uint16)
 
 
 def printed(slots: np.ndarray) -> str:
