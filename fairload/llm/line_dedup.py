@@ -10,8 +10,8 @@ Each line emits hashed keys, all lengths in one table (``keys``):
   the same place differ in that word only; a whole line that equals a variant is that line without one word. So
   the least line of each key suffices, and no pair of a group is written out;
 * a longer line emits what k deletions must leave whole: k edits leave at most k + 1 runs, so some run of six
-  words (eight, from 40 words on) stands in both lines. Of the four-word grams in each window of that many words
-  the one with the least hash is a key; a whole run has the same least gram in both lines.
+  words (seven from 30 words on, eight from 40, nine from 90) stands in both lines. Of the four-word grams in each
+  window of that many words the one with the least hash is a key; a whole run has the same least gram in both lines.
 
 Most keys occur in one line only. Keys are shuffled once, as bare numbers, sorted, and streamed past each other: a
 task holds one batch and the last key, and only keys of two lines and more go on. What a map task already sees to
@@ -54,7 +54,7 @@ NEAR_WORDS = 10
 WIDE_WORDS = 20  # from here on a tenth of the words is more than one
 WIDE_LEAST = WIDE_WORDS - WIDE_WORDS // 10  # shortest line beside one of WIDE_WORDS
 GRAM = 4
-WINDOWS = ((WIDE_LEAST, 3), (40, 5))  # from so many words on: grams in a window
+WINDOWS = ((WIDE_LEAST, 3), (30, 4), (40, 5), (90, 6))  # from so many words on: grams in a window
 SLAB = 1 << 19  # bytes of text handled at a time; a longer line is one slab
 KNOWN_LINES = 300_000  # lines a task remembers having emitted before it starts anew
 
@@ -135,19 +135,19 @@ class Lines:
 
 
 def parities(lines: Lines) -> np.ndarray:
-    """For each line of ``WIDE_LEAST`` words and more 256 bits, each the parity of the number of its words with that hash."""
-    out = np.zeros((len(lines.size), 4), dtype=np.int64)
+    """For each line of ``WIDE_LEAST`` words and more 128 bits, each the parity of the number of its words with that hash."""
+    out = np.zeros((len(lines.size), 2), dtype=np.int64)
     wide = np.nonzero(lines.size >= WIDE_LEAST)[0]
     if len(wide):
         n = lines.size[wide]
         at = np.arange(n.sum()) + np.repeat(lines.begin[wide] - np.cumsum(n) + n, n)
-        bin_of = np.repeat(np.arange(len(wide)) * 256, n) + (lines.words[0][at] >> np.uint64(56)).astype(np.int64)
-        odd = np.bincount(bin_of, minlength=256 * len(wide)) & 1
-        out[wide] = np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64)
+        bin_of = np.repeat(np.arange(len(wide)) * 128, n) + (lines.words[0][at] >> np.uint64(57)).astype(np.int64)
+        odd = np.bincount(bin_of, minlength=128 * len(wide)) & 1
+        out[wide] = np.packbits(odd.astype(np.uint8).reshape(-1, 128), axis=1).view(np.int64)
     return out
 
 
-LINE = "doc long, body long, line_no int, h1 long, h2 long, words int, b0 long, b1 long, b2 long, b3 long"
+LINE = "doc long, body long, line_no int, h1 long, h2 long, words int, b0 long, b1 long"
 
 
 def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +270,7 @@ def plain_lines(texts: pd.Series, wanted: pd.Series) -> pd.Series:
         lines = [line.split() for line in text.encode("utf-8").split(b"\n")]
         out.append(
             [
-                {"h1": w["h1"], "h2": w["h2"], "line": b" ".join(lines[w["line_no"]]).decode("utf-8")}
+                {**w, "line": b" ".join(lines[w["line_no"]]).decode("utf-8")}
                 for w in lines_wanted
             ]
         )
@@ -328,17 +328,14 @@ def _held_keys(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
         .mapInArrow(shared_rows, "key long, id long, tag int")
     )
     lines = distinct.where(F.col("words") >= NEAR_WORDS).select(
-        F.col("h1").alias("id"), "h1", "h2", "words", "b0", "b1", "b2", "b3", F.col("first").alias("at")
+        F.col("h1").alias("id"), "words", "b0", "b1", F.col("first").alias("at")
     )
-    return written(shared.join(lines, "id").drop("id"), "line-keys")
-
-
-PAIR = ("h1", "h2", "e1", "e2")
+    return written(shared.join(lines, "id"), "line-keys")
 
 
 def _short_pairs(held: DataFrame) -> DataFrame:
-    """``PAIR``: lines with the earliest line that shares a variant with them, if it is before them."""
-    own = F.struct("at", "h1", "h2")
+    """(id, e_id): lines with the earliest line that shares a variant with them, if it is before them."""
+    own = F.struct("at", "id")
     shorter, whole = held.where(F.col("tag") > WHOLE), held.where(F.col("tag") == WHOLE)
     least = F.min(own).alias("least")
     found = [
@@ -346,79 +343,70 @@ def _short_pairs(held: DataFrame) -> DataFrame:
         whole.join(shorter.groupBy("key").agg(least), "key"),
         shorter.join(whole.select("key", own.alias("least")), "key"),
     ]
-    earlier = [x.where(F.col("least.at") < F.col("at")).select("h1", "h2", "least") for x in found]
+    earlier = [x.where(F.col("least.at") < F.col("at")).select("id", "least") for x in found]
     pairs = earlier[0].union(earlier[1]).union(earlier[2])
-    return (
-        pairs.groupBy("h1", "h2")
-        .agg(F.min("least").alias("least"))
-        .select("h1", "h2", F.col("least.h1").alias("e1"), F.col("least.h2").alias("e2"))
-    )
+    return pairs.groupBy("id").agg(F.min("least").alias("least")).select("id", F.col("least.id").alias("e_id"))
 
 
-def _verified(keyed: DataFrame, distinct: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
-    """(h1, h2) of the pairs whose words are few edits apart."""
-    pairs = written(pairs.distinct(), label)
-    lines = pairs.select("h1", "h2").union(pairs.select("e1", "e2")).distinct()
+def _later_of_near(keyed: DataFrame, distinct: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
+    """(h1, h2) of the later line of each of the pairs (id, e_id) whose words are few edits apart."""
+    pairs = written(
+        pairs.select(F.least("id", "e_id").alias("id"), F.greatest("id", "e_id").alias("e_id")).distinct(), label
+    )
+    ids = pairs.select("id").union(pairs.select("e_id")).distinct().withColumnRenamed("id", "h1")
     wanted = (
-        distinct.join(lines, ["h1", "h2"], "left_semi")
+        distinct.join(ids, "h1", "left_semi")
         .groupBy(F.col("first.doc").alias("w_doc"), F.col("first.body").alias("w_body"))
         .agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "h1", "h2")).alias("wanted"))
     )  # at most the lines of one document in a row; written, so that its size is known to the planner
     wanted = written(wanted, label + "-wanted")
     same = F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("body") == F.col("w_body"))
-    plain = F.pandas_udf(plain_lines, "array<struct<h1: long, h2: long, line: string>>")
+    plain = F.pandas_udf(plain_lines, "array<struct<h1: long, h2: long, line_no: int, line: string>>")
     texts = keyed.select("doc", "body", F.col("d.text").alias("text")).join(wanted, same)
-    texts = texts.select(F.inline(plain("text", "wanted"))).dropDuplicates(["h1", "h2"])
+    texts = texts.select("doc", "body", F.inline(plain("text", "wanted")))
+    texts = texts.select("h1", "h2", _position().alias("at"), "line").dropDuplicates(["h1", "h2"])
     texts = written(texts, label + "-texts")
-    others = texts.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("earlier"))
+    one = texts.select(F.col("h1").alias("id"), F.struct("at", "h1", "h2").alias("one"), "line")
+    other = texts.select(
+        F.col("h1").alias("e_id"), F.struct("at", "h1", "h2").alias("other"), F.col("line").alias("other_line")
+    )
 
     @F.pandas_udf("boolean")
     def verified(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([words_apart(x, y) for x, y in zip(a, b)], dtype=bool)
 
-    both = pairs.join(texts, ["h1", "h2"]).join(others, ["e1", "e2"])
-    return written(both.where(verified("line", "earlier")).select("h1", "h2").distinct(), label + "-near")
+    near = pairs.join(one, "id").join(other, "e_id").where(verified("line", "other_line"))
+    later = near.select(F.greatest("one", "other").alias("later")).select("later.h1", "later.h2")
+    return written(later.distinct(), label + "-near")
 
 
 def _near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h1, h2) of the lines with an earlier near line."""
     keys = _held_keys(keyed, distinct)
-    line = ["h1", "h2", "words", "b0", "b1", "b2", "b3", "at"]
-    # lines a tenth apart stand in the same class of lengths or in neighbouring ones
-    size = F.floor(F.log("words") / F.log(F.lit(10 / 9))).cast("int")
-    place = GRAM_TAG - F.col("tag")
-    held = (
-        keys.where(F.col("tag") <= GRAM_TAG)
-        .groupBy("key", *line)
-        .agg(F.min(place).alias("low"), F.max(place).alias("high"))
-        .withColumn("size", size)
-    )
-    held = written(held, "line-grams")
-    other = held.select("key", "size", *[F.col(c).alias(f"e_{c}") for c in [*line, "low", "high"]])
+    place = (GRAM_TAG - F.col("tag")).alias("place")
+    held = keys.where(F.col("tag") <= GRAM_TAG).select("key", "at", "id", "words", "b0", "b1", place)
+    other = held.select("key", *[F.col(c).alias(f"e_{c}") for c in held.columns if c != "key"])
     longer = F.greatest("words", "e_words")
     bound = F.floor(longer / 10)
-    turned = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"e_b{k}"))) for k in range(4)), F.lit(0))
+    turned = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"e_b{k}"))) for k in range(2)), F.lit(0))
     fits = (
-        (F.col("e_at") < F.col("at"))
-        & (longer >= WIDE_WORDS)
+        (longer >= WIDE_WORDS)
         & (F.abs(F.col("words") - F.col("e_words")) <= bound)
-        & (F.col("low") <= F.col("e_high") + bound)
-        & (F.col("e_low") <= F.col("high") + bound)
+        & (F.abs(F.col("place") - F.col("e_place")) <= bound)
         & (turned <= 2 * bound)
     )
-    pair = ["h1", "h2", F.col("e_h1").alias("e1"), F.col("e_h2").alias("e2")]
-    near_size = F.explode(F.array(*[F.col("size") + k for k in (-1, 0, 1)]))
-    least = (
-        other.groupBy("key", "size")
-        .agg(F.min(F.struct("e_at", *[c for c in other.columns if c[:2] == "e_" and c != "e_at"])).alias("least"))
-        .select("key", "size", "least.*")
-    )
-    probes = held.withColumn("size", near_size)
-    candidates = probes.join(least, ["key", "size"]).where(fits).select(*pair)
-    near = _verified(keyed, distinct, _short_pairs(keys).select(*PAIR).union(candidates), "line-least")
-    left = probes.join(near, ["h1", "h2"], "left_anti")
-    rest = _verified(keyed, distinct, left.join(other, ["key", "size"]).where(fits).select(*pair), "line-rest")
-    return near.union(rest).distinct()
+    fields = [c for c in held.columns if c != "key"]
+    least = held.groupBy("key").agg(F.min(F.struct(*fields)).alias("least"))
+    least = least.select("key", *[F.col(f"least.{c}").alias(f"e_{c}") for c in fields])
+    first = held.drop("at").join(least, "key").where(fits & (F.col("e_id") != F.col("id"))).select("id", "e_id")
+    near = _later_of_near(keyed, distinct, _short_pairs(keys).union(first), "line-least")
+    # lines a tenth apart stand in the same class of lengths or in neighbouring ones
+    size = lambda c: F.floor(F.log(c) / F.log(F.lit(10 / 9))).cast("int")
+    near_size = F.explode(F.array(*[size("words") + k for k in (-1, 0, 1)])).alias("size")
+    left = held.join(near.select(F.col("h1").alias("id")), "id", "left_anti").select("*", near_size)
+    pairs = left.join(other.withColumn("size", size("e_words")), ["key", "size"])
+    pairs = pairs.where(fits & (F.col("e_at") < F.col("at"))).select("id", "e_id")
+    return near.union(_later_of_near(keyed, distinct, pairs, "line-rest")).distinct()
 
 
 def _lines_to_drop(keyed: DataFrame) -> DataFrame:
@@ -429,7 +417,7 @@ def _lines_to_drop(keyed: DataFrame) -> DataFrame:
         lines.groupBy("h1", "h2").agg(
             F.min(_position()).alias("first"),
             F.count("*").alias("times"),
-            *[F.first(c).alias(c) for c in ("words", "b0", "b1", "b2", "b3")],
+            *[F.first(c).alias(c) for c in ("words", "b0", "b1")],
         ),
         "line-distinct",
     )
