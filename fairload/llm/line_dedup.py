@@ -400,11 +400,12 @@ def _near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     least = least.select("key", *[F.col(f"least.{c}").alias(f"e_{c}") for c in fields])
     first = held.drop("at").join(least, "key").where(fits & (F.col("e_id") != F.col("id"))).select("id", "e_id")
     near = _later_of_near(keyed, distinct, _short_pairs(keys).union(first), "line-least")
-    # lines a tenth apart stand in the same class of lengths or in neighbouring ones
-    size = lambda c: F.floor(F.log(c) / F.log(F.lit(10 / 9))).cast("int")
-    near_size = F.explode(F.array(*[size("words") + k for k in (-1, 0, 1)])).alias("size")
+    # lengths are classed by powers of two; the lines a tenth apart stand in one class for most lines, in two for some
+    size = lambda words: F.floor(F.log2(words)).cast("int")
+    reached = [size(F.col("words") * ratio) for ratio in (0.899, 1 / 0.899)]
+    near_size = F.explode(F.array_distinct(F.array(*reached))).alias("size")
     left = held.join(near.select(F.col("h1").alias("id")), "id", "left_anti").select("*", near_size)
-    pairs = left.join(other.withColumn("size", size("e_words")), ["key", "size"])
+    pairs = left.join(other.withColumn("size", size(F.col("e_words"))), ["key", "size"])
     pairs = pairs.where(fits & (F.col("e_at") < F.col("at"))).select("id", "e_id")
     return near.union(_later_of_near(keyed, distinct, pairs, "line-rest")).distinct()
 
