@@ -253,3 +253,12 @@ def test_one_license_a_stretch():
     assert licenses_of("This work is licensed under the GNU General Public License, version 2.") == []
     assert licenses_of("This work is licensed under the GNU General Public License, version 3.0.") == ["GPL-3.0-short"]
     assert licenses_of(li.NOTICES["Apache-2.0"]) == ["Apache-2.0"]  # the short notice stands in the long one
+
+
+def test_unrelated_long_texts_are_not_alike():
+    rng = random.Random(9)
+    one, two = ({rng.getrandbits(64) for _ in range(100_000)} for _ in range(2))
+    half = set(sorted(one)[:50_000]) | set(sorted(two)[:50_000])
+    share = len(one & half) / len(one | half)
+    assert lz.likeness(lz.signature(one), lz.signature(two)) < 0.05
+    assert abs(lz.likeness(lz.signature(one), lz.signature(half)) - share) < 0.2
