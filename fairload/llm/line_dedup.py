@@ -22,7 +22,8 @@ Sharing a gram does not make long lines near, so a least line a key is not enoug
 * each line is first compared with the least lines of its grams. In a large group of near copies this finds
   an earlier near line for almost all;
 * only lines for which none was found are joined with all earlier lines of their grams. Lengths, places of the gram and
-  the parity of word hashes (an edit turns at most two bits) must fit before the words are compared.
+  the parity of word hashes (an edit turns at most two bits) must fit before the words are compared. A gram that a
+  line repeats is one row with its first and last place, so a line that says the same over and over joins once a gram.
 
 The edit distance of every candidate pair is verified on the words themselves.
 
@@ -38,6 +39,7 @@ whose non-blank lines go is dropped from ``dedup_lines``; ``line_report`` still
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -164,8 +166,8 @@ def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
-def variants(lines: Lines, rolling: Rolling, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, line, tag) of the chosen lines themselves and of each with each of its words left out in turn."""
+def variants(lines: Lines, rolling: Rolling, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, line, tag, 0) of the chosen lines themselves and of each with each of its words left out in turn."""
     n, begin, end = lines.size[chosen], lines.begin[chosen], lines.end[chosen]
     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     own, sums = np.repeat(begin, n), lines.sums[0]
@@ -176,11 +178,13 @@ def variants(lines: Lines, rolling: Rolling, chosen: np.ndarray) -> tuple[np.nda
         np.concatenate([lines.hashes[0][chosen], keys]),
         np.concatenate([chosen, np.repeat(chosen, n)]),
         np.concatenate([np.full(len(chosen), WHOLE), place]),
+        np.zeros(len(chosen) + len(place), dtype=np.int64),
     )
 
 
-def least_grams(lines: Lines, rolling: Rolling, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, line, tag) of the grams that are least in a window of a chosen line."""
+def least_grams(lines: Lines, rolling: Rolling, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, line, tag, reach) of the grams that are least in a window of a chosen line. The tag names the first such
+    place of the gram in the line, the reach is how far the last one lies behind it."""
     sums = lines.sums[0]
     at = np.arange(max(len(sums) - GRAM, 0))
     keys = mixed(rolling.of(sums, at, at + GRAM), 1 << 40)
@@ -202,10 +206,15 @@ def least_grams(lines: Lines, rolling: Rolling, chosen: np.ndarray) -> tuple[np.
         for k in range(span):
             taken[k : k + windows] |= good & (keys[k : k + windows] == smallest)
     at = np.nonzero(taken)[0]
-    return keys[at], owner[at], GRAM_TAG - (at - lines.begin[owner[at]])
+    at = at[np.lexsort((at, owner[at], keys[at]))]
+    key, line = keys[at], owner[at]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+    first, last = at[new], at[np.append(new[1:], True)[: len(at)]]
+    return key[new], line[new], GRAM_TAG - (first - lines.begin[line[new]]), last - first
 
 
-KEY = "key long, id long, tag int, spread int"
+KEY = "key long, id long, tag int, spread int, reach int"
 
 
 def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,32 +235,33 @@ def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chosen, size = first[fresh], lines.size[first[fresh]]
             near = chosen[(size >= NEAR_WORDS) & (size < WIDE_WORDS)]
             made = zip(variants(lines, rolling[0], near), least_grams(lines, rolling[0], chosen[size >= WIDE_LEAST]))
-            key, line, tag = (np.concatenate(x) for x in made)
-            key, line, tag = key.view(np.int64), ids[line], tag.astype(np.int32)
+            key, line, tag, reach = (np.concatenate(x) for x in made)
+            key, line, tag, reach = key.view(np.int64), ids[line], tag.astype(np.int32), reach.astype(np.int32)
             if not len(key):
                 continue
             order = np.lexsort((line, key))
-            key, line, tag = key[order], line[order], tag[order]
+            key, line, tag, reach = (x[order] for x in (key, line, tag, reach))
             begin = np.nonzero(np.append(True, key[1:] != key[:-1]))[0]
             last = np.append(begin[1:], len(key)) - 1
             shared = np.repeat(line[begin] != line[last], last - begin + 1)
             shared[begin] = shared[last] = False
             spread = np.where(shared, 1 + (line & 0xFFF), 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, line, tag, spread)], names=["key", "id", "tag", "spread"])
+            columns = [pa.array(x) for x in (key, line, tag, spread, reach)]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in KEY.split(", ")])
 
 
 def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key, line and tag those whose key occurs in two lines, and all that are spread; each once."""
-    none = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int32)]
+    none = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32)]
     held, shared_key = none, None  # rows of the last key while only one line has it; the key once two have it
     for batch in chain(batches, [None]):
-        rows = none if batch is None else [batch[k].to_numpy() for k in range(4)]
+        rows = none if batch is None else [batch[k].to_numpy() for k in range(5)]
         rows = [np.append(h, x) for h, x in zip(held, rows)]
         if not len(rows[0]):
             continue
         new = np.ones(len(rows[0]), dtype=bool)
         new[1:] = np.any([x[1:] != x[:-1] for x in rows[:3]], axis=0)
-        key, line, tag, spread = rows = [x[new] for x in rows]
+        key, line, tag, spread, reach = rows = [x[new] for x in rows]
         begin = np.nonzero(np.append(True, key[1:] != key[:-1]))[0]
         end = np.append(begin[1:], len(key))
         shared = line[begin] != line[end - 1]
@@ -259,8 +269,8 @@ def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         going = np.repeat(shared, end - begin) | (spread > 0)
         upto = len(key) if batch is None or shared[-1] else begin[-1]
         held, shared_key = [x[upto:] for x in rows], key[-1] if shared[-1] else None
-        columns = [pa.array(x[:upto][going[:upto]]) for x in (key, line, tag)]
-        yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "tag"])
+        columns = [pa.array(x[:upto][going[:upto]]) for x in (key, line, tag, reach)]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "tag", "reach"])
 
 
 def plain_lines(texts: pd.Series, wanted: pd.Series) -> pd.Series:
@@ -291,6 +301,9 @@ def words_apart(a: str, b: str) -> bool:
     n, m = len(x), len(y)
     if abs(n - m) > bound:
         return False
+    had, has = Counter(x), Counter(y)
+    if max((had - has).total(), (has - had).total()) > bound:
+        return False  # an edit takes away or adds one word at most
     reached: dict[int, int] = {}  # diagonal (place in y less place in x) -> furthest place in x
     for edits in range(bound + 1):
         now = {}
@@ -325,7 +338,7 @@ def _held_keys(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     shared = (
         keys.repartition("key", "spread")
         .sortWithinPartitions("key", "id", "tag")
-        .mapInArrow(shared_rows, "key long, id long, tag int")
+        .mapInArrow(shared_rows, "key long, id long, tag int, reach int")
     )
     lines = distinct.where(F.col("words") >= NEAR_WORDS).select(
         F.col("h1").alias("id"), "words", "b0", "b1", F.col("first").alias("at")
@@ -383,8 +396,9 @@ def _later_of_near(keyed: DataFrame, distinct: DataFrame, pairs: DataFrame, labe
 def _near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h1, h2) of the lines with an earlier near line."""
     keys = _held_keys(keyed, distinct)
-    place = (GRAM_TAG - F.col("tag")).alias("place")
-    held = keys.where(F.col("tag") <= GRAM_TAG).select("key", "at", "id", "words", "b0", "b1", place)
+    low = GRAM_TAG - F.col("tag")
+    places = low.alias("low"), (low + F.col("reach")).alias("high")
+    held = keys.where(F.col("tag") <= GRAM_TAG).select("key", "at", "id", "words", "b0", "b1", *places)
     other = held.select("key", *[F.col(c).alias(f"e_{c}") for c in held.columns if c != "key"])
     longer = F.greatest("words", "e_words")
     bound = F.floor(longer / 10)
@@ -392,7 +406,7 @@ def _near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     fits = (
         (longer >= WIDE_WORDS)
         & (F.abs(F.col("words") - F.col("e_words")) <= bound)
-        & (F.abs(F.col("place") - F.col("e_place")) <= bound)
+        & (F.greatest("low", "e_low") - F.least("high", "e_high") <= bound)
         & (turned <= 2 * bound)
     )
     fields = [c for c in held.columns if c != "key"]
