@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from fairload.functions.numeric import clip, ratio
 from fairload.functions.timegrid import day_fraction_hours, slot_number, slot_time
+from fairload.operators.rollup import minutes_overloaded
 from fairload.settings import CLASS_PAIN, CROP_TRAITS, IRRIGATION_RELIEF, AgroSettings, GridSettings
 
 
@@ -19,12 +20,11 @@ def trailing_day(df: DataFrame) -> DataFrame:
 
 def transformer_stress(tx_int: DataFrame) -> DataFrame:
     """24 h stress of each transformer, under the names the risk model was trained on."""
-    over = F.when(F.col("loading") > 1.0, 15.0).otherwise(0.0)
     hot = F.pow(F.greatest(F.col("loading") - 0.8, F.lit(0.0)), 2.0)
     return trailing_day(tx_int).groupBy("transformer_id", "feeder_id").agg(
         F.avg("loading").alias("loading_mean"),
         F.max("loading").alias("loading_max"),
-        F.sum(over).alias("overload_minutes"),
+        minutes_overloaded().cast("double").alias("overload_minutes"),
         F.sum("sags").alias("sag_count"),
         F.sum(hot).alias("thermal_stress"),
         F.max_by("kw", "ts").alias("kw_now"),

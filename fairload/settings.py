@@ -38,6 +38,17 @@ VAPI_WEIGHTS = {"loss_risk": 0.35, "yield_shortfall": 0.30, "ndvi_decline": 0.20
 CLASS_PAIN = {"residential": 0.35, "commercial": 0.50, "industrial": 0.65}
 PROTECTED_PAIN = 9.99
 
+# What counts for a feeder that a source says nothing about, and from where on a reason code is given.
+FEEDER_ABSENT = {"tx_risk_max": 0, "tx_risk_mean": 0, "tx_high_risk": 0, "shed_hours_30d": 0, "complaints_30d": 0}
+FEEDER_LIMITS = {
+    "forecast_stress": 0.95,
+    "tx_high_risk": 1,
+    "utilization_now": 0.9,
+    "c_volatility": 0.7,
+    "shed_hours_30d": 8,
+    "sag_rate": 0.5,
+}
+
 # Crop traits (peak NDVI, degree-days to maturity, water sensitivity) and how far
 # irrigation relieves a dry spell.
 CROP_TRAITS = {
