@@ -3,7 +3,14 @@
 A line is a sequence of words. Two lines are near if few words replaced, put in or left out turn one into the
 other: one word, or a tenth of the words of the longer line, rounded down, if that is more.
 
-Each line emits hashed keys, all lengths in one table (``keys``):
+``one_edit`` keeps the bound at one word for all lengths, as the SQL twin of the query states it:
+
+* a line emits itself without each of its ``PIECES`` pieces in turn, once cut by its own length and once as the
+  line without one word of a line one word longer. One edit lies in one piece, so near lines share such a key;
+* only of a line that shares one the words are fetched, once, and of the pieces it shares each word is left out in
+  turn: the keys described next for short lines, for a small part of the places.
+
+Otherwise each line emits hashed keys, all lengths in one table (``keys``):
 
 * a line of fewer than ``WIDE_WORDS`` words, whose bound is one, emits itself and its deletion variants: each
   word left out in turn, with the place of the missing word. Lines that share a variant with the word missing at
@@ -53,6 +60,8 @@ from fairload.llm.common import written
 
 MIN_WORDS = 1
 NEAR_WORDS = 10
+PIECES = 4
+SHORTER = 1 << PIECES  # bit of a line that may be one without a word; the lower bits name pieces of it
 WIDE_WORDS = 20  # from here on a tenth of the words is more than one
 WIDE_LEAST = WIDE_WORDS - WIDE_WORDS // 10  # shortest line beside one of WIDE_WORDS
 GRAM = 4
@@ -149,23 +158,43 @@ def parities(lines: Lines) -> np.ndarray:
     return out
 
 
-LINE = "doc long, body long, line_no int, h1 long, h2 long, words int, b0 long, b1 long"
+BARE_LINE = "doc long, body long, line_no int, h1 long, h2 long, words int"
+LINE = BARE_LINE + ", b0 long, b1 long"
+
+
+def bare_line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines as ``line_rows`` gives them, without parities."""
+    return line_rows(batches, BARE_LINE)
 
 
-def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def line_rows(batches: Iterator[pa.RecordBatch], schema: str = LINE) -> Iterator[pa.RecordBatch]:
     """The non-blank lines of (doc, body, text): two hashes, number of words, and parities of long lines."""
     rolling = [Rolling(b) for b in BASES]
     for batch in batches:
         for slab in slabs(batch["text"].cast(pa.binary()).to_pylist()):
             lines = Lines(slab, rolling)
-            bits, row = parities(lines), pa.array(lines.row)
+            bits, row = parities(lines).T.copy() if schema == LINE else [], pa.array(lines.row)
             h1, h2 = (h.view(np.int64) for h in lines.hashes)
             number, size = lines.number.astype(np.int32), lines.size.astype(np.int32)
-            columns = [batch["doc"].take(row), batch["body"].take(row), number, h1, h2, size, *bits.T.copy()]
-            names = [c.split()[0] for c in LINE.split(", ")]
+            columns = [batch["doc"].take(row), batch["body"].take(row), number, h1, h2, size, *bits]
+            names = [c.split()[0] for c in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
+def pieces(lines: Lines, rolling: Rolling, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, line, bit, 0) of the chosen lines without each of their pieces, as they are and as one short of a word."""
+    sums, own, last, n = lines.sums[0], lines.begin[chosen], lines.end[chosen], lines.size[chosen]
+    keys, bits = [], []
+    for short in range(2):
+        for k in range(PIECES):
+            low, high = k * (n + short) // PIECES, (k + 1) * (n + short) // PIECES - short
+            back = (sums[last] - sums[own + high]) * rolling.inverses[high - low]
+            bare = (sums[own + low] - sums[own] + back) * rolling.inverses[own]
+            keys.append(mixed(bare, ((n + short) * PIECES + k) | 1 << 41))
+            bits.append(np.full(len(chosen), SHORTER if short else 1 << k))
+    return np.concatenate(keys), np.tile(chosen, 2 * PIECES), np.concatenate(bits), np.zeros(len(chosen) * 2 * PIECES, int)
+
+
 def variants(lines: Lines, rolling: Rolling, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
     """(key, line, tag, 0) of the chosen lines themselves and of each with each of its words left out in turn."""
     n, begin, end = lines.size[chosen], lines.begin[chosen], lines.end[chosen]
@@ -217,7 +246,12 @@ def least_grams(lines: Lines, rolling: Rolling, chosen: np.ndarray) -> tuple[np.
 KEY = "key long, id long, tag int, spread int, reach int"
 
 
-def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the lines of (text) without a piece, the bit of it as tag; spread as in ``key_rows``."""
+    return key_rows(batches, one_edit=True)
+
+
+def key_rows(batches: Iterator[pa.RecordBatch], one_edit: bool = False) -> Iterator[pa.RecordBatch]:
     """Keys of the lines of (text). Rows of a key that two lines of a slab share get a number to spread them by,
     but for one row of the first and one of the last line, which go where all rows of the key meet."""
     rolling, known = [Rolling(BASES[0])], set()
@@ -233,9 +267,12 @@ def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh = np.array([i not in known for i in unique.tolist()], dtype=bool)
             known.update(unique[fresh].tolist())
             chosen, size = first[fresh], lines.size[first[fresh]]
-            near = chosen[(size >= NEAR_WORDS) & (size < WIDE_WORDS)]
-            made = zip(variants(lines, rolling[0], near), least_grams(lines, rolling[0], chosen[size >= WIDE_LEAST]))
-            key, line, tag, reach = (np.concatenate(x) for x in made)
+            if one_edit:
+                key, line, tag, reach = pieces(lines, rolling[0], chosen[size >= NEAR_WORDS])
+            else:
+                near = chosen[(size >= NEAR_WORDS) & (size < WIDE_WORDS)]
+                made = zip(variants(lines, rolling[0], near), least_grams(lines, rolling[0], chosen[size >= WIDE_LEAST]))
+                key, line, tag, reach = (np.concatenate(x) for x in made)
             key, line, tag, reach = key.view(np.int64), ids[line], tag.astype(np.int32), reach.astype(np.int32)
             if not len(key):
                 continue
@@ -250,6 +287,24 @@ def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in KEY.split(", ")])
 
 
+def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the lines (id, bits, line): the line without each word of the pieces named by its bits, and the whole
+    line if it may be one without a word."""
+    rolling = [Rolling(BASES[0])]
+    for batch in batches:
+        row_bits = batch["bits"].to_numpy()
+        for slab in slabs(batch["line"].cast(pa.binary()).to_pylist()):
+            lines = Lines(slab, rolling)
+            bits = row_bits[lines.row]
+            key, line, tag, _ = variants(lines, rolling[0], np.arange(len(lines.size)))
+            piece = ((tag + 1) * PIECES - 1) // lines.size[line]  # the k with k * n // PIECES <= tag < (k + 1) * n // PIECES
+            wanted = bits[line] >> np.where(tag == WHOLE, PIECES, piece) & 1 > 0
+            key, line, tag = key[wanted].view(np.int64), line[wanted], tag[wanted].astype(np.int32)
+            none = np.zeros(len(key), dtype=np.int32)
+            columns = [pa.array(x) for x in (key, lines.hashes[0].view(np.int64)[line], tag, none, none)]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in KEY.split(", ")])
+
+
 def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key, line and tag those whose key occurs in two lines, and all that are spread; each once."""
     none = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32)]
@@ -277,20 +332,15 @@ def plain_lines(texts: pd.Series, wanted: pd.Series) -> pd.Series:
     """The words of each wanted line of a text."""
     out = []
     for text, lines_wanted in zip(texts, wanted):
-        lines = [line.split() for line in text.encode("utf-8").split(b"\n")]
-        out.append(
-            [
-                {**w, "line": b" ".join(lines[w["line_no"]]).decode("utf-8")}
-                for w in lines_wanted
-            ]
-        )
+        lines = text.encode("utf-8").split(b"\n")
+        out.append([{**w, "line": b" ".join(lines[w["line_no"]].split()).decode("utf-8")} for w in lines_wanted])
     return pd.Series(out)
 
 
-def words_apart(a: str, b: str) -> bool:
+def words_apart(a: str, b: str, one_edit: bool = False) -> bool:
     """Word edit distance of at most one or a tenth of the words of the longer line, by furthest places on each diagonal."""
     x, y = a.split(" "), b.split(" ")
-    bound = max(1, max(len(x), len(y)) // 10)
+    bound = 1 if one_edit else max(1, max(len(x), len(y)) // 10)
     same, n = 0, min(len(x), len(y))
     while same < n and x[same] == y[same]:
         same += 1
@@ -332,14 +382,15 @@ def _position() -> Column:
     return F.struct(F.col("doc").isNull().alias("none"), "doc", "body", "line_no")
 
 
+def _shared(keys: DataFrame) -> DataFrame:
+    """The rows of the keys that two lines or more have."""
+    rows = keys.repartition("key", "spread").sortWithinPartitions("key", "id", "tag")
+    return rows.mapInArrow(shared_rows, "key long, id long, tag int, reach int")
+
+
 def _held_keys(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     """The keys that two lines or more have, beside those lines (``at``: first occurrence)."""
-    keys = keyed.select(F.col("d.text").alias("text")).mapInArrow(key_rows, KEY)
-    shared = (
-        keys.repartition("key", "spread")
-        .sortWithinPartitions("key", "id", "tag")
-        .mapInArrow(shared_rows, "key long, id long, tag int, reach int")
-    )
+    shared = _shared(keyed.select(F.col("d.text").alias("text")).mapInArrow(key_rows, KEY))
     lines = distinct.where(F.col("words") >= NEAR_WORDS).select(
         F.col("h1").alias("id"), "words", "b0", "b1", F.col("first").alias("at")
     )
@@ -361,24 +412,22 @@ def _short_pairs(held: DataFrame) -> DataFrame:
     return pairs.groupBy("id").agg(F.min("least").alias("least")).select("id", F.col("least.id").alias("e_id"))
 
 
-def _later_of_near(keyed: DataFrame, distinct: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
-    """(h1, h2) of the later line of each of the pairs (id, e_id) whose words are few edits apart."""
-    pairs = written(
-        pairs.select(F.least("id", "e_id").alias("id"), F.greatest("id", "e_id").alias("e_id")).distinct(), label
-    )
-    ids = pairs.select("id").union(pairs.select("e_id")).distinct().withColumnRenamed("id", "h1")
-    wanted = (
-        distinct.join(ids, "h1", "left_semi")
-        .groupBy(F.col("first.doc").alias("w_doc"), F.col("first.body").alias("w_body"))
-        .agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "h1", "h2")).alias("wanted"))
+def _with_words(keyed: DataFrame, lines: DataFrame, label: str) -> DataFrame:
+    """(h1, h2, bits, at, line) of the lines (h1, h2, bits, first): where a line first stands, and its words."""
+    wanted = lines.groupBy(F.col("first.doc").alias("w_doc"), F.col("first.body").alias("w_body")).agg(
+        F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "h1", "h2", "bits")).alias("wanted")
     )  # at most the lines of one document in a row; written, so that its size is known to the planner
     wanted = written(wanted, label + "-wanted")
     same = F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("body") == F.col("w_body"))
-    plain = F.pandas_udf(plain_lines, "array<struct<h1: long, h2: long, line_no: int, line: string>>")
+    plain = F.pandas_udf(plain_lines, "array<struct<h1: long, h2: long, bits: int, line_no: int, line: string>>")
     texts = keyed.select("doc", "body", F.col("d.text").alias("text")).join(wanted, same)
     texts = texts.select("doc", "body", F.inline(plain("text", "wanted")))
-    texts = texts.select("h1", "h2", _position().alias("at"), "line").dropDuplicates(["h1", "h2"])
-    texts = written(texts, label + "-texts")
+    texts = texts.select("h1", "h2", "bits", _position().alias("at"), "line").dropDuplicates(["h1", "h2"])
+    return written(texts, label + "-texts")
+
+
+def _later_of_near(pairs: DataFrame, texts: DataFrame, label: str, one_edit: bool = False) -> DataFrame:
+    """(h1, h2) of the later line of each of the pairs (id, e_id) whose words, in ``texts``, are few edits apart."""
     one = texts.select(F.col("h1").alias("id"), F.struct("at", "h1", "h2").alias("one"), "line")
     other = texts.select(
         F.col("h1").alias("e_id"), F.struct("at", "h1", "h2").alias("other"), F.col("line").alias("other_line")
@@ -386,13 +435,33 @@ def _later_of_near(keyed: DataFrame, distinct: DataFrame, pairs: DataFrame, labe
 
     @F.pandas_udf("boolean")
     def verified(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([words_apart(x, y) for x, y in zip(a, b)], dtype=bool)
+        return pd.Series([words_apart(x, y, one_edit) for x, y in zip(a, b)], dtype=bool)
 
     near = pairs.join(one, "id").join(other, "e_id").where(verified("line", "other_line"))
     later = near.select(F.greatest("one", "other").alias("later")).select("later.h1", "later.h2")
     return written(later.distinct(), label + "-near")
 
 
+def _verified(keyed: DataFrame, distinct: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
+    """``_later_of_near`` of the distinct pairs, their words fetched from the documents."""
+    pairs = written(
+        pairs.select(F.least("id", "e_id").alias("id"), F.greatest("id", "e_id").alias("e_id")).distinct(), label
+    )
+    ids = pairs.select("id").union(pairs.select("e_id")).distinct().withColumnRenamed("id", "h1")
+    lines = distinct.join(ids, "h1", "left_semi").withColumn("bits", F.lit(0))
+    return _later_of_near(pairs, _with_words(keyed, lines, label), label)
+
+
+def _one_edit_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(h1, h2) of the lines with an earlier line one word apart."""
+    shared = _shared(keyed.select(F.col("d.text").alias("text")).mapInArrow(piece_rows, KEY))
+    bits = shared.groupBy(F.col("id").alias("h1")).agg(F.bit_or("tag").alias("bits"))
+    texts = _with_words(keyed, distinct.join(bits, "h1"), "line-pieces")
+    keys = _shared(texts.select("bits", "line").mapInArrow(word_rows, KEY))
+    held = written(keys.join(texts.select(F.col("h1").alias("id"), "at"), "id"), "line-words")
+    return _later_of_near(_short_pairs(held), texts, "line-one", one_edit=True)
+
+
 def _near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h1, h2) of the lines with an earlier near line."""
     keys = _held_keys(keyed, distinct)
@@ -413,7 +482,7 @@ def _near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     least = held.groupBy("key").agg(F.min(F.struct(*fields)).alias("least"))
     least = least.select("key", *[F.col(f"least.{c}").alias(f"e_{c}") for c in fields])
     first = held.drop("at").join(least, "key").where(fits & (F.col("e_id") != F.col("id"))).select("id", "e_id")
-    near = _later_of_near(keyed, distinct, _short_pairs(keys).union(first), "line-least")
+    near = _verified(keyed, distinct, _short_pairs(keys).union(first), "line-least")
     # lengths are classed by powers of two; the lines a tenth apart stand in one class for most lines, in two for some
     size = lambda words: F.floor(F.log2(words)).cast("int")
     reached = [size(F.col("words") * ratio) for ratio in (0.899, 1 / 0.899)]
@@ -421,25 +490,26 @@ def _near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     left = held.join(near.select(F.col("h1").alias("id")), "id", "left_anti").select("*", near_size)
     pairs = left.join(other.withColumn("size", size(F.col("e_words"))), ["key", "size"])
     pairs = pairs.where(fits & (F.col("e_at") < F.col("at"))).select("id", "e_id")
-    return near.union(_later_of_near(keyed, distinct, pairs, "line-rest")).distinct()
+    return near.union(_verified(keyed, distinct, pairs, "line-rest")).distinct()
 
 
-def _lines_to_drop(keyed: DataFrame) -> DataFrame:
+def _lines_to_drop(keyed: DataFrame, least_words: int, one_edit: bool) -> DataFrame:
     """(gone_doc, gone_body, gone, near): line numbers that go, and how many of them for a near line."""
     keyed = keyed.where(F.col("d.text").isNotNull())
-    lines = written(keyed.select("doc", "body", F.col("d.text").alias("text")).mapInArrow(line_rows, LINE), "line-all")
+    rows, schema = (bare_line_rows, BARE_LINE) if one_edit else (line_rows, LINE)
+    lines = written(keyed.select("doc", "body", F.col("d.text").alias("text")).mapInArrow(rows, schema), "line-all")
     distinct = written(
         lines.groupBy("h1", "h2").agg(
             F.min(_position()).alias("first"),
             F.count("*").alias("times"),
-            *[F.first(c).alias(c) for c in ("words", "b0", "b1")],
+            *[F.first(c).alias(c) for c in ("words", "b0", "b1") if c in lines.columns],
         ),
         "line-distinct",
     )
-    near = _near_lines(keyed, distinct).withColumn("near", F.lit(True))
+    near = (_one_edit_lines if one_edit else _near_lines)(keyed, distinct).withColumn("near", F.lit(True))
     marks = (
         distinct.join(near, ["h1", "h2"], "left")
-        .where((F.col("times") > 1) | F.col("near"))
+        .where((F.col("times") > 1) & (F.col("words") >= least_words) | F.col("near"))
         .select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     )
     gone = lines.select("doc", "body", "line_no", "h1", "h2").join(marks, ["h1", "h2"])
@@ -462,26 +532,28 @@ def without_lines(texts: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def _with_drops(docs: DataFrame) -> DataFrame:
+def _with_drops(docs: DataFrame, least_words: int, one_edit: bool) -> DataFrame:
     keyed = _keyed(docs)
-    gone = _lines_to_drop(keyed)
+    gone = _lines_to_drop(keyed, least_words, one_edit)
     same = F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("body") == F.col("gone_body"))
     cut = F.pandas_udf(without_lines, "string")
     return keyed.join(gone, same, "left").select("d", "gone", "near", cut("d.text", "gone").alias("rest"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents with ``text`` shortened, without those of which nothing is left; columns as before."""
-    left = _with_drops(docs).where(F.col("gone").isNull() | F.col("rest").rlike("[^\\x09-\\x0D\\x20]"))
+def dedup_lines(docs: DataFrame, least_words: int = MIN_WORDS, one_edit: bool = False) -> DataFrame:
+    """The documents with ``text`` shortened, without those of which nothing is left; columns as before. Copies go of
+    lines of ``least_words`` words and more; with ``one_edit`` near lines are one word apart at any length."""
+    left = _with_drops(docs, least_words, one_edit).where(F.col("gone").isNull() | F.col("rest").rlike("[^\\x09-\\x0D\\x20]"))
     columns = [F.col("rest").alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
     return left.select(*columns)
 
 
-def line_report(docs: DataFrame) -> DataFrame:
-    """Per document: lines, how many go as copies and as near lines, and the digest of the text that is left."""
+def line_report(docs: DataFrame, least_words: int = MIN_WORDS, one_edit: bool = False) -> DataFrame:
+    """Per document: lines, how many go as copies and as near lines, and the digest of the text that is left; which
+    lines go is set as for ``dedup_lines``."""
     count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     lines = F.coalesce(F.size(F.split("d.text", "\n", -1)), F.lit(0)).cast("long")
-    return _with_drops(docs).select(
+    return _with_drops(docs, least_words, one_edit).select(
         F.col("d.doc_id").alias("doc_id"),
         F.when(F.col("d.text").isNull(), F.lit(0)).otherwise(lines).alias("n_lines"),
         (F.when(F.col("gone").isNull(), F.lit(0)).otherwise(count("gone") - count("near"))).alias("n_copies"),

@@ -43,7 +43,8 @@ def op2_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+    # the rule of the SQL twin: copies of lines of five words and more, near lines one word apart
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), least_words=5, one_edit=True)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 import hashlib
 import random
 
+import duckdb
+
 from fairload.llm import line_dedup as ld
+from fairload.llm import queries
 
 
 def near(a, b):
@@ -155,3 +158,28 @@ def test_short_copies_go_and_blank_lines_stay(documents):
     rows = [(1, "All rights reserved.\n\none\nkept first"), (2, "All rights  reserved.\n\n \none\nkept second\none")]
     left = {r["doc_id"]: r["text"] for r in ld.dedup_lines(documents(rows)).collect()}
     assert left == {1: rows[0][1], 2: "\n \nkept second"}
+
+
+def test_query_equals_its_sql(documents, tmp_path):
+    rng = random.Random(11)
+    texts = corpus(rng)
+    for n in (10, 11, 19, 20, 21, 30, 57, 140):
+        base = [f"v{rng.randrange(40)}" for _ in range(n)]
+        for edits in (0, 1, 1, 1, 1, 1, 1, 2, 2, 2):
+            words = list(base)
+            for _ in range(edits):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(2)] = rng.choice([[], ["new"], [f"x{rng.randrange(99)}"]])
+            texts.append(" ".join(words) + "\nAll rights reserved.\n\nfive words stand just here")
+    for n in (10, 11, 12, 40, 41):  # an edit at every place of a line, and that line repeating itself
+        for base in ([f"p{k}" for k in range(n)], ["again", "and"] * n):
+            texts += [" ".join([*base[:k], *w, *base[k + 1 :]]) for k in range(len(base)) for w in ([], ["n"], [base[k], "n"])]
+            texts.append(" ".join(base))
+    rng.shuffle(texts)
+    documents([*enumerate(texts), (9001, None), (9002, "")]).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op3_line_dedup(documents([]).sparkSession, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    twin = con.execute(queries.ORACLE["op3_line_dedup"]).fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(twin)
+    assert sum(r[2] for r in twin) > 50 and sum(r[3] for r in twin) > 200
