@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from fairload.llm import decontaminate, line_dedup, mixing, simhash, toxicity
 from fairload.llm.common import table, written
-from fairload.session import ship
+from fairload.session import ship as shipped
+
+#: Texts are long: rows that go to a Python worker at a time, in each of its batches.
+BATCH_ROWS = 1_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,6 +26,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TARGETS = {"en": 0.45, "de": 0.18, "fr": 0.18, "es": 0.17, "junk": 0.02}
 
 
+def ship(spark: SparkSession) -> None:
+    shipped(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))

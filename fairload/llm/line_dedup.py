@@ -31,6 +31,8 @@ Sharing a gram does not make long lines near, so a least line a key is not enoug
 * only lines for which none was found are joined with all earlier lines of their grams. Lengths, places of the gram and
   the parity of word hashes (an edit turns at most two bits) must fit before the words are compared. A gram that a
   line repeats is one row with its first and last place, so a line that says the same over and over joins once a gram.
+  Near copies share many grams: a row carries the ``BEFORE`` shared grams before it, and two lines that meet in one of
+  those do not meet again. The first fitting gram of a pair has none before it, so no pair is lost.
 
 The edit distance of every candidate pair is verified on the words themselves.
 
@@ -53,7 +55,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairload.llm.common import written
@@ -66,6 +68,7 @@ WIDE_WORDS = 20  # from here on a tenth of the words is more than one
 WIDE_LEAST = WIDE_WORDS - WIDE_WORDS // 10  # shortest line beside one of WIDE_WORDS
 GRAM = 4
 WINDOWS = ((WIDE_LEAST, 3), (30, 4), (40, 5), (90, 6))  # from so many words on: grams in a window
+BEFORE = 16  # shared grams of a line that a row of the last join looks back on
 SLAB = 1 << 19  # bytes of text handled at a time; a longer line is one slab
 KNOWN_LINES = 300_000  # lines a task remembers having emitted before it starts anew
 
@@ -468,16 +471,12 @@ def _near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     low = GRAM_TAG - F.col("tag")
     places = low.alias("low"), (low + F.col("reach")).alias("high")
     held = keys.where(F.col("tag") <= GRAM_TAG).select("key", "at", "id", "words", "b0", "b1", *places)
-    other = held.select("key", *[F.col(c).alias(f"e_{c}") for c in held.columns if c != "key"])
     longer = F.greatest("words", "e_words")
     bound = F.floor(longer / 10)
     turned = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"e_b{k}"))) for k in range(2)), F.lit(0))
-    fits = (
-        (longer >= WIDE_WORDS)
-        & (F.abs(F.col("words") - F.col("e_words")) <= bound)
-        & (F.greatest("low", "e_low") - F.least("high", "e_high") <= bound)
-        & (turned <= 2 * bound)
-    )
+    added = F.abs(F.col("words") - F.col("e_words"))  # a word put in or left out turns one bit only
+    meet = lambda low, e_low, high, e_high: F.greatest(low, e_low) - F.least(high, e_high) <= bound
+    fits = (longer >= WIDE_WORDS) & (added <= bound) & meet("low", "e_low", "high", "e_high") & (turned <= 2 * bound - added)
     fields = [c for c in held.columns if c != "key"]
     least = held.groupBy("key").agg(F.min(F.struct(*fields)).alias("least"))
     least = least.select("key", *[F.col(f"least.{c}").alias(f"e_{c}") for c in fields])
@@ -487,9 +486,19 @@ def _near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     size = lambda words: F.floor(F.log2(words)).cast("int")
     reached = [size(F.col("words") * ratio) for ratio in (0.899, 1 / 0.899)]
     near_size = F.explode(F.array_distinct(F.array(*reached))).alias("size")
+    back = Window.partitionBy("id").orderBy("low", "key").rowsBetween(-BEFORE, -1)
+    held = held.repartition("id").distinct()
+    held = held.withColumn("before", F.collect_list(F.struct("key", "low", "high")).over(back))
+    other = held.select("key", *[F.col(c).alias(f"e_{c}") for c in held.columns if c != "key"])
+    met = F.exists(
+        "before",
+        lambda x: F.exists(
+            "e_before", lambda y: (x["key"] == y["key"]) & meet(x["low"], y["low"], x["high"], y["high"])
+        ),
+    )
     left = held.join(near.select(F.col("h1").alias("id")), "id", "left_anti").select("*", near_size)
     pairs = left.join(other.withColumn("size", size(F.col("e_words"))), ["key", "size"])
-    pairs = pairs.where(fits & (F.col("e_at") < F.col("at"))).select("id", "e_id")
+    pairs = pairs.where(fits & (F.col("e_at") < F.col("at")) & ~met).select("id", "e_id")
     return near.union(_verified(keyed, distinct, pairs, "line-rest")).distinct()
 
 

@@ -183,3 +183,23 @@ def test_query_equals_its_sql(documents, tmp_path):
     twin = con.execute(queries.ORACLE["op3_line_dedup"]).fetchall()
     assert sorted(map(tuple, found.collect())) == sorted(twin)
     assert sum(r[2] for r in twin) > 50 and sum(r[3] for r in twin) > 200
+
+
+def test_near_copies_that_are_not_near_meet_once(documents, monkeypatch):
+    lines = []
+    for i in range(12):  # one passage, each time with five words put in: ten edits apart where nine are allowed
+        words = [f"w{k}" for k in range(90)]
+        for j in range(5):
+            words.insert(i + 15 * j, f"own{i}x{j}")
+        lines.append(words)
+    pairs, verified = {}, ld._verified
+
+    def kept(keyed, distinct, found, label):
+        pairs[label] = [tuple(sorted(r)) for r in found.collect()]
+        return verified(keyed, distinct, found, label)
+
+    monkeypatch.setattr(ld, "_verified", kept)
+    found = {r["doc_id"]: r["n_near"] for r in ld.line_report(documents([(i, " ".join(w)) for i, w in enumerate(lines)])).collect()}
+    assert found == {i: int(any(apart(w, v) <= 9 for v in lines[:i])) for i, w in enumerate(lines)}
+    rest = pairs["line-rest"]
+    assert len(rest) > 40 and len(rest) <= 1.2 * len(set(rest))
