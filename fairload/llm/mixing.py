@@ -48,6 +48,13 @@ def _counts(text: Column) -> list[Column]:
     return [(size - F.octet_length(F.replace(text, F.lit(m)))) / len(m.encode("utf-8")) for m in MARKS]
 
 
+def _tokens(text: Column) -> Column:
+    """Number of words; plain replacing and splitting, as translate and patterns look at every character by itself."""
+    for blank in "\t\n\r\x0b\x0c":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.size(F.array_remove(F.split(text, " "), "")).cast("double")
+
+
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[list[float], list[list[float]]]:
     """Log priors and, by domain, log shares of the marks; ``labelled`` has doc_id and domain."""
     usable = (
@@ -75,8 +82,7 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[lis
 def posteriors(docs: DataFrame, priors: list[float], shares: list[list[float]], keep: list[str]) -> DataFrame:
     """``keep`` columns as struct ``d``, with tokens and the posterior ``p0 .. pK`` of each document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    bare = F.trim(F.translate(text, "\t\n\r\x0b\x0c", "     "))
-    tokens = F.when(bare == "", F.lit(0.0)).otherwise(F.size(F.split(bare, " +")).cast("double"))
+    tokens = _tokens(text)
     counted = docs.select(
         F.struct(*keep).alias("d"), tokens.alias("tokens"), *(c.alias(f"m{k}") for k, c in enumerate(_counts(text)))
     )

@@ -180,3 +180,11 @@ def test_text_domains(spark):
     docs = spark.createDataFrame([(1, "en"), (2, "fr"), (3, "de"), (None, "en")], "doc_id long, lang string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, None), (None, 1)], "doc_id long, quality int")
     assert sorted(map(tuple, mixing.text_domains(docs, labels).collect())) == [(1, "en"), (2, "junk")]
+
+
+def test_tokens_are_words_between_ascii_blanks(spark):
+    texts = ["", " \t\n", "one", "  a\tb\x0b\x0cc\r\nd  ", "no\u00a0break\u2003here", "x" * 5000 + "\n\n\ny", "\x1cz z\x85z"]
+    tokens = mixing._tokens(F.col("text"))
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", tokens.alias("n")).collect()
+    assert [r["n"] for r in rows] == [len(r["text"].encode().split()) for r in rows] == [0, 0, 1, 4, 1, 2, 2]
+    assert "translate" not in str(tokens)  # it looks up every character by itself
