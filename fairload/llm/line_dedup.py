@@ -31,8 +31,10 @@ Sharing a gram does not make long lines near, so a least line a key is not enoug
 * only lines for which none was found are joined with all earlier lines of their grams. Lengths, places of the gram and
   the parity of word hashes (an edit turns at most two bits) must fit before the words are compared. A gram that a
   line repeats is one row with its first and last place, so a line that says the same over and over joins once a gram.
-  Near copies share many grams: a row carries the ``BEFORE`` shared grams before it, and two lines that meet in one of
-  those do not meet again. The first fitting gram of a pair has none before it, so no pair is lost.
+  A semi-join of bare rows first keeps the grams in which a line meets a fitting one, a few of all.
+  Near copies share many grams: of those that are left, a row carries the ``BEFORE`` ones before it, and two lines that
+  meet in one of those do not meet again. All grams in which a pair meets are left and the first of them has none before
+  it, so no pair is lost.
 
 The edit distance of every candidate pair is verified on the words themselves.
 
@@ -69,6 +71,7 @@ WIDE_LEAST = WIDE_WORDS - WIDE_WORDS // 10  # shortest line beside one of WIDE_W
 GRAM = 4
 WINDOWS = ((WIDE_LEAST, 3), (30, 4), (40, 5), (90, 6))  # from so many words on: grams in a window
 BEFORE = 16  # shared grams of a line that a row of the last join looks back on
+LAST_DOC = (1 << 63) - 1  # stands for a null doc_id, which counts as the largest
 SLAB = 1 << 19  # bytes of text handled at a time; a longer line is one slab
 KNOWN_LINES = 300_000  # lines a task remembers having emitted before it starts anew
 
@@ -469,36 +472,42 @@ def _near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h1, h2) of the lines with an earlier near line."""
     keys = _held_keys(keyed, distinct)
     low = GRAM_TAG - F.col("tag")
+    order = F.coalesce("at.doc", F.lit(LAST_DOC)).alias("doc"), F.col("at.line_no").alias("line_no")
     places = low.alias("low"), (low + F.col("reach")).alias("high")
-    held = keys.where(F.col("tag") <= GRAM_TAG).select("key", "at", "id", "words", "b0", "b1", *places)
+    held = keys.where(F.col("tag") <= GRAM_TAG).select("key", *order, "id", "words", "b0", "b1", *places)
     longer = F.greatest("words", "e_words")
     bound = F.floor(longer / 10)
     turned = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"e_b{k}"))) for k in range(2)), F.lit(0))
     added = F.abs(F.col("words") - F.col("e_words"))  # a word put in or left out turns one bit only
     meet = lambda low, e_low, high, e_high: F.greatest(low, e_low) - F.least(high, e_high) <= bound
     fits = (longer >= WIDE_WORDS) & (added <= bound) & meet("low", "e_low", "high", "e_high") & (turned <= 2 * bound - added)
+    fits &= F.col("e_id") != F.col("id")
     fields = [c for c in held.columns if c != "key"]
     least = held.groupBy("key").agg(F.min(F.struct(*fields)).alias("least"))
-    least = least.select("key", *[F.col(f"least.{c}").alias(f"e_{c}") for c in fields])
-    first = held.drop("at").join(least, "key").where(fits & (F.col("e_id") != F.col("id"))).select("id", "e_id")
+    least = least.select("key", *[F.col(f"least.{c}").alias(f"e_{c}") for c in fields if c not in ("doc", "line_no")])
+    first = held.drop("doc", "line_no").join(least, "key").where(fits).select("id", "e_id")
     near = _verified(keyed, distinct, _short_pairs(keys).union(first), "line-least")
     # lengths are classed by powers of two; the lines a tenth apart stand in one class for most lines, in two for some
     size = lambda words: F.floor(F.log2(words)).cast("int")
     reached = [size(F.col("words") * ratio) for ratio in (0.899, 1 / 0.899)]
     near_size = F.explode(F.array_distinct(F.array(*reached))).alias("size")
+    sized = lambda rows: rows.select(*[F.col(c).alias(f"e_{c}") for c in rows.columns], size("words").alias("e_size"))
+    same = (F.col("key") == F.col("e_key")) & (F.col("size") == F.col("e_size")) & fits
+    spot, e_spot = F.struct("doc", "line_no"), F.struct("e_doc", "e_line_no")  # two texts of one id may share a spot
+    later = F.col("open") & (e_spot <= spot)
+    held = held.join(near.select(F.col("h1").alias("id"), F.lit(False).alias("open")), "id", "left")
+    held = held.withColumn("open", F.coalesce("open", F.lit(True)))
+    with_other = held.select("*", near_size).join(sized(held), same & (later | (F.col("e_open") & (spot <= e_spot))), "left_semi")
+    held = written(with_other.drop("size").repartition("id").distinct(), "line-open")
     back = Window.partitionBy("id").orderBy("low", "key").rowsBetween(-BEFORE, -1)
-    held = held.repartition("id").distinct()
     held = held.withColumn("before", F.collect_list(F.struct("key", "low", "high")).over(back))
-    other = held.select("key", *[F.col(c).alias(f"e_{c}") for c in held.columns if c != "key"])
     met = F.exists(
         "before",
         lambda x: F.exists(
             "e_before", lambda y: (x["key"] == y["key"]) & meet(x["low"], y["low"], x["high"], y["high"])
         ),
     )
-    left = held.join(near.select(F.col("h1").alias("id")), "id", "left_anti").select("*", near_size)
-    pairs = left.join(other.withColumn("size", size(F.col("e_words"))), ["key", "size"])
-    pairs = pairs.where(fits & (F.col("e_at") < F.col("at")) & ~met).select("id", "e_id")
+    pairs = held.select("*", near_size).join(sized(held), same & later & ~met).select("id", "e_id")
     return near.union(_verified(keyed, distinct, pairs, "line-rest")).distinct()
 
 

@@ -203,3 +203,32 @@ def test_near_copies_that_are_not_near_meet_once(documents, monkeypatch):
     assert found == {i: int(any(apart(w, v) <= 9 for v in lines[:i])) for i, w in enumerate(lines)}
     rest = pairs["line-rest"]
     assert len(rest) > 40 and len(rest) <= 1.2 * len(set(rest))
+
+
+def test_only_grams_with_a_fitting_line_reach_the_last_join(documents, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(40)]
+    lines = [[*base, *(f"own{i}x{j}" for j in range(40))] for i in range(60)]  # share 40 words of 80: never near
+    lines += [[f"{i}s{j}" for j in range(i)] + base[:12] + [f"{i}t{j}" for j in range(30)] for i in range(0, 40, 4)]
+    groups = []
+    for g in range(8):  # two near lines of the same number in one document id; what they share stands in an earlier line too
+        base = [f"g{g}w{k}" for k in range(40)]
+        lines.append([*base, *(f"g{g}o{k}" for k in range(40))])
+        a, b = list(base), list(base)
+        for words, places in ((a, (8, 24)), (b, (16, 32))):
+            for k in places:
+                words[k] = f"new{rng.randrange(10**9)}"
+        groups.append((None if g == 3 else 1000 + g, " ".join(a), " ".join(b)))
+    rows = [(i, " ".join(w)) for i, w in enumerate(lines)] + [(i, t) for i, *texts in groups for t in texts]
+    tables, kept = {}, ld.written
+
+    def keep(df, label):
+        tables[label] = kept(df, label)
+        return tables[label]
+
+    monkeypatch.setattr(ld, "written", keep)
+    found = [(r["doc_id"], r["n_near"]) for r in ld.line_report(documents(rows)).collect()]
+    assert sorted(found, key=str) == sorted([*((i, 0) for i in range(len(lines))), *((i, n) for i, *_ in groups for n in (0, 1))], key=str)
+    left, pairs = tables["line-open"], tables["line-rest"]
+    assert pairs.count() > 0 and left.select("id").distinct().count() == 2 * pairs.count()
+    assert 10 * left.count() < tables["line-keys"].count()
