@@ -28,8 +28,9 @@ Sharing a gram does not make long lines near, so a least line a key is not enoug
 
 * each line is first compared with the least lines of its grams. In a large group of near copies this finds
   an earlier near line for almost all;
-* only lines for which none was found are joined with all earlier lines of their grams. Lengths, places of the gram and
-  the parity of word hashes (an edit turns at most two bits) must fit before the words are compared. A gram that a
+* only lines for which none was found are joined with all earlier lines of their grams but the least, which is
+  settled; a gram of two lines has no others. Lengths, places of the gram and
+  the parities and counts of word hashes (an edit turns at most two bits) must fit before the words are compared. A gram that a
   line repeats is one row with its first and last place, so a line that says the same over and over joins once a gram.
   A semi-join of bare rows first keeps the grams in which a line meets a fitting one, a few of all.
   Near copies share many grams: of those that are left, a row carries the ``BEFORE`` ones before it, and two lines that
@@ -70,6 +71,9 @@ WIDE_WORDS = 20  # from here on a tenth of the words is more than one
 WIDE_LEAST = WIDE_WORDS - WIDE_WORDS // 10  # shortest line beside one of WIDE_WORDS
 GRAM = 4
 WINDOWS = ((WIDE_LEAST, 3), (30, 4), (40, 5), (90, 6))  # from so many words on: grams in a window
+BINS = 8  # of a line's words, counted in a byte each
+SIGNATURE = ("b0", "b1", "counts")
+LIKELY_BLOCKS, LIKELY_BITS = 512, 1 << 15  # blocks of so many bits that mark wanted rows: 2 MB for tables of any size
 BEFORE = 16  # shared grams of a line that a row of the last join looks back on
 LAST_DOC = (1 << 63) - 1  # stands for a null doc_id, which counts as the largest
 SLAB = 1 << 19  # bytes of text handled at a time; a longer line is one slab
@@ -151,35 +155,39 @@ class Lines:
         self.hashes = [mixed(r.of(s, self.begin, self.end), self.size) for r, s in zip(rolling, self.sums)]
 
 
-def parities(lines: Lines) -> np.ndarray:
-    """For each line of ``WIDE_LEAST`` words and more 128 bits, each the parity of the number of its words with that hash."""
-    out = np.zeros((len(lines.size), 2), dtype=np.int64)
+def signatures(lines: Lines) -> np.ndarray:
+    """For each line of ``WIDE_LEAST`` words and more 128 bits, each the parity of the number of its words with that hash,
+    and ``BINS`` bytes, each the number of its words with that hash, 255 if there are more."""
+    out = np.zeros((len(lines.size), 3), dtype=np.int64)
     wide = np.nonzero(lines.size >= WIDE_LEAST)[0]
     if len(wide):
         n = lines.size[wide]
         at = np.arange(n.sum()) + np.repeat(lines.begin[wide] - np.cumsum(n) + n, n)
         bin_of = np.repeat(np.arange(len(wide)) * 128, n) + (lines.words[0][at] >> np.uint64(57)).astype(np.int64)
         odd = np.bincount(bin_of, minlength=128 * len(wide)) & 1
-        out[wide] = np.packbits(odd.astype(np.uint8).reshape(-1, 128), axis=1).view(np.int64)
+        out[wide, :2] = np.packbits(odd.astype(np.uint8).reshape(-1, 128), axis=1).view(np.int64)
+        bin_of = np.repeat(np.arange(len(wide)) * BINS, n) + (lines.words[0][at] >> np.uint64(49)).astype(np.int64) % BINS
+        counts = np.minimum(np.bincount(bin_of, minlength=BINS * len(wide)), 255).astype(np.uint8)
+        out[wide, 2] = counts.reshape(-1, BINS).view(np.int64)[:, 0]
     return out
 
 
 BARE_LINE = "doc long, body long, line_no int, h1 long, h2 long, words int"
-LINE = BARE_LINE + ", b0 long, b1 long"
+LINE = BARE_LINE + ", b0 long, b1 long, counts long"
 
 
 def bare_line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines as ``line_rows`` gives them, without parities."""
+    """The lines as ``line_rows`` gives them, without signatures."""
     return line_rows(batches, BARE_LINE)
 
 
 def line_rows(batches: Iterator[pa.RecordBatch], schema: str = LINE) -> Iterator[pa.RecordBatch]:
-    """The non-blank lines of (doc, body, text): two hashes, number of words, and parities of long lines."""
+    """The non-blank lines of (doc, body, text): two hashes, number of words, and signatures of long lines."""
     rolling = [Rolling(b) for b in BASES]
     for batch in batches:
         for slab in slabs(batch["text"].cast(pa.binary()).to_pylist()):
             lines = Lines(slab, rolling)
-            bits, row = parities(lines).T.copy() if schema == LINE else [], pa.array(lines.row)
+            bits, row = signatures(lines).T.copy() if schema == LINE else [], pa.array(lines.row)
             h1, h2 = (h.view(np.int64) for h in lines.hashes)
             number, size = lines.number.astype(np.int32), lines.size.astype(np.int32)
             columns = [batch["doc"].take(row), batch["body"].take(row), number, h1, h2, size, *bits]
@@ -398,7 +406,7 @@ def _held_keys(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     """The keys that two lines or more have, beside those lines (``at``: first occurrence)."""
     shared = _shared(keyed.select(F.col("d.text").alias("text")).mapInArrow(key_rows, KEY))
     lines = distinct.where(F.col("words") >= NEAR_WORDS).select(
-        F.col("h1").alias("id"), "words", "b0", "b1", F.col("first").alias("at")
+        F.col("h1").alias("id"), "words", *SIGNATURE, F.col("first").alias("at")
     )
     return written(shared.join(lines, "id"), "line-keys")
 
@@ -418,6 +426,18 @@ def _short_pairs(held: DataFrame) -> DataFrame:
     return pairs.groupBy("id").agg(F.min("least").alias("least")).select("id", F.col("least.id").alias("e_id"))
 
 
+def _likely(rows: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
+    """The rows (doc, body) that may stand in ``wanted`` (w_doc, w_body), or with ``left_anti`` the others: those of which
+    a hash is marked in a few bits that go to every task, so that most of the others need not be shuffled."""
+    spot = lambda doc, body: F.pmod(F.xxhash64(doc, body), F.lit(LIKELY_BLOCKS * LIKELY_BITS))
+    bit = spot("w_doc", "w_body")
+    marks = wanted.groupBy(F.floor(bit / LIKELY_BITS).alias("block")).agg(F.bitmap_construct_agg(bit % LIKELY_BITS).alias("marks"))
+    bit = spot("doc", "body")
+    byte = F.hex(F.substring("marks", F.floor(bit % LIKELY_BITS / 8).cast("int") + 1, F.lit(1)))
+    marked = F.getbit(F.conv(byte, 16, 10).cast("long"), (bit % 8).cast("int")) == 1
+    return rows.join(F.broadcast(marks), (F.floor(bit / LIKELY_BITS) == F.col("block")) & marked, how)
+
+
 def _with_words(keyed: DataFrame, lines: DataFrame, label: str) -> DataFrame:
     """(h1, h2, bits, at, line) of the lines (h1, h2, bits, first): where a line first stands, and its words."""
     wanted = lines.groupBy(F.col("first.doc").alias("w_doc"), F.col("first.body").alias("w_body")).agg(
@@ -426,7 +446,7 @@ def _with_words(keyed: DataFrame, lines: DataFrame, label: str) -> DataFrame:
     wanted = written(wanted, label + "-wanted")
     same = F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("body") == F.col("w_body"))
     plain = F.pandas_udf(plain_lines, "array<struct<h1: long, h2: long, bits: int, line_no: int, line: string>>")
-    texts = keyed.select("doc", "body", F.col("d.text").alias("text")).join(wanted, same)
+    texts = _likely(keyed.select("doc", "body", F.col("d.text").alias("text")), wanted, "left_semi").join(wanted, same)
     texts = texts.select("doc", "body", F.inline(plain("text", "wanted")))
     texts = texts.select("h1", "h2", "bits", _position().alias("at"), "line").dropDuplicates(["h1", "h2"])
     return written(texts, label + "-texts")
@@ -474,19 +494,25 @@ def _near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     low = GRAM_TAG - F.col("tag")
     order = F.coalesce("at.doc", F.lit(LAST_DOC)).alias("doc"), F.col("at.line_no").alias("line_no")
     places = low.alias("low"), (low + F.col("reach")).alias("high")
-    held = keys.where(F.col("tag") <= GRAM_TAG).select("key", *order, "id", "words", "b0", "b1", *places)
+    held = keys.where((F.col("tag") <= GRAM_TAG) & F.col("key").isNotNull() & F.col("id").isNotNull())
+    held = held.select("key", *order, "id", "words", *SIGNATURE, *places).repartition("key")  # one shuffle for both sides
     longer = F.greatest("words", "e_words")
     bound = F.floor(longer / 10)
     turned = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"e_b{k}"))) for k in range(2)), F.lit(0))
-    added = F.abs(F.col("words") - F.col("e_words"))  # a word put in or left out turns one bit only
+    byte = lambda c, k: F.shiftright(c, 8 * k).bitwiseAND(F.lit(255))
+    counted = sum((F.abs(byte("counts", k) - byte("e_counts", k)) for k in range(BINS)), F.lit(0))
+    added = F.abs(F.col("words") - F.col("e_words"))  # a word put in or left out turns one bit only, and one count
     meet = lambda low, e_low, high, e_high: F.greatest(low, e_low) - F.least(high, e_high) <= bound
     fits = (longer >= WIDE_WORDS) & (added <= bound) & meet("low", "e_low", "high", "e_high") & (turned <= 2 * bound - added)
-    fits &= F.col("e_id") != F.col("id")
+    fits &= (F.col("e_id") != F.col("id")) & (counted <= 2 * bound - added)
     fields = [c for c in held.columns if c != "key"]
-    least = held.groupBy("key").agg(F.min(F.struct(*fields)).alias("least"))
-    least = least.select("key", *[F.col(f"least.{c}").alias(f"e_{c}") for c in fields if c not in ("doc", "line_no")])
-    first = held.drop("doc", "line_no").join(least, "key").where(fits).select("id", "e_id")
+    least = held.groupBy("key").agg(F.min(F.struct(*fields)).alias("least"), (F.count("*") > 2).alias("more"))
+    least = least.select("key", "more", *[F.col(f"least.{c}").alias(f"e_{c}") for c in fields if c not in ("doc", "line_no")])
+    beside = held.join(least, "key").where((F.col("e_id") != F.col("id")) & (F.col("more") | fits))
+    beside = written(beside.select(*held.columns, "more", F.when(fits, F.col("e_id")).alias("e_id")), "line-beside")
+    first = beside.where(F.col("e_id").isNotNull()).select("id", "e_id")
     near = _verified(keyed, distinct, _short_pairs(keys).union(first), "line-least")
+    held = beside.where("more").select(*held.columns)  # all pairs with the least line of a gram are settled
     # lengths are classed by powers of two; the lines a tenth apart stand in one class for most lines, in two for some
     size = lambda words: F.floor(F.log2(words)).cast("int")
     reached = [size(F.col("words") * ratio) for ratio in (0.899, 1 / 0.899)]
@@ -496,7 +522,7 @@ def _near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     spot, e_spot = F.struct("doc", "line_no"), F.struct("e_doc", "e_line_no")  # two texts of one id may share a spot
     later = F.col("open") & (e_spot <= spot)
     held = held.join(near.select(F.col("h1").alias("id"), F.lit(False).alias("open")), "id", "left")
-    held = held.withColumn("open", F.coalesce("open", F.lit(True)))
+    held = written(held.withColumn("open", F.coalesce("open", F.lit(True))), "line-more")
     with_other = held.select("*", near_size).join(sized(held), same & (later | (F.col("e_open") & (spot <= e_spot))), "left_semi")
     held = written(with_other.drop("size").repartition("id").distinct(), "line-open")
     back = Window.partitionBy("id").orderBy("low", "key").rowsBetween(-BEFORE, -1)
@@ -512,7 +538,7 @@ def _near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def _lines_to_drop(keyed: DataFrame, least_words: int, one_edit: bool) -> DataFrame:
-    """(gone_doc, gone_body, gone, near): line numbers that go, and how many of them for a near line."""
+    """(w_doc, w_body, gone, near): line numbers that go, and how many of them for a near line."""
     keyed = keyed.where(F.col("d.text").isNotNull())
     rows, schema = (bare_line_rows, BARE_LINE) if one_edit else (line_rows, LINE)
     lines = written(keyed.select("doc", "body", F.col("d.text").alias("text")).mapInArrow(rows, schema), "line-all")
@@ -520,7 +546,7 @@ def _lines_to_drop(keyed: DataFrame, least_words: int, one_edit: bool) -> DataFr
         lines.groupBy("h1", "h2").agg(
             F.min(_position()).alias("first"),
             F.count("*").alias("times"),
-            *[F.first(c).alias(c) for c in ("words", "b0", "b1") if c in lines.columns],
+            *[F.first(c).alias(c) for c in ("words", *SIGNATURE) if c in lines.columns],
         ),
         "line-distinct",
     )
@@ -532,7 +558,7 @@ def _lines_to_drop(keyed: DataFrame, least_words: int, one_edit: bool) -> DataFr
     )
     gone = lines.select("doc", "body", "line_no", "h1", "h2").join(marks, ["h1", "h2"])
     gone = gone.where(F.col("near") | (_position() != F.col("first")))
-    gone = gone.groupBy(F.col("doc").alias("gone_doc"), F.col("body").alias("gone_body")).agg(
+    gone = gone.groupBy(F.col("doc").alias("w_doc"), F.col("body").alias("w_body")).agg(
         F.collect_set("line_no").alias("gone"), F.collect_set(F.when(F.col("near"), F.col("line_no"))).alias("near")
     )  # at most the lines of one document in a row; written, so that its size is known to the planner
     return written(gone, "line-gone")
@@ -553,9 +579,12 @@ def without_lines(texts: pd.Series, gone: pd.Series) -> pd.Series:
 def _with_drops(docs: DataFrame, least_words: int, one_edit: bool) -> DataFrame:
     keyed = _keyed(docs)
     gone = _lines_to_drop(keyed, least_words, one_edit)
-    same = F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("body") == F.col("gone_body"))
+    same = F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("body") == F.col("w_body"))
     cut = F.pandas_udf(without_lines, "string")
-    return keyed.join(gone, same, "left").select("d", "gone", "near", cut("d.text", "gone").alias("rest"))
+    shorter = _likely(keyed, gone, "left_semi").join(gone, same, "left")
+    shorter = shorter.select("d", "gone", "near", cut("d.text", "gone").alias("rest"))
+    none = [F.lit(None).cast(gone.schema[c].dataType).alias(c) for c in ("gone", "near")]
+    return shorter.union(_likely(keyed, gone, "left_anti").select("d", *none, F.col("d.text").alias("rest")))
 
 
 def dedup_lines(docs: DataFrame, least_words: int = MIN_WORDS, one_edit: bool = False) -> DataFrame:

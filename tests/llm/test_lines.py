@@ -232,3 +232,55 @@ def test_only_grams_with_a_fitting_line_reach_the_last_join(documents, monkeypat
     left, pairs = tables["line-open"], tables["line-rest"]
     assert pairs.count() > 0 and left.select("id").distinct().count() == 2 * pairs.count()
     assert 10 * left.count() < tables["line-keys"].count()
+
+
+def test_lines_of_repeated_words_are_told_apart_by_their_counts(documents, monkeypatch):
+    rng = random.Random(9)
+    some = "abcdefghijklmnopqrst"
+    lines = [[w for w in rng.sample(some, 6) for _ in range(n)] for n in (5, 6, 10, 12) for _ in range(12)]
+    lines += [["z"] * 40 + [w for w in rng.sample(some, 6) for _ in range(6)] for _ in range(12)]
+    lines += [["a"] * 1500 + [f"r{g}"] * 900 for g in range(2)]  # more of a word than a count can say
+    for base in lines[::5] + lines[-2:]:
+        words, edits = list(base), len(base) // 10
+        for at in rng.sample(range(len(words)), edits):
+            words[at] = rng.choice(["y", "a", f"new{rng.randrange(10**9)}"])
+        lines += [words[: len(words) - 1], [*base, "end"]]
+    pairs, verified = {}, ld._verified
+
+    def kept(keyed, distinct, found, label):
+        pairs[label] = {tuple(sorted(r)) for r in found.collect()}
+        return verified(keyed, distinct, found, label)
+
+    monkeypatch.setattr(ld, "_verified", kept)
+    found = {r["doc_id"]: r["n_near"] for r in ld.line_report(documents([(i, " ".join(w)) for i, w in enumerate(lines)])).collect()}
+    wanted = {
+        i: int(any(ld.words_apart(" ".join(w), " ".join(v)) for v in lines[:i] if v != w)) for i, w in enumerate(lines)
+    }
+    assert found == wanted and sum(wanted.values()) > 15
+    assert len(pairs["line-least"] | pairs["line-rest"]) < 3 * len(lines)
+
+
+def test_wanted_rows_are_marked_in_few_bits(documents):
+    docs = documents([(None, "none"), *((k, f"text {k % 700}") for k in range(3000))])
+    rows = ld._keyed(docs).select("doc", "body")
+    wanted = rows.where("doc is null or doc % 50 = 7").selectExpr("doc as w_doc", "body as w_body")
+    likely, others = (ld._likely(rows, wanted, how).collect() for how in ("left_semi", "left_anti"))
+    assert {r["w_doc"] for r in wanted.collect()} <= {r["doc"] for r in likely} and len(likely) < 80
+    assert sorted(map(str, likely + others)) == sorted(map(str, rows.collect()))
+    assert ld._likely(rows, wanted.limit(0), "left_anti").count() == 3001
+
+
+def test_texts_without_a_wanted_line_are_not_joined(documents, monkeypatch):
+    lines = [" ".join(f"{i}w{k}" for k in range(30)) for i in range(200)]
+    rows = list(enumerate(lines)) + [(1000, lines[7] + " end"), (1001, lines[8])]
+    seen, likely = [], ld._likely
+
+    def kept(rows, wanted, how):
+        out = likely(rows, wanted, how)
+        seen.append((how, out.count()))
+        return out
+
+    monkeypatch.setattr(ld, "_likely", kept)
+    left = {r["doc_id"] for r in ld.dedup_lines(documents(rows)).collect()}
+    assert left == set(range(200))
+    assert all(n < 10 for how, n in seen if how == "left_semi") and ("left_anti", 200) in seen
