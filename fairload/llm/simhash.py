@@ -67,7 +67,8 @@ def links(distinct: DataFrame, max_bits: int) -> DataFrame:
     probes = entries.select(F.col("fp").alias("src"), "seg", F.explode(ball).alias("bit"), "val").select(
         "src", "seg", F.col("val").bitwiseOR(F.col("bit")).alias("val"), "bit"
     )
-    found = entries.withColumnRenamed("fp", "dst").join(probes, ["seg", "val"])
+    # the planner takes the exploded balls for no larger than the fingerprints and would broadcast all of them
+    found = entries.withColumnRenamed("fp", "dst").join(probes.hint("merge"), ["seg", "val"])
     near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= max_bits
     once = (F.col("bit") != 0) | (F.col("src") < F.col("dst"))  # equal segments find each other both ways
     # fingerprints that differ by one bit in each segment find each other from both sides

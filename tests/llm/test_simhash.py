@@ -73,6 +73,14 @@ def test_every_distance_up_to_three_is_linked(spark):
     assert len(found) == len(wanted) and {frozenset(r) for r in found} == wanted
 
 
+def test_balls_are_not_broadcast(spark, tmp_path):
+    values = [(k * 0x9E3779B97F4A7C15 + 1) % (1 << 63) for k in range(500)]
+    spark.createDataFrame([(v,) for v in [*values, *(v ^ 5 for v in values)]], "fp long").write.parquet(f"{tmp_path}/fp")
+    found = simhash.links(spark.read.parquet(f"{tmp_path}/fp"), 3)  # a small file, as the planner sees it
+    assert found.count() == 500
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_of_each_group_stays(documents):
     texts = corpus(random.Random(4))
     docs = documents([(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1]), (None, None)])
