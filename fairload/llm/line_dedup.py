@@ -517,7 +517,8 @@ def _near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     size = lambda words: F.floor(F.log2(words)).cast("int")
     reached = [size(F.col("words") * ratio) for ratio in (0.899, 1 / 0.899)]
     near_size = F.explode(F.array_distinct(F.array(*reached))).alias("size")
-    sized = lambda rows: rows.select(*[F.col(c).alias(f"e_{c}") for c in rows.columns], size("words").alias("e_size"))
+    # the planner knows neither how many rows this explode makes nor how long the arrays ``before`` are: no broadcast
+    sized = lambda rows: rows.select(*[F.col(c).alias(f"e_{c}") for c in rows.columns], size("words").alias("e_size")).hint("merge")
     same = (F.col("key") == F.col("e_key")) & (F.col("size") == F.col("e_size")) & fits
     spot, e_spot = F.struct("doc", "line_no"), F.struct("e_doc", "e_line_no")  # two texts of one id may share a spot
     later = F.col("open") & (e_spot <= spot)

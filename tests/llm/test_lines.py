@@ -260,6 +260,30 @@ def test_lines_of_repeated_words_are_told_apart_by_their_counts(documents, monke
     assert len(pairs["line-least"] | pairs["line-rest"]) < 3 * len(lines)
 
 
+def test_rows_of_the_last_joins_are_not_broadcast(documents, monkeypatch):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([f"own{i}", *base[:40], f"own{i}x", *base[40:]])) for i in range(20)]
+    plans, kept, verified = [], ld.written, ld._verified
+
+    def plan(df):  # of the join on key and size
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+
+    def keep(df, label):
+        if label == "line-open":
+            plan(df)
+        return kept(df, label)
+
+    def keep_pairs(keyed, distinct, found, label):
+        if label == "line-rest":
+            plan(found)
+        return verified(keyed, distinct, found, label)
+
+    monkeypatch.setattr(ld, "written", keep)
+    monkeypatch.setattr(ld, "_verified", keep_pairs)
+    assert sum(r["n_near"] for r in ld.line_report(documents(rows)).collect()) == 19
+    assert len(plans) == 2 and all("strategy=merge" in p for p in plans)
+
+
 def test_wanted_rows_are_marked_in_few_bits(documents):
     docs = documents([(None, "none"), *((k, f"text {k % 700}") for k in range(3000))])
     rows = ld._keyed(docs).select("doc", "body")
