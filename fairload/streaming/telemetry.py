@@ -49,23 +49,30 @@ def first_readings(readings: DataFrame, p: GridSettings, late: str = LATE) -> Da
     )
 
 
-def usable_readings(readings: DataFrame, meters: DataFrame, p: GridSettings, late: str = LATE) -> DataFrame:
-    """Closed slots of known meters as power. Missing or impossible readings add nothing: a median
-    over the meter's history is not known within a micro-batch."""
+def usable_readings(
+    readings: DataFrame, meters: DataFrame, units: DataFrame, p: GridSettings, late: str = LATE
+) -> DataFrame:
+    """Closed slots of known meters as power, with the columns of their transformers in ``units``. Missing or
+    impossible readings add nothing: a median over the meter's history is not known within a micro-batch.
+
+    The planner sizes a stream by the new input of a micro-batch. When a batch only closes intervals it has none, and
+    all rows that leave the state would be broadcast; so the stream meets the joined static tables in one merge join.
+    """
     usable = first_readings(readings, p, late).select(
         F.window_time("slot_window").alias("at"),
         "meter_id",
         (F.coalesce(cleaning.plausible_kwh(F.col("kwh"), p), F.lit(0.0)) * p.kw_per_kwh).alias("kw"),
         cleaning.sag_flag(F.col("voltage"), p).alias("is_sag"),
     )
-    return usable.join(meters.select("meter_id", "transformer_id"), "meter_id")
+    places = meters.select("meter_id", "transformer_id").join(units, "transformer_id")
+    return usable.join(places.hint("merge"), "meter_id")
 
 
 def transformer_load(
     readings: DataFrame, meters: DataFrame, transformers: DataFrame, p: GridSettings, late: str = LATE
 ) -> DataFrame:
     """Closed intervals of transformer load, the topology joined as static tables."""
-    placed = usable_readings(readings, meters, p, late).join(transformers.select(*TX_KEYS), "transformer_id")
+    placed = usable_readings(readings, meters, transformers.select(*TX_KEYS), p, late)
     window = F.window("at", f"{p.grain_s} seconds").alias("w")
     summed = placed.groupBy(window, *TX_KEYS).agg(
         F.sum("kw").alias("kw"), F.sum("is_sag").alias("sags"), F.count(F.lit(1)).alias("n_meters")
@@ -83,9 +90,7 @@ def transformer_load(
 def feeder_load(
     readings: DataFrame, meters: DataFrame, transformers: DataFrame, p: GridSettings, late: str = LATE
 ) -> DataFrame:
-    placed = usable_readings(readings, meters, p, late).join(
-        transformers.select("transformer_id", "feeder_id"), "transformer_id"
-    )
+    placed = usable_readings(readings, meters, transformers.select("transformer_id", "feeder_id"), p, late)
     summed = placed.groupBy(F.window("at", f"{p.grain_s} seconds").alias("w"), "feeder_id").agg(
         F.sum("kw").alias("kw"), F.sum("is_sag").alias("sags")
     )

@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 import os
 import sys
 
@@ -92,6 +93,29 @@ def test_lazy_and_staged_plans_agree(spark):
     assert pick(lazy) == pick(stored)
 
 
+def test_intervals_that_close_without_input_are_not_broadcast(spark, tmp_path):
+    p, t0 = GridSettings(), dt.datetime(2024, 1, 1)
+    rows = [(m * 10 + k, m, t0 + dt.timedelta(hours=k), 1.0, 230.0) for m in range(200) for k in range(6)]
+    readings = spark.createDataFrame(rows, "reading_id bigint, meter_id bigint, ts timestamp, kwh double, voltage double")
+    readings.coalesce(1).write.parquet(str(tmp_path / "land"))
+    meters = spark.range(200).selectExpr("id as meter_id", "id % 3 as transformer_id")
+    tx = spark.createDataFrame([(1, 7, 100), (2, 8, 100), (2, 8, 100)], "transformer_id bigint, feeder_id bigint, capacity_kva int")
+    for load in (telemetry.transformer_load, telemetry.feeder_load):
+        stream = telemetry.landed_files(spark, str(tmp_path / "land"), readings.schema)
+        name = f"closed_{load.__name__}"
+        run = load(stream, meters, tx, p).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+        run.awaitTermination()
+        plan = run._jsq.explainInternal(False).split("\n")  # of the last batch, which has no input
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        assert sum("StateStoreSave" in line for line in plan) == 2
+        for at, line in enumerate(plan):
+            if "BroadcastExchange" in line:  # of static tables only
+                below = itertools.takewhile(lambda x: depth(x) > depth(line), plan[at + 1 :])
+                assert not any("StateStore" in x for x in below)
+        got = spark.table(name).groupBy("feeder_id").agg(F.sum("kw"), F.countDistinct("ts")).collect()
+        assert {r.feeder_id: tuple(r)[1:] for r in got} == {7: (67 * 4.0 * 5, 5), 8: (66 * 2 * 4.0 * 5, 5)}
+
+
 def test_late_rows_are_dropped_and_batches_add_up(spark, tmp_path):
     p, t0 = GridSettings(), dt.datetime(2024, 1, 1)
     schema = "reading_id bigint, meter_id bigint, ts timestamp, kwh double, voltage double"
