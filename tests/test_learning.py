@@ -86,6 +86,23 @@ def test_one_task_and_level_jobs_grow_the_same_trees(tables):
         assert all(np.array_equal(x, y) and np.array_equal(x, z) for x, y, z in zip(a, b, c))
 
 
+def test_one_task_counts_the_smaller_child_only(tables, monkeypatch):
+    p = learning.Boosting(rounds=4, depth=5)
+    history = tables["tx_history"].withColumn("loading_mean", F.when(F.col("row_key") % 7 > 0, F.col("loading_mean")))
+    cuts = boosting.quantile_cuts(history, TX_FEATURES)
+    fit = lambda most: boosting.fit(history, TX_FEATURES, "failed_next72h", p, True, F.col("row_key"), cuts, most)
+    for a, b in zip(fit(10**9).trees, fit(0).trees, strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(a, b))
+
+    rng, count, seen = np.random.default_rng(8), np.bincount, []
+    bins = rng.integers(0, boosting.MISSING + 1, (20_000, 6)).astype(np.uint8)
+    bins[:, 3:] %= 4
+    rows = boosting.Rows(bins, rng.normal(size=20_000), rng.integers(-(2**62), 2**62, 20_000))
+    monkeypatch.setattr(np, "bincount", lambda x, weights=None, minlength=0: seen.append(0 if weights is None else len(x)) or count(x, weights, minlength))
+    boosting._fit_here(rows, 0.0, boosting.Boosting(rounds=1, depth=5, subsample=1.0, columns=1.0), False)
+    assert sum(seen) <= 0.5 * 20_000 * 6 * 2 * 5  # of gradient and curvature, by input and level
+
+
 def test_written_scores_change_nothing(tables, monkeypatch):
     p = learning.Boosting(rounds=4, depth=2)
     fit = lambda: boosting.fit(tables["yield_history"], CROP_FEATURES, "yield_t_ha", p, False, F.col("season"), local_rows=0)
